@@ -17,6 +17,9 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators where only letters, digits and bytes above 127 count.
+_MARKS = np.ones(256, bool)
+_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = {int(BASE): np.ones(1, U64), int(BASE_INV): np.ones(1, U64)}
@@ -60,11 +63,14 @@ def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.
 
 
 class Words:
-    """The words of a block: byte starts and ends, a 64-bit hash of each, and the first word of each row."""
+    """The words of a block: byte starts and ends, a 64-bit hash of each, and the first word of each row.
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False):
+    lower: with A-Z lower-cased.  bare: ASCII marks also end words.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, bare: bool = False):
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~(_MARKS if bare else _SPACE)[data]
         first, last = word.copy(), word.copy()
         if n:
             first[1:] &= ~word[:-1]
