@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgelens.llm import line_dedup, mixing, toxicity
+from ridgelens.llm import line_dedup, mixing, tokens, toxicity
 
-QUERIES = {"op2_mix_sources": mixing.query, "op8_toxicity": toxicity.query, "op10_line_dedup": line_dedup.query}
+QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op8_toxicity": toxicity.query, "op10_line_dedup": line_dedup.query}
 SQL = {"op2_mix_sources": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
