@@ -16,7 +16,7 @@ from ridgelens.llm.common import documents
 #: Texts longer than CHUNK code points are encoded in chunks that overlap by OVERLAP, widened as need be.
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 4096
 #: Words remembered by each worker (some 100 bytes each), and the longest.
-KNOWN, KNOWN_LENGTH = 400_000, 40
+KNOWN, KNOWN_LENGTH = 1_000_000, 40
 
 
 class PieceEncoder:
@@ -37,6 +37,7 @@ class PieceEncoder:
         probe = "x \u00e9e\u0301  \uff21\ufb01\t\n.\u00a0 "
         self.proven = not any(self.BLANK in p.lstrip(self.BLANK) for p in pieces) and self.model.normalize(probe) == self.BLANK + probe.replace(" ", self.BLANK)
         self.length = np.array([1 if self.model.is_byte(i) else len(p.encode()) - 2 * p.count(self.BLANK) for i, p in enumerate(pieces)], np.int64)
+        self.opens = np.array([p.startswith(self.BLANK) for p in pieces])
         self.known: dict[str, int] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -50,7 +51,9 @@ class PieceEncoder:
         got = [known.get(w) for w in words]
         if None in got:
             new = list({w for w, n in zip(words, got, strict=True) if n is None})
-            counts = dict(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+            ids = self.ids(" ".join(new))
+            starts = np.flatnonzero(self.opens[ids])  # each word starts with the blank before it
+            counts = dict(zip(new, np.diff(starts, append=len(ids)).tolist(), strict=True))
             if len(known) < KNOWN:
                 known.update((w, n) for w, n in counts.items() if len(w) <= KNOWN_LENGTH)
             return sum(counts[w] if n is None else n for w, n in zip(words, got, strict=True))
@@ -63,6 +66,16 @@ class PieceEncoder:
         return ids, ends - self.length[ids] - (int(ends[-1]) - len(text.encode()) if len(ids) else 0)
 
 
+_loaded: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a file, loaded once in each worker process, with the words it remembers."""
+    if path not in _loaded:
+        _loaded[path] = PieceEncoder(path)
+    return _loaded[path]
+
+
 def resync(text: str, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """The ids of a text of any length, from chunks that overlap.
 
@@ -115,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
-        enc = PieceEncoder(path)
+        enc = encoder(path)
         for b in batches:
             texts = b.column("__text")
             n = [len(resync(t, enc.tokens, chunk, overlap)) if enc.proven and len(t) > chunk and enc.BLANK not in t else enc.count(t) for t in texts.to_pylist()]
