@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgelens.llm import line_dedup, mixing, packing, tokens, toxicity
+from ridgelens.llm import line_dedup, mixing, packing, substrings, tokens, toxicity
 
-QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op6_packing": packing.query, "op8_toxicity": toxicity.query, "op10_line_dedup": line_dedup.query}
+QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op6_packing": packing.query, "op7_substring_dedup": substrings.query, "op8_toxicity": toxicity.query, "op10_line_dedup": line_dedup.query}
 SQL = {"op2_mix_sources": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
