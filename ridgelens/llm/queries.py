@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgelens.llm import jaccard, line_dedup, mixing, neighbours, packing, substrings, tokens, toxicity
+from ridgelens.llm import jaccard, line_dedup, mixing, neighbours, packing, pii, substrings, tokens, toxicity
 
-QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op3_ngram_jaccard": jaccard.query, "op6_packing": packing.query, "op7_substring_dedup": substrings.query, "op8_toxicity": toxicity.query, "op9_nearest_neighbours": neighbours.query, "op10_line_dedup": line_dedup.query}
+QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op3_ngram_jaccard": jaccard.query, "op5_personal_data": pii.query, "op6_packing": packing.query, "op7_substring_dedup": substrings.query, "op8_toxicity": toxicity.query, "op9_nearest_neighbours": neighbours.query, "op10_line_dedup": line_dedup.query}
 SQL = {"op2_mix_sources": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
