@@ -16,7 +16,7 @@ from ridgelens.llm.components import components
 from ridgelens.llm.filters import build_filter, passes
 from ridgelens.llm.words import U64, Words, blocks, mix
 
-SHINGLE, PERCENT = 4, 85
+SHINGLE, PERCENT = 5, 80
 #: Documents, and shingles, of a block that one task compares with another.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 #: Price of a segment with at most one shingle, in keys sent.
@@ -290,4 +290,4 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), shingle=4, percent=85)

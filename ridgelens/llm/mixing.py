@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgelens.llm.common import WORD, documents, stage
@@ -58,31 +58,25 @@ def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source:
     rows is no hot spot.  Null text: size 0; null source: a source of its own.  Size 0 is never taken.  Ties of the
     rank go by id, and rows with equal ids are ordered by size.  Empty table: empty result.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return _mixed(rows, weights, share, most, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _mixed(_sized(docs, row, text, id_col, source), stage(_sized(docs, F.lit(0), text, id_col, source), "sizes"), weights, share, most, seed)
 
 
-def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
-    """rows: row, source, id, size."""
+def _mixed(full: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+    """full: row, source, id, size; rows: the same without what is in row.  The draw's end is found in rows alone."""
     targets = source_targets(rows, weights=weights, share=share, most=most)
     # one row for each source: as many as there are names of sources, whatever the number of rows
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.when(F.floor(rate) >= most, F.lit(most - 1)).otherwise(F.floor(rate)).cast("long")
     named = targets.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "source_size", "n", "target", copies.alias("copies"), (F.round("target").cast("long") - copies * F.col("source_size")).alias("need"))
-    r = rows.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source").join(_small(named), ["s", "none"])
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("id", F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    # the source's own odds, the fraction left over the rest, are the same for all that compete, so the order needs only the document's
-    odds = F.sqrt(F.col("size").cast("double") * F.col("n") / F.col("source_size"))
-    r = r.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / odds))
-    v = F.col("q") / (1 + F.col("q")) * BINS
-    r = r.withColumn("bin", F.least(F.floor(v), F.lit(BINS - 1)).cast("int")).withColumn("fine", F.least(F.floor((v - F.floor(v)) * BINS), F.lit(BINS - 1)).cast("int"))
+    named = _small(named)
     key = ["s", "none"]
-    drawn = r.where(F.col("q").isNotNull()).select(*key, "bin", "fine", "size", "need")
+    drawn = _ranked(rows, named, seed).where(F.col("q").isNotNull()).select(*key, "bin", "fine", "size", "need")
     coarse = _ends(drawn, key, "bin", "need")
     inside = drawn.join(_small(coarse).withColumnRenamed("last", "bin"), [*key, "bin"]).withColumn("need", F.col("need") - F.col("done"))
     fine = _ends(inside, key, "fine", "need")
     ends = coarse.join(fine.select(*key, F.col("last").alias("last_fine"), F.col("done").alias("done_fine")), key)
-    r = r.join(_small(ends), key, "left")
+    r = _ranked(full, named, seed).join(_small(ends), key, "left")
     here = F.coalesce((F.col("bin") == F.col("last")) & (F.col("fine") == F.col("last_fine")), F.lit(False))
     before = F.coalesce((F.col("bin") < F.col("last")) | ((F.col("bin") == F.col("last")) & (F.col("fine") < F.col("last_fine"))), F.lit(False))
     cols = ["row", "size", "source_size", "target", "copies", "part"]
@@ -93,20 +87,41 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     return whole.unionByName(last).select("row", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def _ranked(rows: DataFrame, named: DataFrame, seed: str) -> DataFrame:
+    """rows with what is known of their source, and the rank and its bins."""
+    r = rows.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source").join(named, ["s", "none"])
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("id", F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    # the source's own odds, the fraction left over the rest, are the same for all that compete, so the order needs only the document's
+    odds = F.sqrt(F.col("size").cast("double") * F.col("n") / F.col("source_size"))
+    r = r.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / odds))
+    v = F.col("q") / (1 + F.col("q")) * BINS
+    return r.withColumn("bin", F.least(F.floor(v), F.lit(BINS - 1)).cast("int")).withColumn("fine", F.least(F.floor((v - F.floor(v)) * BINS), F.lit(BINS - 1)).cast("int"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df has a row for each source; broadcast if these are few when counted, joined by shuffle otherwise."""
     df = stage(df, "by-source")
     return F.broadcast(df) if df.count() <= FEW_SOURCES else df
 
 
-def sized(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """What mixing needs of each document, without its text: row (struct of its id), source, id, size."""
-    return docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id")).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _sized(docs: DataFrame, row: Column, text: str, id_col: str, source: str) -> DataFrame:
+    return docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
+
+def take(mixed: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The documents of a mix with the columns of docs: one row for each copy, the last one cut to the words it gives."""
+    n, copies = F.col("taken"), F.col("copies")
+    rows = mixed.where((F.col("size") > 0) & (n > 0)).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(n / F.col("size")).cast("long"))))
+    part = n - (copies - 1) * F.col("size")
+    words = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(WORD), F.lit(0))
+    body = F.when(part >= F.col("size"), F.col(f"row.`{text}`")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
+    return rows.select(*[body.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stage(sized(documents(spark, sf_dir)), "sizes")  # the texts are read once, the passes go over sizes
-    return _mixed(rows, WEIGHTS, SHARE, MOST_COPIES, SEED).select("row.doc_id", "size", "source_size", "target", "taken")
+    docs = documents(spark, sf_dir)
+    rows = stage(_sized(docs, F.struct("doc_id"), "text", "doc_id", "source"), "sizes")  # the texts are read once, the passes go over sizes
+    return _mixed(rows, rows, WEIGHTS, SHARE, MOST_COPIES, SEED).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
