@@ -1,15 +1,56 @@
-"""A corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing to target weights, packing."""
+"""A corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents;
+the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgelens.llm import jaccard, line_dedup, mixing, packing, toxicity
+from ridgelens.llm.common import documents, stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier's cut for their language rejects go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share go; n_chars follows the text."""
+    kept = line_dedup.drop_common_lines(docs)
+    return kept.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, 0.8), the document with the smallest id stays; rows without an id stay."""
+    near = jaccard.near_duplicates(docs)
+    gone = near.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights: documents that the draw leaves out go, others stand once for each copy."""
+    out = mixing.take(mixing.mix(docs), docs)
+    return out.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents of the mix in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_jaccard", drop_copies), ("mix_sources", mix_sources), ("packing", pack)]
+ORACLE_SQL = None  # a trained model and a space-filling curve; tests/llm/test_pipeline.py holds the stages against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
