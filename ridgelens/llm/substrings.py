@@ -38,8 +38,8 @@ def _runs(flags: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """id_col, n_words, n_removed, kept (the kept words joined by one space).
+def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, digest: bool = False) -> DataFrame:
+    """id_col, n_words, n_removed, kept (the kept words joined by one space; digest: kept_sha256 in its place).
 
     A word goes if one of the windows of `window` words that cover it also starts in a document with a smaller id.
 
@@ -51,8 +51,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
        and the smallest id of each is found in the same way.
     4. Each document reads the smallest ids of its own windows and marks the words of those that stood before.
 
-    Texts whose words are all equal are taken together first: the one with the smallest id stands for them, the others
-    lose every word (from `window` words on).  Hot passages come as a row for each task, not for each document.
+    Texts without a repeated anchor never move; with digest, not even their words are written.  The smallest id of a
+    passage that a third of all documents share comes as a row from each task, and the join that hands it back splits.
     Documents with a null id have no place in the order: they are returned as they are and take nothing from others.
     Null and empty texts: no words, "" kept.  Rows with equal ids are one place in the order and do not take from each
     other; each is returned.  Empty table: empty result.
@@ -91,19 +91,16 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     bits = build_filter(stage(found, "anchors"), "h")
 
     def candidates(batches):
-        """Of each text: the hash of all its words, and hashes of the windows round anchors that pass the filter."""
+        """Of each text: hashes of the windows round anchors that pass the filter, and its words if there are any."""
         for b in batches:
             ids = b.column("id")
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            out_words, out_hash, out_where, out_win = [], [], [], []
-            for i, j, w in scan(b):
-                h, full = w.windows(short), w.windows(window)
+            out: dict[str, list] = {"n": [], "kept": [], "sha": [], "at": [], "w": []}
+            for (i, j, w), (_, _, data, _) in zip(scan(b), blocks(b.column("body")), strict=True):
+                h, full, raw = w.windows(short), w.windows(window), data.tobytes()
                 for r in range(j - i):
                     a, z = w.row_at[r], w.row_at[r + 1]
-                    n = z - a
-                    out_words.append(n)
-                    out_hash.append(_whole(w.hashes[a:z]))
-                    start = np.zeros(0, np.int64)
+                    n, start = z - a, np.zeros(0, np.int64)
                     if n >= window and valid[i + r]:
                         place = np.flatnonzero(mask[np.arange(n - short + 1) % period])
                         hit = place[passes(bits.value, h[a + place])]
@@ -112,54 +109,41 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
                             np.add.at(near, np.maximum(hit - (window - short), 0), 1)
                             np.subtract.at(near, hit + 1, 1)
                             start = np.flatnonzero(np.cumsum(near)[: n - window + 1] > 0)
-                    out_where.append(start.astype(np.int32))
-                    out_win.append(full[a + start].view(np.int64) if len(start) else np.zeros(0, np.int64))
+                    text_ = b" ".join(raw[w.starts[a] : w.ends[z - 1]].split()) if n else b""
+                    out["n"].append(n)
+                    out["kept"].append(text_.decode() if len(start) or not digest else None)
+                    out["sha"].append(hashlib.sha256(text_).hexdigest() if digest else None)
+                    out["at"].append(start.astype(np.int32))
+                    out["w"].append(full[a + start].view(np.int64) if len(start) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, b.column("k"), pa.array(out_words, pa.int64()), pa.array(out_hash, pa.binary()), pa.array(out_where, pa.list_(pa.int32())), pa.array(out_win, pa.list_(pa.int64()))],
-                names=["id", "k", "n", "whole", "at", "w"],
+                [ids, b.column("k"), pa.array(out["n"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["sha"], pa.string()), pa.array(out["at"], pa.list_(pa.int32())), pa.array(out["w"], pa.list_(pa.int64()))],
+                names=["id", "k", "n", "kept", "sha", "at", "w"],
             )
 
-    near = stage(base.mapInArrow(candidates, "id bigint, k bigint, n bigint, whole binary, at array<int>, w array<bigint>"), "windows")
-    # texts equal word by word: the smallest id stands for them
-    first = near.where((F.col("n") >= window) & F.col("id").isNotNull()).groupBy("whole").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last")).select("whole", "lead")
-    rows = near.join(first, "whole", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("lead"), F.lit(False)))
-    own = rows.where(~F.col("copy") & (F.size("at") > 0))
-    single = own.select("id", "k", F.explode(F.arrays_zip("at", "w")).alias("x")).select("id", "k", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    near = stage(base.mapInArrow(candidates, "id bigint, k bigint, n bigint, kept string, sha string, at array<int>, w array<bigint>"), "windows")
+    touched = F.size("at") > 0
+    single = near.where(touched).select("id", "k", F.explode(F.arrays_zip("at", "w")).alias("x")).select("id", "k", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     lowest = single.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")).select("w", "lo")
-    marked = single.join(lowest, "w").where(F.col("id") > F.col("lo")).groupBy("id", "k").agg(F.collect_set("at").alias("starts"))
-    gone = rows.where("copy").select("id", "k", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("all")).dropDuplicates(["id", "k"])
-    changes = stage(marked.select("id", "k", "starts", F.lit(False).alias("all")).unionByName(gone), "repeats")
+    changes = stage(single.join(lowest, "w").where(F.col("id") > F.col("lo")).groupBy("id", "k").agg(F.collect_set("at").alias("starts")), "repeats")
 
     def cut(batches):
         for b in batches:
-            texts, starts, whole = b.column("body").to_pylist(), b.column("starts").to_pylist(), b.column("all").to_pylist()
-            n, removed, kept = [], [], []
-            for t, s, a in zip(texts, starts, whole, strict=True):
-                words = t.encode().split()
-                n.append(len(words))
-                if a:
-                    removed.append(len(words))
-                    kept.append("")
-                    continue
-                if s:
-                    flags = np.zeros(len(words), bool)
-                    s = np.array(s)
-                    flags[s[s < len(words)]] = True
-                    keep = ~_runs(flags, window)
-                    removed.append(int(len(words) - keep.sum()))
-                    words = [words[k] for k in np.flatnonzero(keep)]
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
-
-    joined = base.join(changes, ["id", "k"], "left").select("id", "body", "starts", F.coalesce("all", F.lit(False)).alias("all"))
-    return joined.mapInArrow(cut, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string")
-
-
-def _whole(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+            removed, kept = [], []
+            for t, s in zip(b.column("kept").to_pylist(), b.column("starts").to_pylist(), strict=True):
+                words = t.encode().split(b" ")
+                flags = np.zeros(len(words), bool)
+                flags[s or []] = True
+                keep = ~_runs(flags, window)
+                removed.append(int(len(words) - keep.sum()))
+                t = b" ".join([words[k] for k in np.flatnonzero(keep)])
+                kept.append(hashlib.sha256(t).hexdigest() if digest else t.decode())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", last])
+
+    last = "kept_sha256" if digest else "kept"
+    whole = near.where(~touched).select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha" if digest else "kept").alias(last))
+    rest = near.where(touched).select("id", "k", "n", "kept").join(changes, ["id", "k"], "left")
+    return whole.unionByName(rest.select("id", "n", "kept", "starts").mapInArrow(cut, f"`{id_col}` bigint, n_words bigint, n_removed bigint, {last} string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(documents(spark, sf_dir), digest=True)
