@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgelens.llm.common import documents
+from ridgelens.llm.words import WordCache, Words, blocks
 
 #: Texts longer than CHUNK code points are encoded in chunks that overlap by OVERLAP, widened as need be.
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 4096
-#: Words remembered by each worker (some 100 bytes each), and the longest.
-KNOWN, KNOWN_LENGTH = 1_000_000, 40
-
 
 class PieceEncoder:
     """A sentencepiece model whose pieces never hold a blank after something else.
@@ -38,26 +36,33 @@ class PieceEncoder:
         self.proven = not any(self.BLANK in p.lstrip(self.BLANK) for p in pieces) and self.model.normalize(probe) == self.BLANK + probe.replace(" ", self.BLANK)
         self.length = np.array([1 if self.model.is_byte(i) else len(p.encode()) - 2 * p.count(self.BLANK) for i, p in enumerate(pieces)], np.int64)
         self.opens = np.array([p.startswith(self.BLANK) for p in pieces])
-        self.known: dict[str, int] = {}
+        self.known = WordCache(np.int32)
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def count(self, text: str) -> int:
-        """Tokens of a text of at most a chunk.  Where all blanks are single and inner, its words are encoded once."""
-        if not self.proven or not text or text[0] == " " or text[-1] == " " or "  " in text or self.BLANK in text:
-            return len(self.ids(text))
-        words, known = text.split(" "), self.known
-        got = [known.get(w) for w in words]
-        if None in got:
-            new = list({w for w, n in zip(words, got, strict=True) if n is None})
-            ids = self.ids(" ".join(new))
-            starts = np.flatnonzero(self.opens[ids])  # each word starts with the blank before it
-            counts = dict(zip(new, np.diff(starts, append=len(ids)).tolist(), strict=True))
-            if len(known) < KNOWN:
-                known.update((w, n) for w, n in counts.items() if len(w) <= KNOWN_LENGTH)
-            return sum(counts[w] if n is None else n for w, n in zip(words, got, strict=True))
-        return sum(got)
+    def _each(self, words: list[str]) -> list[list[int]]:
+        """The ids of words as they are between blanks: encoded together, each starts with the blank before it."""
+        ids = np.array(self.ids(" ".join(words)), np.int32)
+        return np.split(ids, np.flatnonzero(self.opens[ids])[1:])
+
+    def counts(self, texts: pa.Array, chunk: int, overlap: int) -> np.ndarray:
+        """Tokens of each text.  Where all blanks are single and inner, each word is encoded once and remembered."""
+        out = np.zeros(len(texts), np.int64)
+        for i, j, data, at in blocks(texts):
+            w = Words(data, at, blank=True)
+            words, blanks = np.diff(w.row_at), np.diff(np.concatenate([[0], np.cumsum(data == 32)])[at])
+            long = np.diff(at) > chunk
+            easy = ~long & ((blanks == words - 1) | (np.diff(at) == 0))
+            if not self.proven or self.BLANK.encode() in data.tobytes():
+                easy[:] = False
+            else:
+                _, lengths = self.known(w, data, self._each)
+                out[i:j] = np.diff(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[w.row_at])
+            for r in np.flatnonzero(~easy):
+                t = data[at[r] : at[r + 1]].tobytes().decode()
+                out[i + r] = len(resync(t, self.tokens, chunk, overlap)) if self.proven and len(t) > chunk and self.BLANK not in t else len(self.ids(t))
+        return out
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk, and the byte at which each starts; -1 where a blank added in front starts."""
@@ -131,8 +136,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[
         enc = encoder(path)
         for b in batches:
             texts = b.column("__text")
-            n = [len(resync(t, enc.tokens, chunk, overlap)) if enc.proven and len(t) > chunk and enc.BLANK not in t else enc.count(t) for t in texts.to_pylist()]
-            n = np.array(n, np.int64)
+            n = enc.counts(texts, chunk, overlap)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[*names, "n_bytes", "n_tokens", "over_limit"])
 
     return narrow.mapInArrow(run, schema)

@@ -65,12 +65,12 @@ def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.
 class Words:
     """The words of a block: byte starts and ends, a 64-bit hash of each, and the first word of each row.
 
-    lower: with A-Z lower-cased.  bare: ASCII marks also end words.
+    lower: with A-Z lower-cased.  bare: ASCII marks also end words.  blank: only spaces end them.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, bare: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, bare: bool = False, blank: bool = False):
         n = len(data)
-        word = ~(_MARKS if bare else _SPACE)[data]
+        word = data != 32 if blank else ~(_MARKS if bare else _SPACE)[data]
         first, last = word.copy(), word.copy()
         if n:
             first[1:] &= ~word[:-1]
@@ -95,3 +95,44 @@ class Words:
         sums = np.zeros(len(h) + 1, U64)
         np.cumsum(h * powers(BASE, len(h)), out=sums[1:])
         return mix((sums[k:] - sums[:-k]) * powers(BASE_INV, n) + U64(k))
+
+
+class WordCache:
+    """Ids of words seen before, in arrays of fixed size: a word has one slot, by its hash, and takes it from the last.
+
+    A word is known by its 64-bit hash; what is not there is encoded again, so nothing depends on what is remembered.
+    """
+
+    def __init__(self, kind: type, bits: int = 21, room: int = 1 << 23):
+        self.mask = U64((1 << bits) - 1)
+        self.keys, self.starts, self.lengths = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.flat, self.used = np.zeros(room, kind), 0
+
+    def __call__(self, w: Words, data: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a block, end to end, and how many each has.  encode: words to arrays of ids."""
+        slot = (w.hashes & self.mask).astype(np.int64)
+        known = self.keys[slot] == w.hashes
+        starts, lengths = self.starts[slot], self.lengths[slot]
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            hashes, first, back = np.unique(w.hashes[lost], return_index=True, return_inverse=True)
+            raw, at = data.tobytes(), lost[first]
+            ids = encode([raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            n = np.array([len(x) for x in ids], np.int64)
+            more = int(n.sum())
+            if self.used + more > len(self.flat):
+                if known.any():  # full: forget all, and encode this block's words anew
+                    self.keys[:] = 0
+                    self.used = 0
+                    return self(w, data, encode)
+                self.flat, self.used = np.zeros(max(len(self.flat), 2 * more), self.flat.dtype), 0
+            self.flat[self.used : self.used + more] = np.concatenate(ids) if more else 0
+            begin = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+            self.used += more
+            own = (hashes & self.mask).astype(np.int64)
+            self.keys[own], self.starts[own], self.lengths[own] = hashes, begin, n
+            # two new words of one slot: the slot is the last one's, whose start and length were stored last too
+            starts[lost], lengths[lost] = begin[back], n[back]
+        total = np.cumsum(lengths, dtype=np.int64)
+        each = np.repeat(starts - (total - lengths), lengths)
+        return self.flat[each + np.arange(len(each))], lengths
