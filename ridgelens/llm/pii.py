@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ridgelens.llm.common import documents
 
 KINDS = ("email", "ip", "card", "phone")
-#: At most so many stretches of text, those of smallest hash, train the field.
-SAMPLE, EPOCHS, SEED = 1500, 8, 5
+#: At most so many stretches of text, those of smallest hash, train the field, so many times, in so many steps at least.
+SAMPLE, EPOCHS, LEAST_STEPS, SEED = 1500, 8, 3000, 5
 #: Words of the longest entity; probability from which a segment of the best path is taken.
 LONGEST, SURE = 6, 0.8
 
@@ -234,7 +234,7 @@ def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
         if at == len(words):
             cases.append((t, words, gold))
     seen_w, seen_s = np.full_like(m.weights, 1e-2), np.full_like(m.steps, 1e-2)
-    for _ in range(epochs):
+    for _ in range(max(epochs, LEAST_STEPS // max(len(cases), 1)) if cases else 0):
         for c in rng.permutation(len(cases)):
             t, words, gold = cases[c]
             s, f = _scores(m, t, words)
