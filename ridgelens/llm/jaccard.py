@@ -19,8 +19,11 @@ from ridgelens.llm.words import U64, Words, blocks, mix
 SHINGLE, PERCENT = 5, 80
 #: Documents, and shingles, of a block that one task compares with another.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
-#: Price of a segment with at most one shingle, in keys sent.
-WEAK = 40.0
+#: Prices, in keys sent: of a segment with at most one shingle; of a segment in which two sets agree because all their
+#: shingles there come from one shared passage of PASSAGE shingles.
+WEAK, AGREED, PASSAGE = 40.0, 300.0, 60
+#: Keys of more documents than this are the ones that a set leaves out first.
+BUSY = 6
 
 
 class Scheme:
@@ -29,12 +32,13 @@ class Scheme:
     Two sets of a and b shingles link only if they differ in at most D(a + b) of them (in one but not the other).  In
     the scheme of a band, which all pairs use whose larger set is in the band, shingles are hashed to e exact segments
     and g near ones.  If neither any exact segment is equal nor any near one equal up to one shingle, the sets differ
-    by e + 2g at least.  A set may leave out the d exact segments it likes least; both sets together 2d.  So
-    e + 2g >= D + 1 + 2d finds every link.
+    by e + 2g at least.  A set may leave out d exact segments of its choice; both sets together 2d.  So
+    e + 2g >= D + 1 + 2d finds every link.  And where e is made for pairs of the band's largest sets, a smaller set may leave
+    out as many more as its size makes D smaller: D is at most (100 - p) / (100 + p) times a + b, the sum of two such parts.
     """
 
     def __init__(self, percent: int):
-        self.percent = percent
+        self.percent, self.share = percent, (100 - percent) / (100 + percent)
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, math.ceil(1.5 * self.lows[-1])))
@@ -47,22 +51,21 @@ class Scheme:
         return total - 2 * -(-self.percent * total // (100 + self.percent))
 
     def allocate(self, band: int) -> tuple[int, int, int]:
-        """(e, g, d) of the least cost: keys sent for a set, and weak segments at their price.
+        """(e, g, d) of the least cost: keys sent for a set, and segments that tell sets apart badly at their price.
 
-        A near segment of t shingles sends itself and its t one-deletion neighbours; it pays where exact segments would
-        hold too few shingles to tell sets apart.
+        A near segment of t shingles sends itself and its t one-deletion neighbours.  It pays for small sets, of which a
+        shared passage is a large part: half as many segments hold twice the shingles.
         """
         low, high = self.lows[band], self.lows[band + 1] - 1
         most = max(self.differ(2 * high), self.differ(2 * high - 1), 0) + 1
         size = math.sqrt(low * high)
-        weak = lambda t, more=0: math.exp(-t) * (1 + t + more * t * t / 2)
-        options = []
-        for d in range(0, max(1, most // 8)):
-            e = most + 2 * d
-            options.append((e - d + WEAK * max(0.0, e * weak(size / e) - d), (e, 0, d)))
-        g = -(-most // 2)
-        options.append((g * (1 + size / g) + WEAK * g * weak(size / g, 1), (0, g, 0)))
-        return min(options)[1]
+        own = 1 - min(1.0, PASSAGE / size)
+        agree = lambda n: AGREED * n * math.exp(-2 * own * size / n)
+        weak = lambda n: n * math.exp(-size / n) * (1 + size / n)
+        top = math.ceil(self.share * 2 * high) + 1
+        d = min(range(max(1, top // 8)), key=lambda d: top + 2 * d + WEAK * max(0.0, weak(top + 2 * d) - d))
+        e, g = top + 2 * d, -(-most // 2)
+        return (e, 0, d) if e + agree(e) <= g + size + agree(g) else (0, g, 0)
 
     def bands(self, sizes: np.ndarray) -> np.ndarray:
         band = np.searchsorted(self.lows, sizes, "right") - 1
@@ -72,10 +75,15 @@ class Scheme:
             self.known += 1
         return band
 
-    def keys(self, tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(keys, rows) of sets laid end to end, for each band their pairs may belong to."""
+    def keys(self, tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, rows, how many a row may leave out besides) of sets laid end to end, for each band of their pairs.
+
+        Exact segments of a row come with those of the fewest shingles first, which most sets share, but for the ones
+        that the row leaves out because it is small.
+        """
         own = self.bands(sizes)
         row = np.repeat(np.arange(len(sizes)), sizes)
+        highs = np.array(self.lows[1 : self.known + 1]) - 1
         for ahead in range(len(self.lows)):
             band = own + ahead
             use = (sizes > 0) & ((sizes >= self.least[band]) if ahead else True)
@@ -88,21 +96,16 @@ class Scheme:
             tok, r = tokens[keep], row[keep]
             seg = base[r] + (((tok >> U64(32)) * m[r].astype(U64)) >> U64(32)).astype(np.int64)
             owner = np.repeat(np.arange(len(sizes)), m)
-            j = np.arange(base[-1]) - base[owner]
-            salt = mix((band[owner].astype(U64) << U64(40)) + j.astype(U64))
+            salt = mix((band[owner].astype(U64) << U64(40)) + (np.arange(base[-1]) - base[owner]).astype(U64))
             sums = np.zeros(base[-1], U64)
             np.add.at(sums, seg, tok)
-            count = np.bincount(seg, minlength=base[-1])
-            # the segments with the fewest shingles are the ones that most sets share
-            exact = j < e[owner]
-            order = np.lexsort((np.where(exact, count, 1 << 40), owner))
-            rank = np.empty(base[-1], np.int64)
-            rank[order] = np.arange(base[-1]) - base[owner[order]]
-            sent = ~exact | (rank >= d[owner])
-            yield mix(sums[sent] ^ salt[sent]), owner[sent]
-            near = ~exact[seg]
+            spare = np.where(e > 0, np.floor(self.share * (highs[np.minimum(band, len(highs) - 1)] - sizes) - 1e-9), 0).clip(0).astype(np.int64)
+            order = np.lexsort((np.bincount(seg, minlength=base[-1]), owner))
+            order = order[np.arange(base[-1]) - base[owner] >= spare[owner]]
+            yield mix(sums[order] ^ salt[order]), owner[order], d
+            near = (g > 0)[r]
             if near.any():
-                yield mix((sums[seg[near]] - tok[near]) ^ salt[seg[near]]), r[near]
+                yield mix((sums[seg[near]] - tok[near]) ^ salt[seg[near]]), r[near], np.zeros_like(d)
 
 
 @cache
@@ -181,10 +184,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     """id_col, n_shingles, component_id: documents link where 100 * shared shingles >= percent * shingles of either.
 
     1. Every set sends the keys of its segments (Scheme).  Keys of several documents, found with partial minima and
-       maxima, go to a filter of fixed size; each document then keeps those of its keys that pass, and its set if any.
+       maxima, go to a filter of fixed size; each document then keeps those of its keys that pass, but for some of
+       those that very many documents send.
     2. Documents of equal sets stand for one.  Keys tie the rest to clusters; a cluster is compared whole, or, where
        that is more work than comparing the documents of each of its keys (a loose cluster), key by key.  Groups are
-       cut into blocks of bounded size, and pairs of blocks are compared exactly.
+       cut into blocks of bounded size, and pairs of blocks are compared exactly, with sets made anew from the texts.
     3. The links found connect what all links connect; their components, by alternating stars, give the smallest id.
 
     Words end at blanks, A-Z are lower-cased.  A shingle is known by a 64-bit hash.  Fewer words than `shingle`: the
@@ -204,21 +208,33 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
             for i, j, sets in sets_of(b):
                 sizes = np.array([len(x) for x in sets]) * known[i:j]
                 tokens = np.concatenate([x for x, n in zip(sets, sizes, strict=True) if n] or [np.zeros(0, U64)])
-                for keys, row in s.keys(tokens, sizes):
+                for keys, row, _ in s.keys(tokens, sizes):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[i + row])], names=["h", "id"])
 
-    several = base.mapInArrow(send, "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    bits = build_filter(stage(several.select("h"), "keys"), "h")
+    several = base.mapInArrow(send, "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where(F.col("lo") < F.col("hi"))
+    several = stage(several.select("h", (F.col("c") > BUSY).alias("busy")), "keys")
+    bits, busy = build_filter(several, "h"), build_filter(several.where("busy"), "h")
+
+    def chosen(s, tokens, sizes):
+        """(keys, rows) that other documents send too; of the busy ones, a row leaves out as many as its scheme allows."""
+        for k, r, d in s.keys(tokens, sizes):
+            ok = passes(bits.value, k)
+            k, r = k[ok], r[ok]
+            hot = passes(busy.value, k)
+            before = np.cumsum(hot) - hot
+            first = np.searchsorted(r, r)
+            ok = ~hot | (before - before[first] >= d[r])
+            yield k[ok], r[ok]
 
     def keep(batches):
         s = scheme(percent)
         for b in batches:
             known = b.column("id").is_valid().to_numpy(zero_copy_only=False)
-            n, s1, s2, keys, kept = [], [], [], [], []
+            n, s1, s2, keys = [], [], [], []
             for i, j, sets in sets_of(b):
                 sizes = np.array([len(x) for x in sets])
                 tokens = np.concatenate([x for x, ok in zip(sets, known[i:j], strict=True) if ok] or [np.zeros(0, U64)])
-                found = [(k[ok], r[ok]) for k, r in s.keys(tokens, sizes * known[i:j]) for ok in [passes(bits.value, k)]]
+                found = list(chosen(s, tokens, sizes * known[i:j]))
                 k = np.concatenate([x for x, _ in found] or [np.zeros(0, U64)]).view(np.int64)
                 r = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
                 order = np.argsort(r, kind="stable")
@@ -227,17 +243,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
                 s1 += [int(mix(x).sum().view(np.int64)) if len(x) else 0 for x in sets]
                 s2 += [int(np.bitwise_xor.reduce(mix(x ^ U64(0xABCDEF))).view(np.int64)) if len(x) else 0 for x in sets]
                 keys += per
-                kept += [x.tobytes() if len(p) else None for x, p in zip(sets, per, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                names=["id", "n", "s1", "s2", "keys", "items"],
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "n", "s1", "s2", "keys"],
             )
 
-    sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, items binary"), "sets")
+    sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "sets")
     named = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = stage(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")
     own = named.where(F.size("keys") > 0).select("id", "n", "keys").join(reps.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi")
-    hits = stage(own.select("id", "n", F.explode("keys").alias("h")).dropDuplicates(["h", "id"]), "hits")
+    hits = stage(own.select("id", "n", F.explode("keys").alias("h")), "hits")
     groups = hits.groupBy("h").agg(F.min("id").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("words"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where(F.col("c") > 1)
     # keys of the same documents are one group
     groups = stage(groups.groupBy("who", "c", "words", "lead").agg(F.min("h").alias("h")), "groups")
@@ -254,7 +269,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     block = at_once.unionByName(apart).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = block.select("kind", "gid", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
-    filled = block.join(sets.where(F.col("items").isNotNull()).select("id", "items").join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "id")
+    block = stage(block, "blocks")
+    wanted = build_filter(block, "id")
+
+    def fill(batches):
+        """The sets of the documents that are to be compared, from their texts."""
+        for b in batches:
+            ok = b.column("id").is_valid().to_numpy(zero_copy_only=False) & passes(wanted.value, b.column("id").fill_null(0).to_numpy().view(U64))
+            b = b.filter(pa.array(ok))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for _, _, part in sets_of(b) for x in part], pa.binary())], names=["id", "items"])
+
+    filled = block.join(base.mapInArrow(fill, "id bigint, items binary"), "id")
     task = ["kind", "gid", "i", "j"]
 
     def compare(batches):
