@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ridgelens.functions.grid import DELTA_Y, REF_LAT, delta_x
 
@@ -83,7 +87,7 @@ def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("v
     """labels with slot and shown: in order of nth, a label shows if no shown one is nearer than the text's height.
 
     web marks the others (threshold 0.8 of the height), sdl drops them.  A view's labels are folded in one row; a view
-    holds the landmarks visible from one place, which the view's size bounds.
+    holds the landmarks visible from one place, which the view's size bounds; thin_streamed() has no such need.
     """
     near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
     d = labels.withColumn("slot", slot(variant))
@@ -100,3 +104,30 @@ def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("v
     )
     out = views.select(*keys, F.explode(F.arrays_zip("all", kept.alias("shown"))).alias("x")).select(*keys, *[F.col(f"x.all.{c}").alias(c) for c in rest], F.col("x.shown").alias("shown"))
     return out.where("shown") if variant == "sdl" else out
+
+
+def thin_streamed(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("vp_id",), nth: str = "nth") -> DataFrame:
+    """The same as thin() for views of any size: labels are dealt by view, sorted, and stream by.
+
+    Only the slots of shown labels are remembered, in order; they are at least the threshold apart.
+    """
+    near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
+    d = labels.withColumn("slot", slot(variant))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        view, at = None, []
+        for f in frames:
+            shown = []
+            for now, p in zip(f[list(keys)].itertuples(index=False, name=None), f["slot"], strict=True):
+                if now != view:
+                    view, at = now, []
+                k = bisect_left(at, p)
+                free = not any(abs(q - p) < near for q in at[max(0, k - 1) : k + 1])
+                shown.append(free)
+                if free:
+                    at.insert(k, p)
+            yield f.assign(shown=shown)
+
+    schema = StructType([*d.schema, StructField("shown", BooleanType())])
+    out = d.repartition(*keys).sortWithinPartitions(*keys, nth).mapInPandas(fold, schema)
+    return out.where("shown") if variant == "sdl" else out

@@ -65,6 +65,15 @@ def test_thinning_counts_only_kept_labels(spark):
     assert [r.shown for r in labels.thin(df).orderBy("nth").collect()] == [True, False, True]
 
 
+def test_thinning_forms_agree(spark):
+    rng = random.Random(2)
+    rows = [(v, k, rng.uniform(-1, 1), rng.uniform(-1, 1), 0.0) for v in range(4) for k in range(80)]
+    df = spark.createDataFrame(rows, "vp_id bigint, nth int, v double, u double, inclination double")
+    for variant in ("web", "sdl"):
+        a, b = (sorted((r.vp_id, r.nth, r.shown) for r in f(df, variant=variant).collect()) for f in (labels.thin, labels.thin_streamed))
+        assert a == b and 0 < sum(x[2] for x in a) < len(rows)
+
+
 def test_pressed_keys_clamp(spark):
     codes = ["ArrowUp"] * 8 + ["ArrowDown"] * 14 + ["ArrowUp", "ArrowLeft", "Escape", "ArrowRight", "ArrowRight"]
     df = spark.createDataFrame([(k, 7, c) for k, c in enumerate(codes)], "seq bigint, device_id bigint, code string").withColumn("ts", F.timestamp_seconds("seq"))
