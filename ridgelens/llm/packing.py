@@ -5,19 +5,18 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgelens.llm.common import documents, stage
+from ridgelens.llm.words import WordCache, Words, blocks
 
 LENGTH, END_ID = 2048, 1
 #: Token ids are hashed to BINS counts, projected to DIMS numbers, each cut to 2**BITS steps of the curve's grid.
 BINS, DIMS, BITS = 256, 4, 12
-#: Words remembered by each worker, some 250 bytes each, and the longest.
-KNOWN, KNOWN_LENGTH = 1_000_000, 40
-
 
 class WordEncoder:
     """Token ids of texts by a tokenizers file that splits at blanks, each word encoded once and remembered.
@@ -34,51 +33,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
         probe = "It's  a\tB,c. \n\n'll x́ İΣ 9 don't <|endoftext|> a<|startoftext|>b\x0b\x0c\r  q "
         self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
-        self.splits = self.ids(probe) == [i for w in probe.split(" ") for i in self.ids(w)] == [i for w in self.words(probe) for i in self.ids(w)]
+        self.known = WordCache(self.kind)
+        self.splits = self.ids(probe) == [i for w in probe.split() for i in self.ids(w)]
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").split(" ")
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words; those of letters only are encoded together, each ending with the id of a word's end."""
-        plain = [w for w in words if w.isalpha()]
-        ids = np.array(self.ids(" ".join(plain)), self.kind)
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words; those of letters and at most one mark behind are encoded together and cut at words' ends."""
+        marked = [len(w) > 1 and w[-1] in ",." for w in words]
+        plain = [(w[:-1] if m else w).isalpha() for w, m in zip(words, marked, strict=True)]
+        ids = np.array(self.ids(" ".join([w for w, p in zip(words, plain, strict=True) if p])), self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(plain):  # a letter that the normalizer takes apart
-            plain = []
-        found = {w: ids[a:b].tobytes() for w, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True)} if plain else {}
-        rest = [w for w in words if w not in found]
-        if rest:
-            found.update((w, np.array(x.ids, self.kind).tobytes()) for w, x in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return found
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.splits:
-            return np.array(self.ids(text), self.kind)
-        words, known = self.words(text), self.known
-        got = [known.get(w) for w in words]
-        if None in got:
-            new = list({w for w, b in zip(words, got, strict=True) if b is None})
-            # a word with one closing mark: the ids of the rest, then the mark's, if the rest is letters only
-            stems = [w[:-1] if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha() else w for w in new]
-            fresh = self._encode(list({s for s in stems if s not in known}))
-            marks = {m: np.array(self.ids(m), self.kind).tobytes() for m in ",."}
-            for w, s in zip(new, stems, strict=True):
-                b = fresh[s] if s in fresh else known[s]
-                fresh[w] = b if s == w else b + marks[w[-1]]
-            if len(known) < KNOWN:
-                known.update((w, b) for w, b in fresh.items() if len(w) <= KNOWN_LENGTH)
-            got = [fresh[w] if b is None else b for w, b in zip(words, got, strict=True)]
-        return np.frombuffer(b"".join(got), self.kind)
+        steps = np.array([1 + m for m, p in zip(marked, plain, strict=True) if p], np.int64)
+        if len(ends) != steps.sum():  # a letter that the normalizer takes apart
+            return [np.array(x.ids, self.kind) for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        cuts = ends[np.cumsum(steps) - 1] if len(steps) else ends
+        whole = iter(np.split(ids, cuts[:-1]) if len(cuts) else [])
+        rest = iter(self.model.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(whole) if p else np.array(next(rest).ids, self.kind) for p in plain]
+
+    def rows(self, texts: pa.Array, end_id: int):
+        """The ids of each text with end_id behind, block by block: all of them end to end, and the ends of the rows."""
+        for i, j, data, at in blocks(texts):
+            if self.splits:
+                w = Words(data, at)
+                flat, lengths = self.known(w, data, self._encode)
+                sums = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[w.row_at]
+            else:
+                raw = data.tobytes()
+                each = [np.array(self.ids(raw[a:b].decode()), self.kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+                flat, sums = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            out = np.full(len(flat) + j - i, end_id, self.kind)
+            out[np.arange(len(flat)) + np.repeat(np.arange(j - i), np.diff(sums))] = flat
+            yield out, sums[1:] + np.arange(1, j - i + 1)
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -139,9 +131,15 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", id_col: str = "doc
     def run(batches):
         enc, planes = encoder(path), _planes()
         for b in batches:
-            ids = [np.append(enc(t), enc.kind(end_id)) for t in b.column("body").to_pylist()]
+            raw, n, p = [], [], []
+            for ids, ends in enc.rows(b.column("body"), end_id):
+                starts = np.concatenate([[0], ends[:-1]])
+                n.append(ends - starts)
+                raw += [ids[a:z].tobytes() for a, z in zip(starts, ends, strict=True)]
+                p += [_project(ids[a:z], planes) for a, z in zip(starts, ends, strict=True)]
+            n = np.concatenate(n or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.itemsize for x in ids], pa.int32()), pa.array([_project(x, planes) for x in ids], pa.list_(pa.float64()))],
+                [b.column("id"), pa.array(raw, pa.binary()), pa.array(n, pa.int32()), pa.array(np.full(len(n), np.dtype(enc.kind).itemsize), pa.int32()), pa.array(p, pa.list_(pa.float64()))],
                 names=["id", "ids", "n", "width", "p"],
             )
 
@@ -172,12 +170,11 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_i
         cells.append(F.least(F.floor(steps / (1 + F.exp((F.lit(mean) - F.col("p")[d]) * (1.7 / max(spread, 1e-12))))), F.lit(steps - 1)).cast("int"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def place(batches):
-        for b in batches:
-            grid = np.stack(b.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)) if b.num_rows else np.zeros((0, DIMS))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), b.column("n"), b.column("width"), pa.array(hilbert(grid, BITS), pa.int64())], names=["id", "ids", "n", "width", "place"])
+    @F.pandas_udf("bigint")
+    def place(cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert(np.stack(cells.to_numpy()), BITS) if len(cells) else np.zeros(0, np.int64))
 
-    placed = rows.select("id", "ids", "n", "width", F.array(*cells).alias("cells")).mapInArrow(place, f"id {id_type}, ids binary, n int, width int, place bigint")
+    placed = rows.select("id", "ids", "width", place(F.array(*cells)).alias("place"))
     ordered = placed.repartitionByRange("place", "id", F.xxhash64("ids")).sortWithinPartitions("place", "id", F.xxhash64("ids"))
 
     def cut(batches):
