@@ -18,7 +18,7 @@ from ridgelens.llm.words import U64, Words, blocks, mix
 
 SHINGLE, PERCENT = 5, 80
 #: Documents, and shingles, of a block that one task compares with another.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
 #: Prices, in keys sent: of a segment with at most one shingle; of a segment in which two sets agree because all their
 #: shingles there come from one shared passage of PASSAGE shingles.
 WEAK, AGREED, PASSAGE = 40.0, 300.0, 60
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
             mixed = at[2] != at[3]
             return forest(np.array(ids), [np.frombuffer(x, U64) for x in items], percent, np.array(sides) == at[2] if mixed else None)
 
-        for b in batches:
+        for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):  # a row holds a whole set
             out = []
             for *now, side, i, raw in zip(*[b.column(c).to_pylist() for c in [*task, "side", "id", "items"]], strict=True):
                 if now != at:
