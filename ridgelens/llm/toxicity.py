@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgelens.llm.common import documents
+from ridgelens.llm.common import documents, stage
 from ridgelens.llm.words import U64, Words, blocks
 
 #: At most so many labelled rows of each class, with texts up to TRAIN_CHARS, are used to fit the model.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 50_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, RATE, CUT = 6, 0.02, 0.7
+#: Log odds of the scores (-30 to 30) fall into this many bins when cuts are sought; labelled rows that a language needs for a cut of its own.
+BINS, ENOUGH = 1 << 16, 30
 
 
 @dataclass
@@ -147,59 +149,81 @@ def fit(texts: pa.Array, labels: np.ndarray, *, epochs: int = EPOCHS, rate: floa
     return m
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of highest F-measure that weighs precision twice, half way to the next lower score: clean rows stay."""
-    order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    hit = np.cumsum(y)
-    good = 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
-    good[:-1][p[:-1] == p[1:]] = 0  # no cut between equal scores
-    k = int(good.argmax())
-    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
+def _best_cut(n: np.ndarray, hits: np.ndarray, low: np.ndarray, high: np.ndarray) -> float | None:
+    """The cut of highest F-measure that weighs precision twice, half way to the next lower score: clean rows stay.
+
+    Each bin of scores, highest first, comes as its rows, those of label 1, its lowest and its highest score.  None if
+    the rows are not of both labels.
+    """
+    if not 0 < hits.sum() < n.sum():
+        return None
+    k = int((1.25 * np.cumsum(hits) / (np.cumsum(n) + 0.25 * hits.sum())).argmax())
+    return float((low[k] + (high[k + 1] if k + 1 < len(n) else 0)) / 2)
+
+
+def _bins(t: pa.Table) -> tuple[np.ndarray, ...]:
+    t = t.sort_by([("bin", "descending")])
+    return tuple(t[c].to_numpy() for c in ("n", "hits", "low", "high"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "toxic", lang: str = "lang") -> Model:
-    """Fit on a bounded sample of labelled rows, never on those whose crc32(id as text) mod 3 is 1.
+    """Fit on a bounded sample of labelled rows, set cuts on all of them, never on those whose crc32(id as text) mod 3 is 1.
 
-    Remainder 0 trains; remainder 2 sets the cut of each language (30 labelled rows of it with both labels, else the
-    cut over all languages, else CUT).  The sample is the rows with the smallest hash of the id, TRAIN_TOXIC and
-    TRAIN_CLEAN of each class and remainder at most, texts up to TRAIN_CHARS; ids with conflicting labels count as 1.
+    Remainder 0 fits: the rows with the smallest hash of the id, TRAIN_TOXIC and TRAIN_CLEAN of each class at most,
+    texts up to TRAIN_CHARS.  Every labelled row of remainder 2, whatever its length, is counted in setting the cut of
+    each language (ENOUGH labelled rows of it with both labels, else the cut over all languages, else CUT).  Ids with
+    conflicting labels count as 1.
     """
     third = F.crc32(F.col("id").cast("binary")) % 3
-    known = labels.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y")).withColumn("third", third)
+    known = labels.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     pick = None
     for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        for k in (0, 2):
-            part = known.where((F.col("y") == y) & (F.col("third") == k)).orderBy(F.xxhash64("id"), "id").limit(most)
-            pick = part if pick is None else pick.unionByName(part)
-    body = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text}`").alias("body"), (F.col(f"`{lang}`") if lang in docs.columns else F.lit(None)).cast("string").alias("lang")).where(F.char_length(F.coalesce("body", F.lit(""))) <= TRAIN_CHARS)
-    rows = body.join(F.broadcast(pick), "id")  # pick is bounded by the sample
+        part = known.where((F.col("y") == y) & (third == 0)).orderBy(F.xxhash64("id"), "id").limit(most)
+        pick = part if pick is None else pick.unionByName(part)
+    body = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text}`").alias("body"), (F.col(f"`{lang}`") if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
+    rows = body.where(F.char_length(F.coalesce("body", F.lit(""))) <= TRAIN_CHARS).join(F.broadcast(pick), "id")  # pick is bounded by the sample
 
     def learn(batches):
         """The one task that sees the sample."""
         parts = list(batches)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_learned(pa.Table.from_batches(parts) if parts else None))], pa.binary())], names=["model"])
 
-    (found,) = rows.select("id", "body", "lang", "y", "third").coalesce(1).mapInArrow(learn, "model binary").collect()
-    return pickle.loads(found.model)
+    (found,) = rows.select("id", "body", "y").coalesce(1).mapInArrow(learn, "model binary").collect()
+    model = pickle.loads(found.model)
+    _set_cuts(model, body.where(third == 2), known.where(third == 2))
+    return model
 
 
 def _learned(rows: pa.Table | None) -> Model:
     if rows is None or not rows.num_rows:
         return fit(pa.array([], pa.string()), np.zeros(0, int))
     rows = rows.sort_by([("id", "ascending"), ("body", "ascending")]).combine_chunks()
-    texts = rows["body"].combine_chunks()
-    y, k, tongue = rows["y"].to_numpy().astype(int), rows["third"].to_numpy(), np.array(rows["lang"].to_pylist(), object)
-    m = fit(texts.filter(pa.array(k == 0)), y[k == 0])
-    check = k == 2
-    p, y, tongue = scores(m, texts.filter(pa.array(check))), y[check], tongue[check]
-    if 0 < y.sum() < len(y):
-        m.threshold = _best_cut(p, y)
-    for name in {x for x in tongue if x is not None}:
-        own = tongue == name
-        if own.sum() >= 30 and 0 < y[own].sum() < own.sum():
-            m.thresholds[name] = _best_cut(p[own], y[own])
-    return m
+    return fit(rows["body"].combine_chunks(), rows["y"].to_numpy().astype(int))
+
+
+def _set_cuts(model: Model, body: DataFrame, known: DataFrame) -> None:
+    """Sets the model's cuts from all rows of body (id, body, lang) with a label in known (id, y).
+
+    Texts are scored where they lie; ids, languages and scores meet the labels and are counted by language and bin.
+    """
+    sent = body.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in (whole.slice(s, 1000) for whole in batches for s in range(0, whole.num_rows, 1000)):  # small parts go back
+            p = scores(sent.value, b.column("body"))
+            at = np.clip((np.log(p / (1 - p)) + 30) / 60 * BINS, 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(p), pa.array(at)], names=["id", "lang", "p", "bin"])
+
+    def own(t: pa.Table) -> pa.Table:
+        enough = t.num_rows and sum(t["n"].to_pylist()) >= ENOUGH
+        return pa.table({"lang": t["lang"].slice(0, 1), "cut": pa.array([_best_cut(*_bins(t)) if enough else None], pa.float64())})
+
+    scored = body.mapInArrow(run, "id string, lang string, p double, bin int").join(known, "id")
+    counts = stage(scored.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"), F.min("p").alias("low"), F.max("p").alias("high")), "scores")
+    cut = _best_cut(*_bins(counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()))
+    model.threshold = CUT if cut is None else cut
+    found = counts.where(F.col("lang").isNotNull()).groupBy("lang").applyInArrow(own, "lang string, cut double").where(F.col("cut").isNotNull())
+    model.thresholds = {r.lang: r.cut for r in found.collect()}
 
 
 def classify(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:

@@ -254,6 +254,32 @@ def test_toxicity_cases(spark):
     assert toxicity.classify(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
 
 
+def test_toxicity_cuts_cover_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(900):
+        y = int(rng.random() < 0.12)
+        odd = rng.random() < (0.6 if y else 0.1)
+        words = [f"w{rng.integers(60)}" for _ in range(20)] + [f"bad{rng.integers(4)}" if odd else "w"] * int(rng.integers(1, 3))
+        rows.append((k, " ".join(words * (9 if k % 5 == 0 else 1)), ("en", "de", None)[k % 3], y))
+    rows += [(2000 + k, "bad1 bad2 w1", "fr", 1 - k % 2) for k in range(20)]  # too few for a cut of their own
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int").repartition(3)
+    for name, most in (("TRAIN_TOXIC", 30), ("TRAIN_CLEAN", 30), ("TRAIN_CHARS", 300)):
+        monkeypatch.setattr(toxicity, name, most)
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    check = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 2]
+    p = toxicity.scores(model, pa.array([r[1] for r in check], pa.string()))
+
+    def good(cut, some):  # the F-measure that weighs precision twice
+        told, y = [p[k] >= cut for k in some], [check[k][3] for k in some]
+        return 1.25 * sum(a and b for a, b in zip(told, y)) / (sum(told) + 0.25 * sum(y))
+
+    assert set(model.thresholds) == {"en", "de"}
+    for cut, lang in ((model.threshold, None), *((c, x) for x, c in model.thresholds.items())):
+        some = [k for k, r in enumerate(check) if lang in (None, r[2])]
+        assert good(cut, some) > max(good(c, some) for c in p[some]) - 0.005
+
+
 def test_line_dedup_sql(spark):
     import duckdb
 
