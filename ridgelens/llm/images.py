@@ -16,8 +16,8 @@ from ridgelens.llm.components import components
 CORNERS, SCALES, TESTS, RADIUS = 12, (8, 6, 4), 128, 7
 #: Table columns of 32 bits; bits in which two matching descriptors differ at most; matches that agree on one geometry.
 TABLES, NEAR, AGREE = 4, 20, 4
-#: Up to so many corners of a table entry meet each other; of more, all meet the first image's.
-CROWD = 16
+#: Corners of a table entry that are compared in one place; of more, blocks of about so many are compared two by two.
+CROWD = 256
 TURNS = 32
 
 
@@ -111,9 +111,9 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
 
     Images of equal bytes stand for one.  Each corner's descriptor goes to a table for every 32 of its bits; corners in
     one entry that differ in NEAR bits at most match.  A match says how the one image lies in the other: scale, turn and
-    shift; two images link if AGREE matches say the same, up to a coarse step.  An entry of up to CROWD corners gives all
-    its pairs; in a larger one each corner meets that of the image with the smallest id, so a motif of a third of all
-    images costs a row each, and a large family of copies meets in its first image.
+    shift; two images link if AGREE matches say the same, up to a coarse step.  All corners of an entry meet each other; one
+    of more than CROWD is dealt into blocks, and each pair of blocks is compared in its own place, so a motif that very
+    many images share costs the square of their number in comparisons and in votes, but no single task bears it.
 
     Null or broken images (no pixels, sizes that do not fit) and images without corners link only with equal bytes (null:
     with nothing).  Null ids: returned with a null group.  Rows with equal ids are one image with the corners of both.  Empty table:
@@ -149,14 +149,15 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
     word = F.expr("shiftright(if(t < 2, b1, b2), if(t % 2 = 0, 32, 0))").bitwiseAND(F.lit(0xFFFFFFFF))
     entry = entry.withColumn("entry", F.col("t").cast("long").bitwiseOR(F.shiftleft(word, 2))).drop("t")
     # entries of several images only, from partial counts
-    busy = stage(entry.groupBy("entry").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("c")).where(F.col("lead") < F.col("last")).drop("last"), "entries")
+    busy = stage(entry.groupBy("entry").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where(F.col("first") < F.col("last")).select("entry", "c"), "entries")
     rows = stage(entry.join(busy, "entry"), "matches")
     fields = ["id", "x", "y", "scale", "turn", "b1", "b2"]
-    few = rows.where(F.col("c") <= CROWD)
-    left = few.select("entry", *[F.col(f).alias(f"{f}_") for f in fields])
-    first = rows.where((F.col("c") > CROWD) & (F.col("id") == F.col("lead"))).groupBy("entry").agg(F.min(F.struct(*fields)).alias("f")).select("entry", *[F.col(f"f.{f}").alias(f"{f}_") for f in fields])
-    pairs = few.join(left, "entry").where(F.col("id_") < F.col("id")).select(*fields, *[f"{f}_" for f in fields])
-    pairs = pairs.unionByName(rows.where(F.col("c") > CROWD).join(first, "entry").where(F.col("id_") < F.col("id")).select(*fields, *[f"{f}_" for f in fields]))
+    # block against block: each pair of an entry's corners meets once, the smaller id on the left
+    parts = F.ceil(F.col("c") / CROWD).cast("int")
+    own, others = F.pmod(F.xxhash64(*fields), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    left = rows.select("entry", own.alias("i"), others.alias("j"), *[F.col(f).alias(f"{f}_") for f in fields])
+    right = rows.select("entry", others.alias("i"), own.alias("j"), *fields)
+    pairs = right.join(left, ["entry", "i", "j"]).where(F.col("id_") < F.col("id")).select(*fields, *[f"{f}_" for f in fields])
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b1_"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b2_")))
     pairs = pairs.where(differ <= NEAR)
     # how the second lies in the first: ratio of scales, turn, and where the first's origin falls

@@ -157,3 +157,30 @@ def test_image_copies(spark):
     assert all(group[m] >= want for m, want in copies)  # never with another picture
     assert (group[10_001], group[10_002], group[10_003], group[10_004], group[10_005], group[None]) == (10_001, 10_002, 10_003, 10_004, 10_004, None)
     assert images.find_copies(odd.where("false")).count() == 0
+
+
+def planted(spark, monkeypatch, corners):
+    """The groups of images whose corners are given: rows (x, y, words) of each image's id."""
+
+    def describe(px):
+        found = [(k, x, y, 8, 0, w) for k, image in enumerate(px) for x, y, w in corners[int(image[0, 0])]]
+        parts = list(zip(*found, strict=True))
+        return tuple(np.array(p) for p in parts)
+
+    monkeypatch.setattr(images, "describe", describe)
+    media = spark.createDataFrame([(k, bytes([k] * 4), 2, 2) for k in corners], "media_id bigint, pixels binary, height int, width int").repartition(1)
+    return {r.media_id: r.copy_group for r in images.find_copies(media).collect()}
+
+
+@pytest.mark.parametrize("crowd", [images.CROWD, 5])
+def test_copies_meet_in_crowded_entries(spark, monkeypatch, crowd):
+    monkeypatch.setattr(images, "CROWD", crowd)
+    rng = np.random.default_rng(2)
+    word = lambda: int(rng.integers(1 << 32))
+    motif = [[word()] + [0] * 3 for _ in range(4)]
+    far = lambda w: [w[0], *[word() for _ in range(3)]]
+    corners = {k: [(10.0 * rng.integers(9), 10.0 * rng.integers(9), far(w)) for w in motif] for k in range(30)}
+    true = [(12.0 * k, 7.0 * k, w) for k, w in enumerate(far(w) for w in motif)]
+    # copies that meet only in entries that unrelated images fill and lead
+    corners |= {40: true, 50: [(x, y, [w[0], *[v ^ 1 for v in w[1:]]]) for x, y, w in true]}
+    assert planted(spark, monkeypatch, corners) == {**{k: k for k in range(30)}, 40: 40, 50: 40}
