@@ -6,14 +6,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgelens.llm.common import stage
 from ridgelens.llm.components import components
 
-#: Corners kept of each image and scale; sizes of the scales in eighths; binary tests; radius of a patch.
-CORNERS, SCALES, TESTS, RADIUS = 12, (8, 6, 4), 128, 7
+#: Strongest corners kept of each image and scale; besides them, corners that lead their surroundings of this radius;
+#: sizes of the scales in eighths; binary tests; radius of a patch.
+CORNERS, SPREAD, SCALES, TESTS, RADIUS = 12, 6, (8, 6, 4), 128, 7
+#: Images described at a time, and their pixels: corners are many times their row.
+MOST_IMAGES, MOST_PIXELS = 500, 1 << 21
 #: Table columns of 32 bits; bits in which two matching descriptors differ at most; matches that agree on one geometry.
 TABLES, NEAR, AGREE = 4, 20, 4
 #: Corners of a table entry that are compared in one place; of more, blocks of about so many are compared two by two.
@@ -44,6 +48,31 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return x
 
 
+def _highest(x: np.ndarray, r: int) -> np.ndarray:
+    """Maxima over (2r+1)-squares, as far as they lie inside."""
+    for axis in (1, 2):
+        n, out = x.shape[axis], x.copy()
+        for k in range(1, min(r, n - 1) + 1):
+            low, high = [slice(None)] * 3, [slice(None)] * 3
+            low[axis], high[axis] = slice(0, n - k), slice(k, n)
+            np.maximum(out[tuple(low)], x[tuple(high)], out=out[tuple(low)])
+            np.maximum(out[tuple(high)], x[tuple(low)], out=out[tuple(high)])
+        x = out
+    return x
+
+
+def _portions(batches):
+    """Slices of the batches of MOST_IMAGES rows and MOST_PIXELS bytes of pixels at most, or of one row."""
+    for whole in batches:
+        start = pixels = 0
+        for k, size in enumerate(pc.fill_null(pc.binary_length(whole.column("px")), 0).to_pylist()):
+            if k > start and (k - start == MOST_IMAGES or pixels + size > MOST_PIXELS):
+                yield whole.slice(start, k - start)
+                start, pixels = k, 0
+            pixels += size
+        yield whole.slice(start)
+
+
 def _shrink(x: np.ndarray, eighths: int) -> np.ndarray:
     """Images at eighths / 8 of their size, by linear interpolation after a little smoothing."""
     if eighths == 8:
@@ -62,8 +91,9 @@ def _shrink(x: np.ndarray, eighths: int) -> np.ndarray:
 def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
     """Corners of images (count x height x width) of one size: image, x, y (full size), scale, turn, and TABLES words.
 
-    A corner is a local maximum of the smaller-eigenvalue response (determinant over trace); the strongest CORNERS of
-    each scale count, apart from a margin in which a patch would leave the image.  Its turn is the direction of the
+    A corner is a local maximum of the smaller-eigenvalue response (determinant over trace), apart from a margin in
+    which a patch would leave the image.  The strongest CORNERS of each scale count, and all that no stronger one has
+    within SPREAD pixels either way: these grow with the image's area, and a crop keeps its share of them.  Its turn is the direction of the
     patch's centre of brightness; the tests compare smoothed brightness at pairs of places turned with it.
     """
     pattern, out = _pattern(), []
@@ -89,8 +119,9 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
         value = np.where(top & (inner > 1), inner, 0).reshape(n, -1)
         take = min(CORNERS, value.shape[1])
         best = np.argsort(-value, axis=1, kind="stable")[:, :take]
-        image, k = np.nonzero(np.take_along_axis(value, best, 1) > 0)
-        place = best[image, k]
+        kept = (value > 0) & (inner >= _highest(r, SPREAD)[:, m:-m, m:-m]).reshape(n, -1)
+        np.put_along_axis(kept, best, np.take_along_axis(value, best, 1) > 0, 1)
+        image, place = np.nonzero(kept)
         cy, cx = place // inner.shape[2] + m, place % inner.shape[2] + m
         soft = _box(x, 1)
         patch = x[image[:, None], cy[:, None] + oy, cx[:, None] + ox]
@@ -123,7 +154,7 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
     keyed = base.withColumn("sha", F.when(F.col("px").isNotNull(), F.sha2(F.concat_ws(":", F.hex("px"), "h", "w"), 256)))
 
     def corners(batches):
-        for b in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):  # corners are many times their row
+        for b in _portions(batches):
             px, hs, ws = b.column("px").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
             shapes: dict[tuple[int, int], list[int]] = {}
             for k, (p, h, w) in enumerate(zip(px, hs, ws, strict=True)):

@@ -184,3 +184,18 @@ def test_copies_meet_in_crowded_entries(spark, monkeypatch, crowd):
     # copies that meet only in entries that unrelated images fill and lead
     corners |= {40: true, 50: [(x, y, [w[0], *[v ^ 1 for v in w[1:]]]) for x, y, w in true]}
     assert planted(spark, monkeypatch, corners) == {**{k: k for k in range(30)}, 40: 40, 50: 40}
+
+
+def test_small_crops_of_large_images(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(6):
+        grain = rng.normal(size=(1, 320, 320))
+        image = np.clip(128 + 40 * (images._box(grain, 1) / 3 + images._box(grain, 3) / 7)[0], 0, 255).astype(np.uint8)
+        y, x = rng.integers(0, 240, 2)
+        crop = image[y : y + 80, x : x + 80]
+        rows += [(10 * k, image.tobytes(), 320, 320), (10 * k + 1, crop.tobytes(), 80, 80)]
+    media = spark.createDataFrame(rows, "media_id bigint, pixels binary, height int, width int")
+    got = {r.media_id: r for r in images.find_copies(media).collect()}
+    assert {k: r.copy_group for k, r in got.items()} == {k: k // 10 * 10 for k in got}
+    assert all(got[10 * k].n_corners > 8 * got[10 * k + 1].n_corners for k in range(6))
