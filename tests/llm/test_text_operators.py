@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ridgelens.llm import line_dedup, mixing, packing, pii, substrings, tokens, toxicity
@@ -280,6 +281,19 @@ def test_toxicity_cuts_cover_all_rows(spark, monkeypatch):
         assert good(cut, some) > max(good(c, some) for c in p[some]) - 0.005
 
 
+def test_toxicity_sample_is_found_in_parallel(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_set_cuts", lambda *_: None)
+    rows, tasks = [(k, f"w{k % 7} w{k % 3}", k % 2) for k in range(60)], spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        tasks.add(1 if TaskContext.get().partitionId() else 0)
+        yield from batches
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    toxicity.train(df.drop("toxic").mapInArrow(seen, "doc_id bigint, text string"), df.select("doc_id", "toxic"))
+    assert tasks.value == 3  # of four tasks, all but the first
+
+
 def test_line_dedup_sql(spark):
     import duckdb
 
