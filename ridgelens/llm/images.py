@@ -10,25 +10,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgelens.llm.common import stage
+from ridgelens.llm.common import join_hot, stage
 from ridgelens.llm.components import components
 
-#: Strongest corners kept of each image and scale; besides them, corners that lead their surroundings of this radius;
-#: sizes of the scales in eighths; binary tests; radius of a patch.
-CORNERS, SPREAD, SCALES, TESTS, RADIUS = 12, 6, (8, 6, 4), 128, 7
+#: A corner leads its surroundings of this radius; sizes of the scales in eighths; binary tests; radius of a patch.
+SPREAD, SCALES, TESTS, RADIUS = 4, (8, 7, 6, 5, 4), 128, 12
 #: Images described at a time, and their pixels: corners are many times their row.
 MOST_IMAGES, MOST_PIXELS = 500, 1 << 21
 #: Table columns of 32 bits; bits in which two matching descriptors differ at most; matches that agree on one geometry.
 TABLES, NEAR, AGREE = 4, 20, 4
-#: Corners of a table entry that are compared in one place; of more, blocks of about so many are compared two by two.
-CROWD = 256
-TURNS = 32
+#: Corners of a table entry that all meet each other at once; of a larger entry, corners of a block.
+CROWD, BLOCK = 16, 512
+#: An entry of more than one in HOT of all corners, and more than LEAST, is dealt over tasks by LEAST corners.
+HOT, LEAST = 1024, 4096
+#: Angles that a patch may have; pixels of a step of the geometry.
+TURNS, STEP = 32, 6
+#: A corner: place in quarters of a pixel, scale, turn, and the words of its descriptor.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("turn", "u1"), ("words", "<u4", TABLES)])
 
 
 def _pattern() -> np.ndarray:
     """The test pairs (TESTS x 2 points x 2 coordinates) turned to each of TURNS angles, as whole pixels."""
     rng = np.random.default_rng(4)
-    points = np.clip(rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS + 2, RADIUS - 2)
+    points = np.clip(rng.normal(0, RADIUS / 1.6, (TESTS, 2, 2)), -RADIUS + 2, RADIUS - 2)
     angle = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(angle), -np.sin(angle)], -1), np.stack([np.sin(angle), np.cos(angle)], -1)], -2)
     return np.clip(np.rint(np.einsum("aij,tpj->atpi", turn, points)), -RADIUS, RADIUS).astype(int)
@@ -75,10 +79,10 @@ def _portions(batches):
 
 def _shrink(x: np.ndarray, eighths: int) -> np.ndarray:
     """Images at eighths / 8 of their size, by linear interpolation after a little smoothing."""
-    if eighths == 8:
-        return x
     h, w = x.shape[1:]
     x = _box(x, 1) / 9
+    if eighths == 8:
+        return x
     at = lambda n: (np.arange(max(1, n * eighths // 8)) + 0.5) * 8 / eighths - 0.5
     for axis, n in ((1, h), (2, w)):
         p = np.clip(at(n), 0, n - 1)
@@ -88,15 +92,15 @@ def _shrink(x: np.ndarray, eighths: int) -> np.ndarray:
     return x
 
 
-def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Corners of images (count x height x width) of one size: image, x, y (full size), scale, turn, and TABLES words.
+def describe(images: np.ndarray) -> list[np.ndarray]:
+    """The corners (CORNER) of each of some images (count x height x width) of one size.
 
-    A corner is a local maximum of the smaller-eigenvalue response (determinant over trace), apart from a margin in
-    which a patch would leave the image.  The strongest CORNERS of each scale count, and all that no stronger one has
-    within SPREAD pixels either way: these grow with the image's area, and a crop keeps its share of them.  Its turn is the direction of the
-    patch's centre of brightness; the tests compare smoothed brightness at pairs of places turned with it.
+    A corner is where the smaller-eigenvalue response (determinant over trace) is highest within SPREAD pixels, apart
+    from a margin in which a patch would leave the image: corners grow with the image's area, and a crop keeps its share
+    of them.  Its turn is the direction of the patch's centre of brightness; the tests compare smoothed brightness at
+    pairs of places turned with it.
     """
-    pattern, out = _pattern(), []
+    pattern, parts, owner = _pattern(), [], []
     yy, xx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = (yy**2 + xx**2 <= RADIUS**2).ravel()
     oy, ox = yy.ravel()[disc], xx.ravel()[disc]
@@ -111,30 +115,119 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = (a * b - c * c) / (a + b + 1e-3)
         inner = r[:, m:-m, m:-m]
-        top = np.ones_like(inner, bool)
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dy or dx:
-                    top &= inner >= r[:, m + dy : h - m + dy, m + dx : w - m + dx]
-        value = np.where(top & (inner > 1), inner, 0).reshape(n, -1)
-        take = min(CORNERS, value.shape[1])
-        best = np.argsort(-value, axis=1, kind="stable")[:, :take]
-        kept = (value > 0) & (inner >= _highest(r, SPREAD)[:, m:-m, m:-m]).reshape(n, -1)
-        np.put_along_axis(kept, best, np.take_along_axis(value, best, 1) > 0, 1)
-        image, place = np.nonzero(kept)
-        cy, cx = place // inner.shape[2] + m, place % inner.shape[2] + m
+        image, cy, cx = np.nonzero((inner > 1) & (inner >= _highest(r, SPREAD)[:, m:-m, m:-m]))
+        cy, cx = cy + m, cx + m
         soft = _box(x, 1)
         patch = x[image[:, None], cy[:, None] + oy, cx[:, None] + ox]
-        angle = np.arctan2((patch * oy).sum(1), (patch * ox).sum(1))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+        turn = np.rint(np.arctan2((patch * oy).sum(1), (patch * ox).sum(1)) / (2 * np.pi) * TURNS).astype(int) % TURNS
         p = pattern[turn]
         one = soft[image[:, None], cy[:, None] + p[:, :, 0, 1], cx[:, None] + p[:, :, 0, 0]]
         two = soft[image[:, None], cy[:, None] + p[:, :, 1, 1], cx[:, None] + p[:, :, 1, 0]]
-        bits = np.packbits(one < two, axis=1).view(">u4").astype(np.int64)
-        out.append((image, (cx + 0.5) * 8 / scale, (cy + 0.5) * 8 / scale, np.full(len(image), scale), turn, bits))
-    if not out:
-        return tuple(np.zeros(0, int) for _ in range(5)) + (np.zeros((0, TABLES), np.int64),)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        found = np.zeros(len(image), CORNER)
+        found["x"], found["y"], found["scale"], found["turn"] = np.rint((cx + 0.5) * 32 / scale), np.rint((cy + 0.5) * 32 / scale), scale, turn
+        found["words"] = np.packbits(one < two, axis=1).view(">u4")
+        parts.append(found)
+        owner.append(image)
+    if not parts:
+        return [np.zeros(0, CORNER)] * len(images)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.split(np.concatenate(parts)[order], np.searchsorted(owner[order], np.arange(1, len(images))))
+
+
+def _packed(c: np.ndarray) -> np.ndarray:
+    """Place, scale and turn of corners in one number each."""
+    return (c["x"].astype(np.int64) << 36) | (c["y"].astype(np.int64) << 9) | (c["scale"].astype(np.int64) << 5) | c["turn"]
+
+
+def _unpacked(g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x and y in pixels, scale, turn."""
+    return (g >> 36) / 4, ((g >> 9) & ((1 << 27) - 1)) / 4, (g >> 5) & 15, g & 31
+
+
+def _read(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Bigint columns as the columns of a matrix."""
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1).astype(np.int64)
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
+
+
+#: Columns of a table entry's row: the key (table and word, salt), the image, its corner, and the descriptor.
+ENTRY = ["entry", "salt", "id", "geo", "b1", "b2"]
+
+
+def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(a, b, geometry of a, of b) of the pairs of rows that match, smaller id first; a pair counts in the first table that joins it."""
+    left, right = rows[i], rows[j]
+    x1, x2 = left[:, 4] ^ right[:, 4], left[:, 5] ^ right[:, 5]
+    ok = (left[:, 2] != right[:, 2]) & (np.bitwise_count(x1.view(np.uint64)).astype(int) + np.bitwise_count(x2.view(np.uint64)) <= NEAR)
+    for t, word in enumerate(((x1 >> 32) & 0xFFFFFFFF, x1 & 0xFFFFFFFF, (x2 >> 32) & 0xFFFFFFFF)):
+        ok &= (word != 0) | ((left[:, 0] & 3) <= t)
+    left, right = left[ok], right[ok]
+    swap = (left[:, 2] > right[:, 2])[:, None]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    return np.stack([left[:, 2], right[:, 2], left[:, 3], right[:, 3]], 1)
+
+
+def _meet(rows: np.ndarray, told: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of sorted rows, and the rows of crowded entries, in which only the leader meets the others.
+
+    told: so many first rows are the leader of a crowded entry whose other rows came before.
+    """
+    starts = _starts(rows[:, :2])
+    ends = np.append(starts[1:], len(rows))
+    crowded = (ends - starts > CROWD) | (rows[starts, 1] >= 0)
+    crowded[:1] |= told > 0
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    i, j = [], []
+    for lag in range(1, CROWD):
+        at = np.flatnonzero((run[lag:] == run[:-lag]) & ~crowded[run[lag:]])
+        if not len(at):
+            break
+        i.append(at)
+        j.append(at + lag)
+    rest = crowded[run]
+    rest[:told] = False
+    for a, z in zip(starts[crowded].tolist(), ends[crowded].tolist(), strict=True):
+        lead = int(np.argmin(np.append(rows[a:z, 2] == rows[a, 2], False)))
+        for k in range(lead):
+            i.append(np.full(z - a - lead, a + k))
+            j.append(np.arange(a + lead, z))
+        if rows[a, 1] > 0:
+            rest[a : a + lead] = False  # repeated for each salt, told by the first
+    pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j)]
+    return _near(rows, *pairs), rows[rest]
+
+
+def _agree(rows: np.ndarray) -> np.ndarray:
+    """(a, b) of the pairs of images of which AGREE corners say the same geometry; rows: a, b and the two corners, sorted."""
+    starts = _starts(rows[:, :2])
+    sizes = np.diff(np.append(starts, len(rows)))
+    rows, sizes = rows[np.repeat(sizes >= AGREE, sizes)], sizes[sizes >= AGREE]
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    pair = np.repeat(np.arange(len(sizes)), sizes)
+    (xa, ya, sa, ta), (xb, yb, sb, tb) = _unpacked(rows[:, 2]), _unpacked(rows[:, 3])
+    turned = (ta - tb) % TURNS
+    angle, ratio = turned * (2 * np.pi / TURNS), sa / sb  # how the second lies in the first
+    dx = xa - (xb * np.cos(angle) - yb * np.sin(angle)) / ratio
+    dy = ya - (xb * np.sin(angle) + yb * np.cos(angle)) / ratio
+    found = []
+    for k in range(8):  # steps of turn and shift overlap by half
+        bins = [(turned + 2 * (k & 1)) // 4 % (TURNS // 4), np.floor(dx / STEP + (k >> 1 & 1) / 2), np.floor(dy / STEP + (k >> 2) / 2)]
+        say = np.stack([pair, sa, sb, *bins], 1).astype(np.int64)
+        say = np.unique(np.concatenate([say, rows[:, 3:4] >> 9], 1), axis=0)  # a place of the second image counts once
+        first = _starts(say[:, :6])
+        found.append(say[first[np.diff(np.append(first, len(say))) >= AGREE], 0])
+    at = np.cumsum(sizes) - sizes
+    return rows[at[np.unique(np.concatenate(found))], :2]
+
+
+def _table(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T.reshape(len(names), -1)], names=names)
 
 
 def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pixels", height: str = "height", width: str = "width") -> DataFrame:
@@ -142,14 +235,21 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
 
     Images of equal bytes stand for one.  Each corner's descriptor goes to a table for every 32 of its bits; corners in
     one entry that differ in NEAR bits at most match.  A match says how the one image lies in the other: scale, turn and
-    shift; two images link if AGREE matches say the same, up to a coarse step.  All corners of an entry meet each other; one
-    of more than CROWD is dealt into blocks, and each pair of blocks is compared in its own place, so a motif that very
-    many images share costs the square of their number in comparisons and in votes, but no single task bears it.
-
-    Null or broken images (no pixels, sizes that do not fit) and images without corners link only with equal bytes (null:
-    with nothing).  Null ids: returned with a null group.  Rows with equal ids are one image with the corners of both.  Empty table:
-    empty result.
+    shift; two images link if AGREE corners say the same, up to a coarse step.
+
+    1. All corners of an entry of up to CROWD meet; in a larger one, those of its smallest image meet the others.  Entries
+       are dealt by key and stream by sorted; of a crowded one only the leader is remembered.  Entries that hold more
+       than one in HOT of all corners, found by partial counts, are dealt over tasks, their leader repeated.
+    2. The links found so far give components.  In crowded entries with images of several components, all corners of
+       different ones meet too, in blocks of bounded size, so no link between components is lost; inside a component
+       none is needed.  A family of very many copies is linear work; only a motif that fewer than AGREE corners
+       describe, in very many unrelated images, costs the square of their number, in comparisons.
+
+    Null or broken images (no pixels, sizes that do not fit or are not positive) and images without corners link only
+    with equal bytes (null: with nothing).  Null ids: returned with a null group.  Rows with equal ids are one image with
+    the corners of both.  Empty table: empty result.
     """
+    spark = media.sparkSession
     base = media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{pixels}`").alias("px"), F.col(f"`{height}`").cast("int").alias("h"), F.col(f"`{width}`").cast("int").alias("w"))
     keyed = base.withColumn("sha", F.when(F.col("px").isNotNull(), F.sha2(F.concat_ws(":", F.hex("px"), "h", "w"), 256)))
 
@@ -158,83 +258,190 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
             px, hs, ws = b.column("px").to_pylist(), b.column("h").to_pylist(), b.column("w").to_pylist()
             shapes: dict[tuple[int, int], list[int]] = {}
             for k, (p, h, w) in enumerate(zip(px, hs, ws, strict=True)):
-                if p is not None and h and w and h * w == len(p):
+                if p is not None and (h or 0) > 0 and (w or 0) > 0 and h * w == len(p):
                     shapes.setdefault((h, w), []).append(k)
-            found: list[list] = [[] for _ in range(len(px))]
+            found = [b""] * len(px)
             for (h, w), rows in shapes.items():
                 step = max(1, (1 << 20) // (h * w))
                 for s in range(0, len(rows), step):
                     part = rows[s : s + step]
-                    image, x, y, scale, turn, words = describe(np.stack([np.frombuffer(px[k], np.uint8).reshape(h, w) for k in part]))
-                    for i, *c in zip(image.tolist(), x.tolist(), y.tolist(), scale.tolist(), turn.tolist(), words.tolist(), strict=True):
-                        found[part[i]].append(c)
-            corner = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.int32()), ("turn", pa.int32()), ("words", pa.list_(pa.int64()))])
-            rows = [[dict(zip(("x", "y", "scale", "turn", "words"), c, strict=True)) for c in f] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), pa.array(rows, pa.list_(corner))], names=["id", "sha", "corners"])
-
-    described = stage(keyed.mapInArrow(corners, "id bigint, sha string, corners array<struct<x:float,y:float,scale:int,turn:int,words:array<bigint>>>"), "corners")
+                    for k, c in zip(part, describe(np.stack([np.frombuffer(px[k], np.uint8).reshape(h, w) for k in part])), strict=True):
+                        found[k] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), pa.array(found, pa.binary())], names=["id", "sha", "corners"])
+
+    described = stage(keyed.mapInArrow(corners, "id bigint, sha string, corners binary"), "corners")
     same = stage(described.where(F.col("id").isNotNull() & F.col("sha").isNotNull()).groupBy("sha").agg(F.min("id").alias("rep")), "equal")
-    single = described.join(same.withColumnRenamed("rep", "id"), ["id", "sha"], "left_semi").select("id", F.explode("corners").alias("c"))
-    corner = single.select("id", F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.scale").alias("scale"), F.col("c.turn").alias("turn"), (F.shiftleft(F.col("c.words")[0], 32).bitwiseXOR(F.col("c.words")[1])).alias("b1"), (F.shiftleft(F.col("c.words")[2], 32).bitwiseXOR(F.col("c.words")[3])).alias("b2"))
-    entry = corner.select(F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("t"), *corner.columns)
-    word = F.expr("shiftright(if(t < 2, b1, b2), if(t % 2 = 0, 32, 0))").bitwiseAND(F.lit(0xFFFFFFFF))
-    entry = entry.withColumn("entry", F.col("t").cast("long").bitwiseOR(F.shiftleft(word, 2))).drop("t")
-    # entries of several images only, from partial counts
-    busy = stage(entry.groupBy("entry").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where(F.col("first") < F.col("last")).select("entry", "c"), "entries")
-    rows = stage(entry.join(busy, "entry"), "matches")
-    fields = ["id", "x", "y", "scale", "turn", "b1", "b2"]
-    # block against block: each pair of an entry's corners meets once, the smaller id on the left
-    parts = F.ceil(F.col("c") / CROWD).cast("int")
-    own, others = F.pmod(F.xxhash64(*fields), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-    left = rows.select("entry", own.alias("i"), others.alias("j"), *[F.col(f).alias(f"{f}_") for f in fields])
-    right = rows.select("entry", others.alias("i"), own.alias("j"), *fields)
-    pairs = right.join(left, ["entry", "i", "j"]).where(F.col("id_") < F.col("id")).select(*fields, *[f"{f}_" for f in fields])
-    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b1_"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b2_")))
-    pairs = pairs.where(differ <= NEAR)
-    # how the second lies in the first: ratio of scales, turn, and where the first's origin falls
-    ratio = F.col("scale_") / F.col("scale")
-    turned = F.pmod(F.col("turn_") - F.col("turn"), F.lit(TURNS))
-    angle = turned * (2 * np.pi / TURNS)
-    dx = F.col("x_") - (F.col("x") * F.cos(angle) - F.col("y") * F.sin(angle)) / ratio
-    dy = F.col("y_") - (F.col("x") * F.sin(angle) + F.col("y") * F.cos(angle)) / ratio
-    half = lambda d: F.floor(d / 3).cast("int")
-    vote = pairs.select(F.col("id_").alias("a"), F.col("id").alias("b"), F.round(ratio * 8).cast("int").alias("ratio"), F.round(turned / 4).cast("int").alias("turned"), half(dx).alias("hx"), half(dy).alias("hy"), F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"))
-    # one shuffle, by pair of images: a match that several tables give counts once, and steps of six pixels overlap by half
-    vote = vote.repartition("a", "b").distinct().withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
-    step = lambda h: F.floor((F.col(h) + F.col("shift")) / 2)
-    links = vote.groupBy("a", "b", "ratio", "turned", "shift", step("hx").alias("bx"), step("hy").alias("by")).agg(F.count_distinct("x", "y").alias("n")).where(F.col("n") >= AGREE).select("a", "b").distinct()
-    labels = components(links)
+    single = described.join(same.withColumnRenamed("rep", "id"), ["id", "sha"], "left_semi").where(F.length("corners") > 0).select("id", "corners")
+
+    def entries_of(b: pa.RecordBatch) -> np.ndarray:
+        """The entry rows of a batch of images."""
+        raw = b.column("corners").to_pylist()
+        c = np.frombuffer(b"".join(raw), CORNER)
+        ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), [len(x) // CORNER.itemsize for x in raw])
+        w = c["words"].astype(np.int64)
+        one = np.stack([np.zeros(len(c), np.int64), np.full(len(c), -1), ids, _packed(c), (w[:, 0] << 32) | w[:, 1], (w[:, 2] << 32) | w[:, 3]], 1)
+        out = np.concatenate([one] * TABLES)
+        out[:, 0] = (w.T << 2 | np.arange(TABLES)[:, None]).ravel()
+        return out
+
+    def frequent(batches):
+        for b in batches:
+            if b.num_rows:
+                rows = entries_of(b)
+                key, first, n = np.unique(rows[np.argsort(rows[:, 2], kind="stable"), 0], return_index=True, return_counts=True)
+                lead = np.sort(rows[:, 2], kind="stable")[first]
+                ok = n * 4 * HOT > len(rows) // TABLES
+                yield _table(np.stack([key, lead, n], 1)[ok & (n > 1)], ["entry", "lead", "n"])
+
+    total = described.agg(F.sum(F.length("corners"))).first()[0] or 0
+    seen = single.mapInArrow(frequent, "entry bigint, lead bigint, n bigint").groupBy("entry").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"))
+    limit = max(LEAST, total // CORNER.itemsize // HOT)
+    hot = np.array(sorted(tuple(r) for r in seen.where(F.col("n") > limit).collect()), np.int64).reshape(-1, 3)  # fewer than TABLES * HOT rows
+    sent = spark.sparkContext.broadcast(hot)
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, hot = entries_of(b), sent.value
+            follows = np.ones(len(rows), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot[:, 0], rows[:, 0]), len(hot) - 1)
+                is_hot = hot[at, 0] == rows[:, 0]
+                parts = -(-hot[at, 2] // LEAST)
+                lead = is_hot & (hot[at, 1] == rows[:, 2])
+                rows[:, 1] = np.where(is_hot, (rows[:, 2] * 0x9E3779B1 >> 7) % parts, -1)
+                again = np.repeat(np.flatnonzero(lead), parts[lead])
+                copies = rows[again]
+                copies[:, 1] = np.arange(len(again)) - np.repeat(np.cumsum(parts[lead]) - parts[lead], parts[lead])
+                rows = np.concatenate([rows[~lead], copies])
+                follows = np.concatenate([follows[~lead], np.zeros(len(copies), np.int64)])
+            yield _table(np.concatenate([rows, follows[:, None]], 1), [*ENTRY, "follows"])
+
+    def meet(batches):
+        held, told = np.zeros((0, len(ENTRY)), np.int64), 0
+        out = ["entry", "a", "b", "ga", "gb", "b1", "b2"]
+
+        def answer(rows, told):
+            near, rest = _meet(rows, told)
+            empty = pa.nulls(len(near), pa.int64()), pa.nulls(len(rest), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty[0], *[pa.array(np.ascontiguousarray(near[:, k])) for k in range(4)], empty[0], empty[0]], names=out)
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rest[:, k])) for k in (0, 2)], empty[1], pa.array(np.ascontiguousarray(rest[:, 3])), empty[1], *[pa.array(np.ascontiguousarray(rest[:, k])) for k in (4, 5)]], names=out)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([held, _read(b, ENTRY)])
+            last = int(_starts(rows[:, :2])[-1])
+            if len(rows) - last <= CROWD and not (told and last == 0):
+                held = rows[last:]  # the run may go on
+                if last:
+                    yield from answer(rows[:last], told)
+                told = 0
+            else:
+                yield from answer(rows, told)
+                held = rows[last:][np.cumprod(rows[last:, 2] == rows[last, 2]).astype(bool)]
+                told = len(held)
+        if len(held) and not told:
+            yield from answer(held, 0)
+
+    keys = ["entry", "salt", "follows", "id"]
+    dealt = single.mapInArrow(deal, ", ".join(f"{c} bigint" for c in [*ENTRY, "follows"])).repartition("entry", "salt").sortWithinPartitions(*keys)
+    met = stage(dealt.select(*ENTRY).mapInArrow(meet, "entry bigint, a bigint, b bigint, ga bigint, gb bigint, b1 bigint, b2 bigint"), "matches")
+    votes = met.where(F.col("b").isNotNull()).select("a", "b", "ga", "gb")
+
+    def agree(batches):
+        held = np.zeros((0, 4), np.int64)
+        for b in batches:
+            if b.num_rows:
+                rows = np.concatenate([held, _read(b, ["a", "b", "ga", "gb"])])
+                last = int(_starts(rows[:, :2])[-1])
+                held = rows[last:]
+                yield _table(_agree(rows[:last]), ["a", "b"])
+        yield _table(_agree(held), ["a", "b"])
+
+    def linked(votes: DataFrame) -> DataFrame:
+        return votes.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(agree, "a bigint, b bigint")
+
+    links = stage(linked(votes), "image-links")
+    labels = stage(components(links), "image-labels")
+    crowd = met.where(F.col("b").isNull()).select("entry", F.col("a").alias("id"), F.col("ga").alias("geo"), "b1", "b2").distinct()
+    crowd = crowd.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = stage(crowd.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where(F.col("lo") < F.col("hi")).select("entry", F.ceil(F.col("c") / BLOCK).cast("long").alias("parts"), "c"), "crowded")
+    if not several.isEmpty():
+        rows = join_hot(crowd, several, ["entry"], "c").withColumn("mine", F.pmod(F.xxhash64("id", "geo"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        fields = ["entry", "i", "j", "side", "id", "geo", "b1", "b2", "label"]
+        rows = rows.select("entry", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "geo", "b1", "b2", "label")
+
+        def across(batches):
+            """Matches between images of different components, block against block."""
+            held = np.zeros((0, len(fields)), np.int64)
+
+            def answer(r):
+                if not len(r):
+                    return
+                for a, z in zip(s := _starts(r[:, :3]).tolist(), [*s[1:], len(r)], strict=True):
+                    own = r[a:z]
+                    left, right = (np.flatnonzero(own[:, 3] == own[0, k]) for k in (1, 2))
+                    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+                    ok = (own[i, 8] != own[j, 8]) & ((i < j) | (own[0, 1] != own[0, 2]))
+                    yield _table(_near(own[:, [0, 3, 4, 5, 6, 7]], i[ok], j[ok]), ["a", "b", "ga", "gb"])
+
+            for b in batches:
+                if b.num_rows:
+                    r = np.concatenate([held, _read(b, fields)])
+                    last = int(_starts(r[:, :3])[-1])
+                    held = r[last:]
+                    yield from answer(r[:last])
+            yield from answer(held)
+
+        more = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").select(*fields).mapInArrow(across, "a bigint, b bigint, ga bigint, gb bigint")
+        labels = components(links.unionByName(linked(votes.unionByName(more))))
     groups = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("sha", F.coalesce("label", "rep").alias("copy_group"))
-    out = described.select("id", "sha", F.size("corners").cast("long").alias("n_corners")).join(groups, "sha", "left")
+    out = described.select("id", "sha", F.floor(F.length("corners") / CORNER.itemsize).cast("long").alias("n_corners")).join(groups, "sha", "left")
     return out.select(F.col("id").alias(id_col), "n_corners", F.when(F.col("id").isNotNull(), F.coalesce("copy_group", "id")).alias("copy_group"))
 
 
-SIDE = 64
+SIDE = 80
+
+
+def texture(vector: list) -> np.ndarray:
+    grain = np.random.default_rng(zlib.crc32(np.array([np.nan if x is None else x for x in vector], np.float32).tobytes())).normal(size=(1, SIDE + 4, SIDE + 4))
+    g = (_box(grain, 1) / 3 + _box(grain, 3) / 7)[0, 2:-2, 2:-2]
+    return np.clip(128 + 40 * g, 0, 255).astype(np.uint8)
+
+
+def edited(image: np.ndarray, i: int) -> np.ndarray:
+    """The copy that goes with id i: kinds 1 to 5 by i % 6."""
+    kind, k = i % 6, i // 6
+    if kind == 4:
+        return np.rot90(image, 1 + k % 3)
+    if kind == 5:
+        share, x = (7 / 8, 3 / 4)[k % 2], image.astype(float)
+        p = (np.arange(int(SIDE * share)) + 0.5) / share - 0.5
+        at, part = p.astype(int), p % 1
+        x = x[at] * (1 - part)[:, None] + x[at + 1] * part[:, None]
+        return np.rint(x[:, at] * (1 - part) + x[:, at + 1] * part).astype(np.uint8)
+    crop = image[5 + k % 7 : SIDE - 4, 3 + k % 5 : SIDE - 6] if kind != 2 else image
+    return crop if kind == 1 else np.clip(crop * 0.8 + 30, 0, 255).astype(np.uint8)
 
 
 def rendered(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """A media column derived from a table of vectors: media_id, pixels, height, width.
 
     Every vector is drawn as a SIDE x SIDE texture that depends on its values only (equal vectors: equal images), with
-    media_id 2 * id.  Ids with remainder 1, 2 and 3 by 4 also give an edited copy, 2 * id + 1: cropped; with other
-    brightness and contrast; or both.  Null vectors give null images, null ids none.
+    media_id 2 * id.  Of six ids in turn, one stands alone and five give an edited copy too, 2 * id + 1: cropped; with
+    other brightness and contrast; both; turned by one to three quarters; at 7/8 or 3/4 of its size.  Null vectors
+    give null images, null ids none.
     """
 
     def draw(batches):
         for b in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             out: list[list] = [[], [], [], []]
             for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if v is None:
-                    parts = [(2 * i, None)]
-                else:
-                    grain = np.random.default_rng(zlib.crc32(np.array([np.nan if x is None else x for x in v], np.float32).tobytes())).normal(size=(1, SIDE + 4, SIDE + 4))
-                    g = (_box(grain, 1) / 3 + _box(grain, 3) / 7)[0, 2:-2, 2:-2]
-                    image = np.clip(128 + 40 * g, 0, 255).astype(np.uint8)
-                    parts = [(2 * i, image)]
-                    kind = i % 4
-                    if kind:
-                        edit = image[5 + i % 7 : SIDE - 4, 3 + i % 5 : SIDE - 6] if kind != 2 else image
-                        parts.append((2 * i + 1, edit if kind == 1 else np.clip(edit * 0.8 + 30, 0, 255).astype(np.uint8)))
+                parts = [(2 * i, None)] if v is None else [(2 * i, texture(v))]
+                if v is not None and i % 6:
+                    parts.append((2 * i + 1, edited(parts[0][1], i)))
                 for k, p in parts:
                     for column, value in zip(out, (k, None if p is None else np.ascontiguousarray(p).tobytes(), None if p is None else p.shape[0], None if p is None else p.shape[1]), strict=True):
                         column.append(value)
