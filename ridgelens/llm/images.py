@@ -218,9 +218,9 @@ def _agree(rows: np.ndarray) -> np.ndarray:
     found = []
     for k in range(8):  # steps of turn and shift overlap by half
         bins = [(turned + 2 * (k & 1)) // 4 % (TURNS // 4), np.floor(dx / STEP + (k >> 1 & 1) / 2), np.floor(dy / STEP + (k >> 2) / 2)]
-        say = np.stack([pair, sa, sb, *bins], 1).astype(np.int64)
+        say = np.stack([pair, np.rint(ratio * 1000), *bins], 1).astype(np.int64)
         say = np.unique(np.concatenate([say, rows[:, 3:4] >> 9], 1), axis=0)  # a place of the second image counts once
-        first = _starts(say[:, :6])
+        first = _starts(say[:, :5])
         found.append(say[first[np.diff(np.append(first, len(say))) >= AGREE], 0])
     at = np.cumsum(sizes) - sizes
     return rows[at[np.unique(np.concatenate(found))], :2]
