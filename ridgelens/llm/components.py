@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgelens.llm.common import stage
+from ridgelens.llm.common import SMALL, drop_stage, join_hot, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Large and small stars in turn: every id first hands its larger neighbours, then its smaller ones, to the smallest
     of them, until each component is one star.  Every round is written to the shared folder; rounds grow with the
-    logarithm of the longest chain.  Minima are combined before the shuffle, and an id with very many neighbours is only
-    ever a skewed join, which Spark splits.  Nulls and self-links are left out; no links: empty result.
+    logarithm of the longest chain, and earlier rounds' tables are deleted; steps inside a round are written too, unless
+    there are few links.  Minima are combined before the shuffle, and
+    the links of an id with very many neighbours are dealt over many tasks (join_hot).  Nulls and self-links are left out; no links: empty result.
     """
     edges = stage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    before, deal = None, edges.count() > SMALL
+    keep, join = (stage, join_hot) if deal else (lambda df, name: df, lambda many, few, on, count: many.join(few.drop(count), on))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(small, "stars")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
+        large = keep(join(both.where(F.col("v") > F.col("u")), least, ["u"], "c").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "low")
+        small = join(large, low, ["u"], "c").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        old, edges = edges, stage(small, "stars")
+        for done in (old, least, large, low) if deal else (old,):
+            drop_stage(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgelens.llm.common import documents, stage
+from ridgelens.llm.common import documents, drop_stage, join_hot, stage
 from ridgelens.llm.components import components
 from ridgelens.llm.filters import build_filter, passes
 from ridgelens.llm.words import U64, Words, blocks, mix
@@ -24,6 +24,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
 WEAK, AGREED, PASSAGE = 40.0, 300.0, 60
 #: Keys of more documents than this are the ones that a set leaves out first.
 BUSY = 6
+#: Bits for each shingle of a document's bitmap.
+MAP_BITS = 4
 
 
 class Scheme:
@@ -69,7 +71,7 @@ class Scheme:
 
     def bands(self, sizes: np.ndarray) -> np.ndarray:
         band = np.searchsorted(self.lows, sizes, "right") - 1
-        top = int(band.max(initial=0)) + 2
+        top = int(band.max(initial=0)) + 2 + int(math.log(100 / self.percent) / math.log(1.5))  # partners reach so many bands
         while self.known <= top:
             self.table[self.known] = self.allocate(self.known)
             self.known += 1
@@ -159,7 +161,51 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarr
         part[row[a:b], col[a:b] - c] = 1
         shared += part @ part.T
     both = shared.astype(np.int64)
-    link = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
+    return _tree(ids, 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), left)
+
+
+def bitmap(items: np.ndarray) -> bytes:
+    """A bit for each shingle in a power of two of at least MAP_BITS a shingle."""
+    bits = max(64, 1 << (MAP_BITS * len(items) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(items & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps brought to `size` bytes: halves of larger ones are laid over each other."""
+    out = np.empty((len(maps), size), np.uint8)
+    for k, x in enumerate(maps):
+        np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0, out=out[k])
+    return out
+
+
+def may_link(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect what pairs of a block connect whose bitmaps allow a link; none that links is left out.
+
+    Shared shingles are at most the shared bits and the shingles of the one set, or the other, that found their bit taken.
+    """
+    m, length = len(maps), np.array([len(x) for x in maps])
+    link = np.zeros((m, m), bool)
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length >= size)
+        own = np.flatnonzero(length[rows] == size)
+        flat = _folded([maps[k] for k in rows], size)
+        shared = np.zeros((len(own), len(rows)), np.float32)
+        for c in range(0, size, 1024):
+            part = np.unpackbits(flat[:, c : c + 1024], axis=1).astype(np.float32)
+            shared += part[own] @ part.T
+        spare = sizes[rows] - np.bitwise_count(flat).sum(1, dtype=np.int64)
+        most = shared.astype(np.int64) + np.minimum(spare[own][:, None], spare[None, :])
+        ok = (100 + percent) * most >= percent * (sizes[rows][own][:, None] + sizes[rows][None, :])
+        link[np.ix_(rows[own], rows)] |= ok
+        link[np.ix_(rows, rows[own])] |= ok.T
+    return _tree(ids, link, left)
+
+
+def _tree(ids: np.ndarray, link: np.ndarray, left: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links enough to connect what all of a matrix of links connect; left: only those between the marked and the others."""
+    m, link = len(ids), np.triu(link, 1)
     if left is not None:
         link &= left[:, None] != left[None, :]
     parent = np.arange(m)
@@ -186,10 +232,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     1. Every set sends the keys of its segments (Scheme).  Keys of several documents, found with partial minima and
        maxima, go to a filter of fixed size; each document then keeps those of its keys that pass, but for some of
        those that very many documents send.
-    2. Documents of equal sets stand for one.  Keys tie the rest to clusters; a cluster is compared whole, or, where
-       that is more work than comparing the documents of each of its keys (a loose cluster), key by key.  Groups are
-       cut into blocks of bounded size, and pairs of blocks are compared exactly, with sets made anew from the texts.
-    3. The links found connect what all links connect; their components, by alternating stars, give the smallest id.
+    2. Documents of equal sets stand for one.  Keys tie the rest to clusters.  A loose cluster, in which comparing the
+       documents of each key is less work than comparing all, is first looked at key by key through bitmaps of MAP_BITS
+       a shingle, which bound what two sets may share; what these still tie together is a cluster of its own.
+    3. Clusters are compared exactly, with sets made anew from the texts.  A cluster of more than a block is first compared with
+       its smallest id alone; of those that link with it no two need be compared, so only the others go on, in blocks
+       of bounded size, against the whole group.  A template of very many near copies is linear work.
+    4. The links found connect what all links connect; their components, by alternating stars, give the smallest id.
 
     Words end at blanks, A-Z are lower-cased.  A shingle is known by a 64-bit hash.  Fewer words than `shingle`: the
     whole sequence is the one shingle; none, or null text: an empty set, linked with nothing.  Null id: its own row,
@@ -230,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         s = scheme(percent)
         for b in batches:
             known = b.column("id").is_valid().to_numpy(zero_copy_only=False)
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, keys, maps = [], [], [], [], []
             for i, j, sets in sets_of(b):
                 sizes = np.array([len(x) for x in sets])
                 tokens = np.concatenate([x for x, ok in zip(sets, known[i:j], strict=True) if ok] or [np.zeros(0, U64)])
@@ -243,77 +292,133 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
                 s1 += [int(mix(x).sum().view(np.int64)) if len(x) else 0 for x in sets]
                 s2 += [int(np.bitwise_xor.reduce(mix(x ^ U64(0xABCDEF))).view(np.int64)) if len(x) else 0 for x in sets]
                 keys += per
+                maps += [bitmap(x) if len(k) else None for x, k in zip(sets, per, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "s1", "s2", "keys"],
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                names=["id", "n", "s1", "s2", "keys", "map"],
             )
 
-    sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "sets")
+    blocks_of = lambda c, words: F.greatest(F.ceil(c / BLOCK_DOCS), F.ceil(words / BLOCK_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("mine")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+
+    def tightened(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """(gid, id, n, parts) of what bitmaps tie together of the documents of each key, and the tables behind it."""
+        apart = placed.select("h", "id", "n", blocks_of(F.col("c"), F.col("words") / 16).alias("parts")).withColumn("mine", mine).withColumn("other", every)  # bitmaps are a sixteenth of their sets
+        apart = apart.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "n")
+
+        def loosely(batches):
+            for (_, i, j), rows in _groups(batches, ["h", "i", "j"], ["side", "id", "n", "map"]):
+                yield _links(may_link(np.array(rows[1]), np.array(rows[2]), rows[3], percent, np.array(rows[0]) == i if i != j else None))
+
+        near = apart.join(sets.where(F.col("id").isNotNull()).select("id", "n", "map"), ["id", "n"]).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+        tight = stage(components(near.select("h", "i", "j", "side", "id", "n", "map").mapInArrow(loosely, "a bigint, b bigint")), "tight")
+        found = tight.join(apart.select("id", "n").distinct(), "id")
+        sizes = stage(found.groupBy("label").agg(blocks_of(F.count("*"), F.sum("n")).alias("parts"), F.count("*").alias("c")), "tight-sizes")
+        return join_hot(found, sizes, ["label"], "c").select((-1 - F.col("label")).alias("gid"), "id", "n", "parts"), [tight, sizes]  # gid: apart from other labels
+
+    sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, map binary"), "sets")
     named = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = stage(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")
+    reps = stage(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "representatives")
     own = named.where(F.size("keys") > 0).select("id", "n", "keys").join(reps.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi")
     hits = stage(own.select("id", "n", F.explode("keys").alias("h")), "hits")
     groups = hits.groupBy("h").agg(F.min("id").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("words"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where(F.col("c") > 1)
     # keys of the same documents are one group
     groups = stage(groups.groupBy("who", "c", "words", "lead").agg(F.min("h").alias("h")), "groups")
-    members = stage(hits.join(groups.select("h", "lead", "c", "words"), "h"), "members")
+    members = stage(join_hot(hits, groups.select("h", "lead", F.col("c").alias("size"), "words", "c"), ["h"], "c").withColumnRenamed("size", "c"), "members")
     clusters = stage(components(members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"))), "clusters")
-    # what a cluster costs compared whole, and key by key
+    # compared whole are small clusters, and those that one key or another holds together; loose ones fall apart first
     whole = members.select("id", "n").distinct().join(clusters, "id").groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
     by_key = groups.join(clusters, groups["lead"] == clusters["id"]).groupBy("label").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
     plan = stage(whole.join(by_key, "label").withColumn("at_once", (F.col("c") <= BLOCK_DOCS) | (F.col("c").cast("double") * F.col("c") <= F.col("pairs"))), "plan")
-    placed = members.join(clusters, "id").join(plan.select("label", "at_once", F.col("c").alias("all_c"), F.col("words").alias("all_words")), "label")
-    at_once = placed.where("at_once").select(F.lit(0).alias("kind"), F.col("label").alias("gid"), "id", F.col("all_c").alias("c"), F.col("all_words").alias("words")).distinct()
-    apart = placed.where(~F.col("at_once")).select(F.lit(1).alias("kind"), F.col("h").alias("gid"), "id", "c", "words")
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
-    block = at_once.unionByName(apart).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = block.select("kind", "gid", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
-    block = stage(block, "blocks")
-    wanted = build_filter(block, "id")
-
-    def fill(batches):
+    placed = join_hot(members.join(clusters, "id"), plan.select("label", "at_once", F.col("c").alias("all_c"), F.col("words").alias("all_words"), "c"), ["label"], "c")
+    at_once = placed.where("at_once").select(F.col("label").alias("gid"), "id", "n", blocks_of(F.col("all_c"), F.col("all_words")).alias("parts")).distinct()
+    parted, spent = at_once, [several, hits, groups, members, clusters, plan]
+    if not plan.where(~F.col("at_once")).isEmpty():
+        found, kept = tightened(placed.where(~F.col("at_once")), sets)
+        parted, spent = at_once.unionByName(found), spent + kept
+    placed = stage(parted.withColumn("mine", mine), "placed")
+
+    def sets_again(placed: DataFrame) -> DataFrame:
         """The sets of the documents that are to be compared, from their texts."""
-        for b in batches:
-            ok = b.column("id").is_valid().to_numpy(zero_copy_only=False) & passes(wanted.value, b.column("id").fill_null(0).to_numpy().view(U64))
-            b = b.filter(pa.array(ok))
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for _, _, part in sets_of(b) for x in part], pa.binary())], names=["id", "items"])
+        wanted = build_filter(placed, "id")
+
+        def fill(batches):
+            for b in batches:
+                ok = b.column("id").is_valid().to_numpy(zero_copy_only=False) & passes(wanted.value, b.column("id").fill_null(0).to_numpy().view(U64))
+                b = b.filter(pa.array(ok))
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for _, _, part in sets_of(b) for x in part], pa.binary())], names=["id", "items"])
 
-    filled = block.join(base.mapInArrow(fill, "id bigint, items binary"), "id")
-    task = ["kind", "gid", "i", "j"]
+        return base.mapInArrow(fill, "id bigint, items binary")
+
+    task = ["gid", "i", "j"]
 
     def compare(batches):
-        at, ids, items, sides = None, [], [], []
-
-        def done():
-            mixed = at[2] != at[3]
-            return forest(np.array(ids), [np.frombuffer(x, U64) for x in items], percent, np.array(sides) == at[2] if mixed else None)
-
-        for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):  # a row holds a whole set
-            out = []
-            for *now, side, i, raw in zip(*[b.column(c).to_pylist() for c in [*task, "side", "id", "items"]], strict=True):
-                if now != at:
-                    if at is not None:
-                        out += done()
-                    at, ids, items, sides = now, [], [], []
-                ids.append(i)
-                items.append(raw)
-                sides.append(side)
-            yield _links(out)
-        if at is not None:
-            yield _links(done())
-
-    links = filled.repartition(*task).sortWithinPartitions(*task).select(*task, "side", "id", "items").mapInArrow(compare, "a bigint, b bigint")
+        for _, (sides, ids, items) in _groups(batches, task, ["side", "id", "items"]):
+            left = np.array(sides) == 0
+            yield _links(forest(np.array(ids), [np.frombuffer(x, U64) for x in items], percent, None if left.all() else left))
+
+    def compared(block: DataFrame, texts: DataFrame) -> DataFrame:
+        rows = block.join(texts, "id").repartition(*task).sortWithinPartitions(*task)
+        return rows.select(*task, "side", "id", "items").mapInArrow(compare, "a bigint, b bigint")
+
+    side = lambda n: F.lit(n).alias("side")
+    links = compared(placed.where("parts = 1").select("gid", "id", F.lit(0).alias("i"), F.lit(0).alias("j"), side(0)), sets_again(placed.where("parts = 1")))
+    large, group = placed.where("parts > 1"), ["gid"]
+    if not large.isEmpty():  # a task for each part of a large group, first against its leader, then against what does not link with it
+        texts = stage(large.select("id").distinct().join(sets_again(large), "id"), "sets-of-large")
+        leads = stage(large.groupBy(*group).agg(F.min("id").alias("lead"), F.max("parts").alias("parts"), F.count("*").alias("c")), "leads")
+        rest = join_hot(large, leads.drop("parts"), group, "c").where(F.col("id") != F.col("lead"))
+        to_lead = leads.select(*group, F.col("lead").alias("id"), every.alias("i"), F.lit(0).alias("j"), side(0)).unionByName(rest.select(*group, "id", F.col("mine").alias("i"), F.lit(0).alias("j"), side(1)))
+        joined = stage(compared(to_lead, texts), "links-to-lead")
+        loose = stage(rest.join(joined, (F.col("lead") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti").select(*group, "id", "n", "parts"), "loose")
+        counts = loose.groupBy(*group).agg(blocks_of(F.count("*"), F.sum("n")).alias("rows"))
+        counts = stage(counts.join(leads.select(*group, "c"), group), "counts-of-loose")
+        over = join_hot(loose, counts, group, "c").select(*group, "id", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("i"), every.alias("j"), side(0))
+        under = join_hot(large, counts, group, "c").select(*group, "id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("mine").alias("j"), side(1))
+        links = links.unionByName(joined).unionByName(compared(over.unionByName(under), texts))
     labels = components(links)
-    classes = reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
-    joined = sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+    # empty sets are no class, and a class of very many copies is dealt over many tasks
+    classes = stage(reps.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"), "copies"), "classes")
+    for done in (*spent, placed, reps):
+        drop_stage(done)
+    whole = join_hot(sets.where("n > 0").select("id", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "copies", "left").select("id", "n", "component")
+    joined = whole.unionByName(sets.where("n = 0").select("id", "n", F.lit(None).cast("bigint").alias("component")))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def _groups(batches, key: list[str], columns: list[str]):
+    """(key, lists of the columns) of each run of rows of one key, in sorted batches; rows hold whole sets, so few are unpacked at a time."""
+    at, rows = None, [[] for _ in columns]
+    for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
+        for *now, row in zip(*[b.column(c).to_pylist() for c in key], zip(*[b.column(c).to_pylist() for c in columns], strict=True), strict=True):
+            if now != at:
+                if at is not None:
+                    yield at, rows
+                at, rows = now, [[] for _ in columns]
+            for own, x in zip(rows, row, strict=True):
+                own.append(x)
+    if at is not None:
+        yield at, rows
+
+
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=85)
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+g as (select doc_id, list_distinct(case when len(words) >= 4 then list_transform(range(1, len(words) - 2), lambda i: md5_number(array_to_string(words[i:i + 3], ' '))) when len(words) > 0 then [md5_number(array_to_string(words, ' '))] else [] end) as items from w),
+n as (select doc_id, len(items) as n from g),
+s as (select doc_id, unnest(items) as item from g),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.item = b.item and a.doc_id < b.doc_id group by all),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * common >= 85 * (x.n + y.n - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as id, doc_id as root from n union select e.b, r.root from r join e on e.a = r.id where r.root < e.b)
+select doc_id, n::bigint as n_shingles, (select min(root) from r where r.id = doc_id)::bigint as component_id from n
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgelens.llm.common import ascii_lower, documents, row_key
+from ridgelens.llm.common import ascii_lower, documents, join_hot, row_key, stage
 
 MIN_DOCS, MIN_LENGTH = 10, 1
 
@@ -17,22 +17,24 @@ def line_key(line: Column) -> Column:
 def drop_common_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH) -> DataFrame:
     """Drop every line whose key stands in at least min_docs documents; kept lines stay in order, joined by \\n.
 
-    Lines are exploded, keyed, hashed to 128 bits and counted once per row of docs with map-side partial counts, so a
-    line of a third of all documents sends one row per task.  Only positions of lines to drop travel back; the text
-    moves once, to meet them.  Returns the columns of docs with `text` replaced, and n_lines, n_dropped (in a clash,
+    Lines are exploded, keyed and hashed to 128 bits, and a key is counted once for each document id.  Partial counts
+    are made in the map tasks: of lines, then of the ids of each line, dealt by line and id, so a line of a third of all
+    documents is nowhere together.  Its rows meet the list of lines to drop dealt over many tasks (join_hot).  Only
+    positions of lines to drop travel back; the text moves once, to meet them.  Returns the columns of docs with `text` replaced, and n_lines, n_dropped (in a clash,
     these replace columns of docs).
 
-    Null or empty text: one empty line, kept, and the text becomes "".  A null id is a document like any other.  Rows
-    equal in id and text count as documents of their own, and all get the same result.  Empty table: empty result.
+    Null or empty text: one empty line, kept, and the text becomes "".  Rows with equal ids count as one
+    document, rows without an id as one each; rows equal in id and text all get the same result.  Empty table: empty result.
     """
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"), F.col(f"`{id_col}`").alias("id"))
     base = base.select("row", "body", row_key(F.col("id"), F.col("body")).alias("key"))
     lines = base.select("key", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).select("key", "pos", line_key(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= min_length).select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    # once per row: keys are made distinct inside each row, before anything is shuffled
-    each = base.select(F.explode(F.array_distinct(F.transform(F.split("body", "\n", -1), line_key))).alias("line")).where(F.char_length("line") >= min_length)
-    common = each.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-    drops = lines.join(common, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
+    # keys are made distinct inside each row, before anything is shuffled
+    who = F.when(F.col("key.id") != "\u0000", F.xxhash64("key.id")).otherwise(F.monotonically_increasing_id())
+    each = base.select(who.alias("who"), F.explode(F.array_distinct(F.transform(F.split("body", "\n", -1), line_key))).alias("line")).where(F.char_length("line") >= min_length)
+    common = stage(each.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.count_distinct("who").alias("n")).where(F.col("n") >= min_docs), "common-lines")
+    drops = join_hot(lines, common, ["h1", "h2"], "n", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(drops, "key", "left").select("row", F.split("body", "\n", -1).alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     kept = F.array_join(F.transform(left, lambda i: F.col("parts")[i]), "\n")

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from ridgelens.llm.common import stage
 
-K, CENTROIDS, EVERY = 5, 64, 50
-#: Vectors that fit the centroids, and queries among them that set how far to go; whatever the table's size.
-SAMPLE, PROBES, RECALL = 8192, 256, 0.95
-#: Rows of the index, and queries, that meet in one task.
-BLOCK = 4096
-LEAST = 256
+K, EVERY = 5, 50
+#: Centroids of a half at the least and most; between them the square root of the rows, so as many cells as rows.
+FEWEST, MOST = 16, 512
+#: Vectors that fit the centroids, at most, and queries among them that set how far to go.
+SAMPLE, PROBES, RECALL = 16_384, 512, 0.95
+#: Rows of the index, and queries, that meet in one task; rows that a query meets at the least.
+BLOCK, LEAST = 4096, 256
+
+
+def centroids_for(rows: int) -> int:
+    return min(MOST, max(FEWEST, 1 << round(np.log2(max(rows, 1)) / 2)))
 
 
 @dataclass
@@ -72,7 +77,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit(sample: np.ndarray, k: int = K, centroids: int = CENTROIDS, recall: float = RECALL) -> Index:
+def fit(sample: np.ndarray, k: int = K, centroids: int = FEWEST, recall: float = RECALL) -> Index:
     """Centroids by k-means; the share to visit is what finds `recall` of the nearest k of PROBES sample vectors."""
     x = _unit(sample)
     half = x.shape[1] // 2
@@ -105,7 +110,8 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedd
     Every vector is in the index, in the cell of the nearest centroid of its first half and that of its second.  A query
     goes through cells by summed distance, with a heap, until they hold the share of all rows that found RECALL of the
     nearest in the sample (k + 1 rows and LEAST at the least); it meets the rows of those cells in blocks of bounded size, dealt by first
-    centroid, and is scored against the original vectors in double precision.  Of equal vectors, the k + 1 smallest ids
+    centroid: a query goes only to first centroids that it visits, and rows are repeated only for blocks of queries that visit
+    theirs.  It is scored against the original vectors in double precision.  Of equal vectors, the k + 1 smallest ids
     are in the index: more cannot be among the k nearest.
 
     Ties go to the smaller id; rows equal in id and vector count once, and a query's own id is never its answer.  Null
@@ -120,9 +126,9 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedd
     if not sample:
         return empty
     dim = int(np.bincount([len(x) for x in sample]).argmax())
-    index = fit(np.array([x for x in sample if len(x) == dim]), k)
-    fitted = spark.sparkContext.broadcast(index)  # centroids only
     usable = usable.where(F.size("v") == dim)
+    index = fit(np.array([x for x in sample if len(x) == dim]), k, centroids_for(usable.count()))
+    fitted = spark.sparkContext.broadcast(index)  # centroids only
 
     def place(batches):
         """The cell of each row; of equal vectors in a batch, only the smallest ids."""
@@ -147,7 +153,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedd
     order = Window.partitionBy(F.xxhash64("x"), F.sha2("x", 256)).orderBy("id")
     placed = stage(placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth"), "index")
     counts = np.zeros((len(index.halves[0]), len(index.halves[1])), np.int64)
-    for a, c, n in placed.groupBy("c1", "c2").count().collect():  # a row for each cell: CENTROIDS squared at most
+    for a, c, n in placed.groupBy("c1", "c2").count().collect():  # a row for each cell: MOST squared at most
         counts[a, c] = n
     index.counts = counts
     total = int(counts.sum())
@@ -170,17 +176,21 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedd
                         if seen >= want:
                             break
                 for a, m in masks.items():
-                    for column, value in zip(out, (i, x.tobytes(), a, m.tobytes()), strict=True):
+                    for column, value in zip(out, (i, x.tobytes(), a, np.packbits(m).tobytes()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["q", "x", "c1", "mask"])
 
-    queries = usable.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).repartition(F.col("id")).mapInArrow(visit, "q bigint, x binary, c1 int, mask binary")
-    n_queries = usable.where(F.col("id") % every == 0).count()
-    # blocks of the rows of a first centroid, and of the queries: every block of the one meets every one of the other
-    rows_of = F.create_map(*[F.lit(x) for a, n in enumerate(counts.sum(1).tolist()) for x in (a, -(-n // BLOCK) or 1)])
-    q_parts = max(1, -(-n_queries // BLOCK))
-    right = placed.withColumn("rb", F.pmod(F.xxhash64("id"), rows_of[F.col("c1")]).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_parts)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), rows_of[F.col("c1")] - 1)))
+    asked = usable.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
+    # a traversal is some ten thousand steps: few queries to a task
+    queries = stage(asked.repartition(max(1, min(-(-total // (every * 64)), 4096)), "id").mapInArrow(visit, "q bigint, x binary, c1 int, mask binary"), "visits")
+    # blocks of the rows of a first centroid, and of the queries that visit it: every block of the one meets every one of the other
+    visits = {r.c1: r.n for r in queries.groupBy("c1").agg(F.count("*").alias("n")).collect()}  # a row for each first centroid
+    blocks = [(a, -(-n // BLOCK) or 1, -(-visits.get(a, 0) // BLOCK)) for a, n in enumerate(counts.sum(1).tolist())]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "c1 int, rows int, asks int"))
+    share = lambda column, parts: F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
+    every_one = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    right = placed.join(blocks, "c1").where("asks > 0").withColumn("rb", share("id", "rows")).withColumn("qb", every_one("asks")).drop("rows", "asks")
+    left = queries.join(blocks, "c1").withColumn("qb", share("q", "asks")).withColumn("rb", every_one("rows")).drop("rows", "asks")
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = {"q": [], "vec_id": [], "score": []}
@@ -190,7 +200,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedd
             size = np.sqrt((x * x).sum(1))
             for q, raw, mask in zip(queries["q"], queries["x"], queries["mask"], strict=True):
                 y = np.frombuffer(raw)
-                at = np.flatnonzero(np.frombuffer(mask, bool)[cell] & (ids != q))
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8))[cell].astype(bool) & (ids != q))
                 if not len(at):
                     continue
                 s = (x[at] @ y) / (size[at] * np.sqrt((y * y).sum()))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgelens.llm.common import documents, stage
 from ridgelens.llm.words import WordCache, Words, blocks
@@ -17,6 +18,9 @@ from ridgelens.llm.words import WordCache, Words, blocks
 LENGTH, END_ID = 2048, 1
 #: Token ids are hashed to BINS counts, projected to DIMS numbers, each cut to 2**BITS steps of the curve's grid.
 BINS, DIMS, BITS = 256, 4, 12
+#: Bytes of ids of a partition, up to so many partitions; with more, partitions grow up to MOST_BYTES before their number does.
+PART_BYTES, MANY_PARTS, MOST_BYTES = 8 << 20, 4096, 256 << 20
+
 
 class WordEncoder:
     """Token ids of texts by a tokenizers file that splits at blanks, each word encoded once and remembered.
@@ -161,21 +165,23 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_i
     count (means and spreads) pass through the driver.
     """
     rows = stage(encode(docs, path, text=text, id_col=id_col, end_id=end_id), "encoded")
-    sums = rows.select(*[f(F.col("p")[d]).alias(f"{n}{d}") for d in range(DIMS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    sums = rows.select(F.sum(F.length("ids")).alias("bytes"), *[f(F.col("p")[d]).alias(f"{n}{d}") for d in range(DIMS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     steps = float(1 << BITS)
     cells = []
     for d in range(DIMS):
         mean, spread = sums[f"m{d}"] or 0.0, sums[f"s{d}"] or 1.0
         # the logistic curve is near the normal distribution's, so cells hold about as many documents each
         cells.append(F.least(F.floor(steps / (1 + F.exp((F.lit(mean) - F.col("p")[d]) * (1.7 / max(spread, 1e-12))))), F.lit(steps - 1)).cast("int"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type, arrow_id = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
 
     @F.pandas_udf("bigint")
     def place(cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert(np.stack(cells.to_numpy()), BITS) if len(cells) else np.zeros(0, np.int64))
 
     placed = rows.select("id", "ids", "width", place(F.array(*cells)).alias("place"))
-    ordered = placed.repartitionByRange("place", "id", F.xxhash64("ids")).sortWithinPartitions("place", "id", F.xxhash64("ids"))
+    size = sums["bytes"] or 0
+    parts = max(1, min(-(-size // PART_BYTES), MANY_PARTS), -(-size // MOST_BYTES))
+    ordered = placed.repartitionByRange(parts, "place", "id", F.xxhash64("ids")).sortWithinPartitions("place", "id", F.xxhash64("ids"))
 
     def cut(batches):
         sequence, filled, pieces = TaskContext.get().partitionId() << 40, 0, []
@@ -191,8 +197,8 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_i
                     if filled == length:
                         done += pieces
                         sequence, filled, pieces = sequence + 1, 0, []
-            yield _batch(done, b.schema.field("id").type)
-        yield _batch(_tail(pieces, filled, sequence), pieces[0][0].type) if pieces else _batch([], pa.int64() if id_type == "bigint" else pa.string())
+            yield _batch(done, arrow_id)
+        yield _batch(_tail(pieces, filled, sequence) if pieces else [], arrow_id)
 
     return ordered.select("id", "ids", "width").mapInArrow(cut, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 

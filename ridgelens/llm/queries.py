@@ -5,4 +5,4 @@ from __future__ import annotations
 from ridgelens.llm import images, jaccard, line_dedup, mixing, neighbours, packing, pii, substrings, tokens, toxicity
 
 QUERIES = {"op1_token_counts": tokens.query, "op2_mix_sources": mixing.query, "op3_ngram_jaccard": jaccard.query, "op4_image_copies": images.query, "op5_personal_data": pii.query, "op6_packing": packing.query, "op7_substring_dedup": substrings.query, "op8_toxicity": toxicity.query, "op9_nearest_neighbours": neighbours.query, "op10_line_dedup": line_dedup.query}
-SQL = {"op2_mix_sources": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op2_mix_sources": mixing.SQL, "op3_ngram_jaccard": jaccard.SQL, "op7_substring_dedup": substrings.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgelens.llm.common import documents, stage
+from ridgelens.llm.common import documents, join_hot, stage
 from ridgelens.llm.filters import build_filter, passes
 from ridgelens.llm.words import Words, blocks
 
@@ -52,7 +52,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     4. Each document reads the smallest ids of its own windows and marks the words of those that stood before.
 
     Texts without a repeated anchor never move; with digest, not even their words are written.  The smallest id of a
-    passage that a third of all documents share comes as a row from each task, and the join that hands it back splits.
+    passage that a third of all documents share comes as a row from each task, and is handed back to its windows dealt
+    over many tasks (join_hot).
     Documents with a null id have no place in the order: they are returned as they are and take nothing from others.
     Null and empty texts: no words, "" kept.  Rows with equal ids are one place in the order and do not take from each
     other; each is returned.  Empty table: empty result.
@@ -123,8 +124,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     near = stage(base.mapInArrow(candidates, "id bigint, k bigint, n bigint, kept string, sha string, at array<int>, w array<bigint>"), "windows")
     touched = F.size("at") > 0
     single = near.where(touched).select("id", "k", F.explode(F.arrays_zip("at", "w")).alias("x")).select("id", "k", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
-    lowest = single.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")).select("w", "lo")
-    changes = stage(single.join(lowest, "w").where(F.col("id") > F.col("lo")).groupBy("id", "k").agg(F.collect_set("at").alias("starts")), "repeats")
+    lowest = stage(single.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where(F.col("lo") < F.col("hi")).select("w", "lo", "c"), "lowest")
+    changes = stage(join_hot(single, lowest, ["w"], "c").where(F.col("id") > F.col("lo")).groupBy("id", "k").agg(F.collect_set("at").alias("starts")), "repeats")
 
     def cut(batches):
         for b in batches:
@@ -147,3 +148,15 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digest=True)
+
+
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+h as (select doc_id, unnest(range(1, len(words) - 48)) as at, unnest(list_transform(range(1, len(words) - 48), lambda i: md5_number(array_to_string(words[i:i + 49], ' ')))) as h from w where len(words) >= 50),
+f as (select h, min(doc_id) as first from h group by h having min(doc_id) < max(doc_id)),
+s as (select distinct h.doc_id, h.at from h join f on h.h = f.h and h.doc_id > f.first),
+p as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as at from w),
+k as (select p.doc_id, p.at, word, coalesce(max(s.at) over (partition by p.doc_id order by p.at rows between 49 preceding and current row), -1) > 0 as gone from p left join s on s.doc_id = p.doc_id and s.at = p.at)
+select w.doc_id, len(any_value(words))::bigint as n_words, count(*) filter (where gone)::bigint as n_removed, sha256(coalesce(string_agg(word, ' ' order by k.at) filter (where not gone), '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id group by w.doc_id
+"""

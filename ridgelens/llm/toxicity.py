@@ -38,7 +38,7 @@ class Model:
 def buckets(texts: pa.Array):
     """For each block: first and end row, bucket pairs of all words padded by two empty slots a row, row starts."""
     pad = max(WIDTHS) - 1
-    for i, j, data, at in blocks(texts, 1 << 20):
+    for i, j, data, at in blocks(texts):
         w = Words(data, at, lower=True, bare=True)
         counts = np.diff(w.row_at)
         slots = np.full((len(w.hashes) + (pad + 1) * (j - i), 2), 2 * BUCKETS, np.int32)
@@ -235,14 +235,16 @@ def classify(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "threshold", "rejected")]
     has_lang = lang in docs.columns
-    narrow = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"), (F.col(f"`{lang}`") if has_lang else F.lit(None)).cast("string").alias("__lang"))
+    # the text goes to the workers once: as the column that is kept, if it is
+    body, own = (text, []) if text in names else ("__text", [F.col(f"`{text}`").alias("__text")])
+    narrow = docs.select(*[F.col(f"`{c}`") for c in names], *own, (F.col(f"`{lang}`") if has_lang else F.lit(None)).cast("string").alias("__lang"))
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, whatever was fitted
 
     def run(batches):
         m = sent.value
         for b in (whole.slice(s, 1000) for whole in batches for s in range(0, whole.num_rows, 1000)):  # small parts go back
-            p = scores(m, b.column("__text"))
+            p = scores(m, b.column(body))
             cut = np.array([m.thresholds.get(x, m.threshold) for x in b.column("__lang").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p), pa.array(cut), pa.array(p >= cut)], names=[*names, "score", "threshold", "rejected"])
 

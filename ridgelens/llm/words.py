@@ -22,17 +22,19 @@ _MARKS = np.ones(256, bool)
 _MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a block of texts: a block's arrays are some fifty times its size, and workers keep freed memory.
+BLOCK = 1 << 18
 _powers = {int(BASE): np.ones(1, U64), int(BASE_INV): np.ones(1, U64)}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; those of blocks of the usual size are kept between calls."""
     have = _powers[int(base)]
     if len(have) < n:
-        have = np.full(max(n, 2 * len(have)), base, U64)
+        have = np.full(max(n, min(2 * len(have), BLOCK)), base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 1 << 22:
+        if len(have) <= BLOCK:
             _powers[int(base)] = have
     return have[:n]
 
@@ -46,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows) of runs of rows of about `most` bytes, or of one longer row."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
@@ -103,7 +105,7 @@ class WordCache:
     A word is known by its 64-bit hash; what is not there is encoded again, so nothing depends on what is remembered.
     """
 
-    def __init__(self, kind: type, bits: int = 21, room: int = 1 << 23):
+    def __init__(self, kind: type, bits: int = 19, room: int = 1 << 21):
         self.mask = U64((1 << bits) - 1)
         self.keys, self.starts, self.lengths = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
         self.flat, self.used = np.zeros(room, kind), 0
