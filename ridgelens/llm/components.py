@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ridgelens.llm.common import SMALL, drop_stage, join_hot, stage
@@ -19,17 +19,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before, deal = None, edges.count() > SMALL
-    keep, join = (stage, join_hot) if deal else (lambda df, name: df, lambda many, few, on, count: many.join(few.drop(count), on))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
-        large = keep(join(both.where(F.col("v") > F.col("u")), least, ["u"], "c").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "low")
-        small = join(large, low, ["u"], "c").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        old, edges = edges, stage(small, "stars")
-        for done in (old, least, large, low) if deal else (old,):
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        least = stage(least, "least") if deal else least
+        up = both.where(F.col("v") > F.col("u"))
+        up = join_hot(up, least, ["u"], "c") if deal else up.join(least, "u")
+        large = stage(up.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        low = stage(low, "low") if deal else low
+        met = join_hot(large, low, ["u"], "c") if deal else large.join(low, "u")
+        small = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        told = Observation()
+        old, edges = edges, stage(small.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "stars")
+        for done in (old, large, *((least, low) if deal else ())):
             drop_stage(done)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = told.get
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)

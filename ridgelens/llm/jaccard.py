@@ -304,18 +304,36 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
 
     def tightened(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """(gid, id, n, parts) of what bitmaps tie together of the documents of each key, and the tables behind it."""
-        apart = placed.select("h", "id", "n", blocks_of(F.col("c"), F.col("words") / 16).alias("parts")).withColumn("mine", mine).withColumn("other", every)  # bitmaps are a sixteenth of their sets
-        apart = apart.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "n")
+        apart = placed.select("h", "lead", "id", "n", blocks_of(F.col("c"), F.col("words") / 16).alias("parts")).withColumn("mine", mine)  # bitmaps are a sixteenth of their sets
+        maps, block = sets.where(F.col("id").isNotNull()).select("id", "n", "map"), ["h", "i", "j"]
 
         def loosely(batches):
-            for (_, i, j), rows in _groups(batches, ["h", "i", "j"], ["side", "id", "n", "map"]):
-                yield _links(may_link(np.array(rows[1]), np.array(rows[2]), rows[3], percent, np.array(rows[0]) == i if i != j else None))
-
-        near = apart.join(sets.where(F.col("id").isNotNull()).select("id", "n", "map"), ["id", "n"]).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-        tight = stage(components(near.select("h", "i", "j", "side", "id", "n", "map").mapInArrow(loosely, "a bigint, b bigint")), "tight")
+            for _, (sides, ids, n, maps) in _groups(batches, block, ["side", "id", "n", "map"]):
+                left = np.array(sides) == 0
+                yield _links(may_link(np.array(ids), np.array(n), maps, percent, None if left.all() else left))
+
+        def tied(rows: DataFrame) -> DataFrame:
+            rows = rows.select("h", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("side").cast("int").alias("side"), "id", "n")
+            near = rows.join(maps, ["id", "n"]).repartition(*block).sortWithinPartitions(*block)
+            return near.select(*block, "side", "id", "n", "map").mapInArrow(loosely, "a bigint, b bigint")
+
+        # documents of one key meet if they fit one block; else each meets the first of them, and those of other components than that one's meet all
+        one, many = apart.where("parts = 1"), apart.where("parts > 1")
+        first = many.where("id = lead").select("h", "id", "n", every.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+        rest = many.where("id != lead").select("h", "id", "n", F.col("mine").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
+        ties = stage(tied(one.select("h", "id", "n", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")).unionByName(first).unionByName(rest)), "ties")
+        tight = stage(components(ties), "tight")
+        lead_of = tight.select(F.col("id").alias("lead"), F.col("label").alias("lead_label"))
+        other = many.join(tight, "id", "left").join(lead_of, "lead", "left").where(F.coalesce("label", "id") != F.coalesce("lead_label", "lead"))
+        other = stage(other.select("h", "id", "n", "parts"), "untied")
+        if not other.isEmpty():
+            counts = other.groupBy("h").agg(blocks_of(F.count("*"), F.sum("n") / 16).alias("rows"))
+            over = other.join(counts, "h").select("h", "id", "n", F.pmod(F.xxhash64("id"), F.col("rows")).alias("i"), every.alias("j"), F.lit(0).alias("side"))
+            under = many.join(counts, "h").select("h", "id", "n", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"))
+            tight = stage(components(ties.unionByName(tied(over.unionByName(under)))), "tight-all")
         found = tight.join(apart.select("id", "n").distinct(), "id")
         sizes = stage(found.groupBy("label").agg(blocks_of(F.count("*"), F.sum("n")).alias("parts"), F.count("*").alias("c")), "tight-sizes")
-        return join_hot(found, sizes, ["label"], "c").select((-1 - F.col("label")).alias("gid"), "id", "n", "parts"), [tight, sizes]  # gid: apart from other labels
+        return join_hot(found, sizes, ["label"], "c").select((-1 - F.col("label")).alias("gid"), "id", "n", "parts"), [ties, other, tight, sizes]  # gid: apart from other labels
 
     sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, map binary"), "sets")
     named = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
