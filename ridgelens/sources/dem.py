@@ -25,14 +25,14 @@ SHORT, LONG = 3, 4
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(cell_lat, cell_lon, path, length) of the files below path; contents are not read."""
+    """(cell_lat, cell_lon, path, length) of the files below path; contents are not read.  The cell of a name that tells none is null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_DEM.tif").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return files.select(*_cell(F.col("path")), "path", "length")
 
 
 def _cell(path):
     part = lambda k: F.regexp_extract(path, NAME, k)
-    signed = lambda sign, minus, n: (F.when(part(sign) == minus, -1).otherwise(1) * part(n).cast("int")).cast("int")
+    signed = lambda sign, minus, n: (F.when(part(sign) == minus, -1).otherwise(1) * part(n).try_cast("int")).cast("int")
     return [signed(1, "S", 2).alias("cell_lat"), signed(3, "W", 4).alias("cell_lon")]
 
 
@@ -93,11 +93,13 @@ def ingest(spark: SparkSession, path: str, *, width: int = STEPS) -> tuple[DataF
             rows = []
             for lat, lon, name, raw in frame.itertuples(index=False):
                 try:
+                    if pd.isna(lat) or pd.isna(lon):
+                        raise ValueError("the name tells no cell")
                     x = file_layout(raw, width)
                     rows += [(lat, lon, name, k, x["tile_width"], x["tile_height"], raw[a : a + n], None) for k, (a, n) in enumerate(zip(x["offsets"], x["counts"], strict=True))]
                 except (ValueError, struct.error) as e:
                     rows.append((lat, lon, name, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "path", "tile", "tw", "th", "packed", "reason"]).astype({"tile": "Int32", "tw": "Int32", "th": "Int32"})
+            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "path", "tile", "tw", "th", "packed", "reason"]).astype({c: "Int32" for c in ("cell_lat", "cell_lon", "tile", "tw", "th")})
 
     tiles = files.mapInPandas(cut, "cell_lat int, cell_lon int, path string, tile int, tw int, th int, packed binary, reason string")
 
@@ -114,7 +116,7 @@ def ingest(spark: SparkSession, path: str, *, width: int = STEPS) -> tuple[DataF
                     rows += [(lat, lon, (top + r) // BLOCK, (left + c) // BLOCK, STEPS * (lat + 1) - 1 - top - r, STEPS * lon + left + c, b.shape[1], b.shape[0], b.ravel(), None, None) for r in range(0, h.shape[0], BLOCK) for c in range(0, h.shape[1], BLOCK) for b in [h[r : r + BLOCK, c : c + BLOCK]]]
                 except (ValueError, zlib.error) as e:
                     rows.append((lat, lon, None, None, None, None, None, None, None, name, str(e)))
-            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "brow", "bcol", "ilat_top", "ilon_left", "bw", "bh", "h", "path", "reason"]).astype({c: "Int32" for c in ("brow", "bcol", "ilat_top", "ilon_left", "bw", "bh")})
+            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "brow", "bcol", "ilat_top", "ilon_left", "bw", "bh", "h", "path", "reason"]).astype({c: "Int32" for c in ("cell_lat", "cell_lon", "brow", "bcol", "ilat_top", "ilon_left", "bw", "bh")})
 
     done = tiles.repartition("cell_lat", "cell_lon", "tile").mapInPandas(decode, BLOCK_SCHEMA + ", path string, reason string")
     return done.where(F.col("reason").isNull()).drop("path", "reason"), done.where(F.col("reason").isNotNull()).select("path", "reason").distinct()

@@ -15,8 +15,8 @@ GEOJSON = T.StructType([
 
 
 def elevation(ele: Column) -> Column:
-    """Whole metres, half up; null where the text is no number."""
-    return F.try_add(ele.try_cast("double"), F.lit(0.5)).cast("int")
+    """Whole metres, half up; null where the text is no number or no int holds it."""
+    return F.try_add(ele.try_cast("double"), F.lit(0.5)).try_cast("int")
 
 
 def parse_geojson(docs: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,7 +26,7 @@ def parse_geojson(docs: DataFrame, json: str = "json", keep: tuple[str, ...] = (
     """
     f = docs.select(*keep, F.from_json(json, GEOJSON).alias("d")).select(*keep, F.posexplode("d.features").alias("ord", "f"))
     at, ele = F.col("f.geometry.coordinates"), F.col("f.properties.ele")
-    out = f.select(*keep, "ord", F.coalesce(F.col("f.properties.`name:fr`"), F.col("f.properties.name")).alias("name"), F.get(at, 1).alias("lat"), F.get(at, 0).alias("lon"), elevation(ele).alias("elevation"), (ele.isNotNull() & ele.try_cast("double").isNull()).alias("bad_elevation"), F.size(at).alias("n"))
+    out = f.select(*keep, "ord", F.coalesce(F.col("f.properties.`name:fr`"), F.col("f.properties.name")).alias("name"), F.get(at, 1).alias("lat"), F.get(at, 0).alias("lon"), elevation(ele).alias("elevation"), (ele.isNotNull() & elevation(ele).isNull()).alias("bad_elevation"), F.size(at).alias("n"))
     return out.where(F.col("name").isNotNull() & (F.col("n") == 2)).drop("n")
 
 

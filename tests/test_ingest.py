@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgelens.sources import dem, landmarks
 
@@ -46,13 +47,14 @@ def folder(tmp_path):
     write(tmp_path / "X_S02_00_W011_00_DEM.tif", z[::-1])
     for k, change in enumerate([{"magic": b"MM\0*"}, {"_258": 16}, {"_259": 5}, {"_277": 3}, {"_317": 2}, {"_256": 100}]):
         write(tmp_path / f"X_N1{k}_00_E006_00_DEM.tif", z, **change)
+    write(tmp_path / "stray_DEM.tif", z)
     return tmp_path, z
 
 
 def test_ingest(spark, folder, tmp_path_factory):
     path, z = folder
     blocks, rejects = dem.ingest(spark, str(path), width=SIDE)
-    assert rejects.count() == 6
+    assert rejects.count() == 7 and rejects.where("path like '%stray%' and reason = 'the name tells no cell'").count() == 1
     px = {(r.ilat, r.ilon): r.h for r in dem.pixels(blocks).collect()}
     assert len(px) == 2 * SIDE * SIDE
     for r, c in ((0, 0), (79, 80), (80, 79), (127, 127), (64, 3)):
@@ -74,5 +76,10 @@ def test_geojson(spark, tmp_path):
     assert [(r.ord, r.name, r.lat, r.lon, r.elevation, r.bad_elevation) for r in rows] == [(0, "B", 44.5, 6.5, 13, False), (2, "C", 45.0, 7.0, None, True)]
 
 
+def test_elevations_that_no_int_holds(spark):
+    df = spark.createDataFrame([("12.4",), ("-0.6",), ("NaN",), ("Infinity",), ("1e12",), ("n/a",), (None,)], "ele string")
+    assert [r[0] for r in df.select(landmarks.elevation(F.col("ele"))).collect()] == [12, 0, None, None, None, None, None]
+
+
 def test_presets(spark):
     assert landmarks.presets(spark).count() == len(landmarks.PRESETS)
