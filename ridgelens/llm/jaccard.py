@@ -336,6 +336,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         return join_hot(found, sizes, ["label"], "c").select((-1 - F.col("label")).alias("gid"), "id", "n", "parts"), [ties, other, tight, sizes]  # gid: apart from other labels
 
     sets = stage(base.mapInArrow(keep, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, map binary"), "sets")
+    for done in (bits, busy):
+        done.destroy()
     named = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = stage(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "representatives")
     own = named.where(F.size("keys") > 0).select("id", "n", "keys").join(reps.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi")

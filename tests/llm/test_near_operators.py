@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -137,6 +138,7 @@ def test_components(spark):
 
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules["ridgelens.llm.components"], "FEW", 0)
     monkeypatch.setattr(common, "HOT", 8)
     monkeypatch.setattr(common, "SMALL", 10)
     many = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
