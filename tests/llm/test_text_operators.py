@@ -41,7 +41,8 @@ def test_line_dedup(spark):
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_common_lines(df, min_docs=2).collect())
     lines = [(t or "").split("\n") for _, t, _, _ in rows]
     keys = [[low(x.strip(" \t\n\x0b\x0c\r")) for x in part] for part in lines]
-    count = Counter(k for part in keys for k in set(part) if k)
+    whose = {(k, n if i is None else ("id", i)) for n, ((i, *_), part) in enumerate(zip(rows, keys, strict=True)) for k in part if k}  # rows of one id are one document
+    count = Counter(k for k, _ in whose)
     want = Counter()
     for (i, *_), part, ks in zip(rows, lines, keys):
         kept = [x for x, k in zip(part, ks) if count[k] < 2]
