@@ -220,6 +220,7 @@ def _set_cuts(model: Model, body: DataFrame, known: DataFrame) -> None:
 
     scored = body.mapInArrow(run, "id string, lang string, p double, bin int").join(known, "id")
     counts = stage(scored.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"), F.min("p").alias("low"), F.max("p").alias("high")), "scores")
+    sent.destroy()
     cut = _best_cut(*_bins(counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()))
     model.threshold = CUT if cut is None else cut
     found = counts.where(F.col("lang").isNotNull()).groupBy("lang").applyInArrow(own, "lang string, cut double").where(F.col("cut").isNotNull())

@@ -151,6 +151,21 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert all(got[k] == 0 for k in range(400)) and all(got[1000 - k] == 900 - k for k in range(50))
 
 
+def test_components_of_few_links_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    for rows in ([], [(5, 5), (None, 2)], [(k, k + 1) for k in range(-50, 500)], [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))]):
+        links = spark.createDataFrame(rows, "a bigint, b bigint")
+        want = {x: x for a, b in rows if a is not None and a != b for x in (a, b)}
+        for _ in want:
+            before = dict(want)
+            for a, b in rows:
+                if a in want and b in want:
+                    want[a] = want[b] = min(want[a], want[b])
+            if before == want:
+                break
+        assert {r.id: r.label for r in components(links).collect()} == want
+
+
 def test_filter(spark):
     rng = np.random.default_rng(0)
     h = rng.integers(-(2**63), 2**63 - 1, 5000)
