@@ -29,8 +29,8 @@ def sample_heights(points: DataFrame, dem: DataFrame, ilat: str = "ilat", ilon:
 def window_mosaic(viewpoints: DataFrame, blocks: DataFrame, size: int, side: int = BLOCK) -> DataFrame:
     """(vp_id, row, col, ilat, ilon, h): each viewpoint's window cut from blocks, row 0 north; missing pixels are absent.
 
-    The window is exploded to the keys of the blocks it touches, so a table partitioned by block is read where needed,
-    and the join is on equal keys.
+    The window is exploded to the keys of the blocks it touches, and the join is on equal keys.  Only a table of blocks that
+    is partitioned by (bi, bj) can be pruned by it; all others are read whole.
     """
     w = window_range(F.col("lat"), F.col("lon"), size)
     v = viewpoints.select("vp_id", *[w[c].alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
