@@ -43,7 +43,7 @@ def _ends(drawn: DataFrame, key: list[str], bin_: str, need: str) -> DataFrame:
     return bins.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need"))).select(*key, F.col(bin_).alias("last"), F.col("before").alias("done"))
 
 
-def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, whole: bool = False) -> DataFrame:
     """One row for each row of docs: row (struct of its columns), size, source_size, target, taken (words).
 
     Every document gets floor(target / source_size) whole copies for certain.  The rest of its source's target is drawn
@@ -51,7 +51,8 @@ def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source:
     root of its size over the source's mean size (longer documents are likelier), its rank is u / (1 - u) over those odds, with u from md5 of seed
     and id, and the lowest ranks are taken until the source's words reach its target.  The draw's size is fixed in
     words, so the one document in which it ends gives only its first words: a source misses its target by less than a
-    word.  No document is taken more than floor + 1 <= `most` times.
+    word.  whole: that document is taken whole or not at all, whichever comes nearer to the target (equally near: whole),
+    so a source misses its target by half a document at most, and no text is cut.  No document is taken more than floor + 1 <= `most` times.
 
     The end of a draw is found by adding up words in BINS bins of the rank's transform r / (1 + r), then in BINS bins
     inside the last bin; only a millionth of a source is ever ordered in one place, so a source of a third of all
@@ -59,10 +60,10 @@ def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source:
     rank go by id, and rows with equal ids are ordered by size.  Empty table: empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _mixed(_sized(docs, row, text, id_col, source), stage(_sized(docs, F.lit(0), text, id_col, source), "sizes"), weights, share, most, seed)
+    return _mixed(_sized(docs, row, text, id_col, source), stage(_sized(docs, F.lit(0), text, id_col, source), "sizes"), weights, share, most, seed, whole)
 
 
-def _mixed(full: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+def _mixed(full: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str, whole: bool = False) -> DataFrame:
     """full: row, source, id, size; rows: the same without what is in row.  The draw's end is found in rows alone."""
     targets = source_targets(rows, weights=weights, share=share, most=most)
     # one row for each source: as many as there are names of sources, whatever the number of rows
@@ -80,11 +81,12 @@ def _mixed(full: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: fl
     here = F.coalesce((F.col("bin") == F.col("last")) & (F.col("fine") == F.col("last_fine")), F.lit(False))
     before = F.coalesce((F.col("bin") < F.col("last")) | ((F.col("bin") == F.col("last")) & (F.col("fine") < F.col("last_fine"))), F.lit(False))
     cols = ["row", "size", "source_size", "target", "copies", "part"]
-    whole = r.where(~here).withColumn("part", F.when(before, F.col("size")).otherwise(F.lit(0)).cast("long")).select(*cols)
+    outside = r.where(~here).withColumn("part", F.when(before, F.col("size")).otherwise(F.lit(0)).cast("long")).select(*cols)
     order = Window.partitionBy(*key).orderBy("q", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("need") - F.col("done") - F.col("done_fine") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = r.where(here).withColumn("part", F.least(F.greatest(left, F.lit(0)), F.col("size"))).select(*cols)
-    return whole.unionByName(last).select("row", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
+    part = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least(F.greatest(left, F.lit(0)), F.col("size"))
+    last = r.where(here).withColumn("part", part).select(*cols)
+    return outside.unionByName(last).select("row", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def _ranked(rows: DataFrame, named: DataFrame, seed: str) -> DataFrame:
