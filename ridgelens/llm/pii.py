@@ -1,12 +1,14 @@
-"""Personal data: exact patterns, and spans that a semi-Markov conditional random field adds where the patterns merge or miss."""
+"""Personal data: exact patterns, and spans that a semi-Markov conditional random field adds where the patterns merge matches or miss a bracketed number."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _PHONE_BARE = re.compile(r"\(?[0-9][\x20().0-9-]+[0-9]")
+_BRACKETED = re.compile(r"\([0-9]{2,5}\)[\x20-]?[0-9][0-9\x20-]*[0-9]")
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -88,14 +91,22 @@ def stretches(t: str) -> list[list[tuple[int, int]]]:
 
 
 def trim(t: str, a: int, b: int) -> tuple[int, int]:
-    """A span without the marks of the sentence around it."""
-    while b > a and (t[b - 1] in ".,;:!?\"'>]}" or (t[b - 1] == ")" and t.count("(", a, b) < t.count(")", a, b))):
+    """A span without the marks of the sentence around it, nor brackets at its ends that have no partner in it."""
+    over = t.count(")", a, b) - t.count("(", a, b)
+    while b > a and (t[b - 1] in ".,;:!?\"'>]}" or (t[b - 1] == ")" and over > 0)):
         b -= 1
-    while a < b and (t[a] in "\"'<[{" or (t[a] == "(" and t.count(")", a, b) < t.count("(", a, b))):
+        over -= t[b] == ")"
+    while a < b and (t[a] in "\"'<[{" or (t[a] == "(" and over < 0)):
+        over += t[a] == "("
         a += 1
     return a, b
 
 
+def bracketed(s: str) -> bool:
+    """A number of 9 to 12 digits that starts with its area in brackets."""
+    return s[:1] == "(" and bool(_BRACKETED.fullmatch(s)) and 9 <= len(_digits(s)) <= 12
+
+
 def features(s: str, words: int) -> list[float]:
     """What a whole span looks like."""
     d = _digits(s)
@@ -108,7 +119,7 @@ def features(s: str, words: int) -> list[float]:
     bare = not plus and bool(_PHONE_BARE.fullmatch(s)) and any(c in "()-" for c in s)
     flags = [
         True, words == 1, words == 2, words == 3, words > 3, letters, "@" in s, bool(_EMAIL_WHOLE.fullmatch(s)), four, four and all(map(_small, parts)), card and not right, right, right and words == 1, right and " " in s,
-        plus, plus and 9 <= n <= 15, plus and n > 15, bare, bare and 9 <= n <= 12, s[:1] == "+", n < 7, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 15, n == 16, 17 <= n <= 19, n > 19, n > 0 and n == len(s), words > 1 and "+" in s[1:], words > 1 and "@" in s, words > 1 and four,
+        plus, plus and 9 <= n <= 15, plus and n > 15, bare, bare and 9 <= n <= 12, bracketed(s), s[:1] == "+", n < 7, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 15, n == 16, 17 <= n <= 19, n > 19, n > 0 and n == len(s), words > 1 and "+" in s[1:], words > 1 and "@" in s, words > 1 and four,
     ]
     return [float(x) for x in flags]
 
@@ -207,8 +218,10 @@ def _gold(t: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]] |
 def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """Likelihood ascent (Adagrad) on stretches labelled by the base patterns.
 
-    A stretch that is one base match is a sure case; stretches of several sure cases side by side, which the patterns
-    alone would merge, are made from those and labelled by what they were made from.  Without texts: nothing is added.
+    A stretch that is one base match is a sure case; so is what follows the country's code in one with its area in
+    brackets, which the patterns miss.  Stretches of several sure cases side by side, which the patterns alone would merge, are made
+    from those and labelled by what they were made from.  A stretch with a bracketed number that no pattern matches is no case: what
+    the patterns say of it is not known to be right.  Without texts: nothing is added.
     """
     rng = np.random.default_rng(seed)
     m = Field(np.zeros((LABELS, N_FEATURES)), np.zeros((LABELS, LABELS)))
@@ -217,11 +230,15 @@ def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     for t in texts:
         words = [w for run in stretches(t)[:1] for w in run]
         gold = _gold(t, words) if len(words) <= 4 * LONGEST else None
-        if gold is None:
+        if gold is None or (not gold and any(bracketed(t[slice(*trim(t, words[i][0], words[j][1]))]) for i in range(len(words)) for j in range(i, min(len(words), i + LONGEST)))):
             continue
         cases.append((t, words, gold))
         if len(gold) == 1 and gold[0][:2] == (0, len(words) - 1):
             sure.append((t, gold[0][2]))
+            own = t[max(t.find("("), 0) :]
+            if KINDS[gold[0][2] - 1] == "phone" and bracketed(own):
+                sure.append((own, gold[0][2]))
+                cases.append((own, stretches(own)[0], [(0, len(stretches(own)[0]) - 1, gold[0][2])]))
     by_kind = {y: [t for t, k in sure if k == y] for y in {k for _, k in sure}}
     for _ in range(len(sure)):  # each kind alike
         parts = [(by_kind[y][rng.integers(len(by_kind[y]))], y) for y in rng.choice(sorted(by_kind), rng.integers(2, 4))]
@@ -263,9 +280,14 @@ def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
 def added_spans(m: Field, t: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities that no base match of their kind overlaps."""
     out = []
+
+    def met(kind: str, a: int, b: int) -> bool:
+        """Whether a base match of this kind, which do not overlap each other, overlaps the span."""
+        k = bisect_left(base[kind], (b,)) - 1
+        return k >= 0 and base[kind][k][1] > a
+
     for words in stretches(t):
-        covered = [span for spans in base.values() for span in spans if span[0] < words[-1][1] and span[1] > words[0][0]]
-        if len(words) == 1 and (covered or not any(c in "+@" for c in t[words[0][0] : words[0][1]]) and sum(c in "0123456789" for c in t[words[0][0] : words[0][1]]) < 4):
+        if len(words) == 1 and (any(met(kind, *words[0]) for kind in base) or not any(c in "+@" for c in t[words[0][0] : words[0][1]]) and sum(c in "0123456789" for c in t[words[0][0] : words[0][1]]) < 4):
             continue  # one word: a base match, or too few digits for any kind
         s, _ = _scores(m, t, words)
         path = best_path(m, s)
@@ -274,20 +296,30 @@ def added_spans(m: Field, t: str, base: dict[str, list[tuple[int, int]]]) -> lis
         p, _ = _marginals(m, s)
         for i, j, y in path:
             a, b = trim(t, words[i][0], words[j][1])
-            if p[j, j - i, y] >= SURE and not any(a < e and b > x for x, e in base[KINDS[y - 1]]):
+            if p[j, j - i, y] >= SURE and not met(KINDS[y - 1], a, b):
                 out.append((y - 1, a, b))
     return out
 
 
 def train(docs: DataFrame, *, text: str = "text") -> Field:
-    """Fit on the SAMPLE stretches of smallest hash, of at most 400 characters, over all documents."""
+    """Fit on the SAMPLE stretches of smallest hash, of at most 400 characters, over all documents.
+
+    A task hands on the SAMPLE smallest it has seen, so what is shuffled grows with the tasks, not with the stretches.
+    """
+
+    def rank(s: str) -> tuple[bool, int]:  # as the order below
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        return len(s) < 8, h - (h >> 63 << 64)
 
     def cut(batches):
+        least: dict[str, tuple[bool, int]] = {}
         for b in batches:
-            found = []
             for t in b.column("body").to_pylist():
-                found += [t[r[0][0] : r[-1][1]] for r in stretches(t) if r[-1][1] - r[0][0] <= 400]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["s"])
+                for s in {t[r[0][0] : r[-1][1]] for r in stretches(t) if r[-1][1] - r[0][0] <= 400} - least.keys():
+                    least[s] = rank(s)
+                if len(least) > 4 * SAMPLE:
+                    least = dict(sorted(least.items(), key=lambda x: x[1])[:SAMPLE])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(least, key=least.get)[:SAMPLE], pa.string())], names=["s"])
 
     body = docs.select(F.col(f"`{text}`").alias("body")).where(F.col("body").rlike("[0-9@]"))
     found = body.mapInArrow(cut, "s string").distinct()
