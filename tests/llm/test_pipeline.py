@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 
 import corpus_pipeline
-from ridgelens.llm import toxicity
+from ridgelens.llm import mixing, toxicity
 from ridgelens.llm.common import documents, stage
 
 DATA = "/root/testdata/sf0.001"
@@ -63,20 +63,19 @@ def test_stages(spark):
     kept = rows(single)
     assert single.columns == names and set(kept) == {i for i in ids if root(i) == i} and all(kept[i] == got[i] for i in kept)
 
-    # mix: copies of whole documents, one cut document a source at most, words near 150 % of all
+    # mix: copies of whole documents, words of a source within half a document of its target
     mix = stage(steps["mix_sources"](spark, single, DATA), "t4")
     assert mix.columns == names
-    size, taken, cut = defaultdict(int), defaultdict(int), Counter()
+    size, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in kept.values():
-        size[r.source] += len(WORD.findall(r.text))
-    for r in mix.collect():
         n = len(WORD.findall(r.text))
-        taken[r.source] += n
-        if r.text != kept[r.doc_id].text:
-            cut[r.source] += 1
-            assert WORD.findall(r.text) == WORD.findall(kept[r.doc_id].text)[:n]
-    assert abs(sum(taken.values()) - 1.5 * sum(size.values())) <= len(size) and max(cut.values(), default=0) <= 1
-    assert all(taken[s] <= 2 * size[s] for s in size)
+        size[r.source] += n
+        largest[r.source] = max(largest[r.source], n)
+    for r in mix.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+        assert r == kept[r.doc_id]
+    target = {r.source: r.target for r in mixing.mix(single).select("row.source", "target").distinct().collect()}
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 and taken[s] <= 2 * size[s] for s in size)
 
     # packing: every token of every row once
     from tokenizers import Tokenizer

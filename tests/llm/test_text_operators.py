@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,13 @@ def test_mixing(spark):
     for r in out.collect():
         words[r.source] += size(r.text)
     assert words == {s: n for s, n in taken.items() if n}
+    uncut, most = mixing.mix(df, whole=True).select("row.source", "size", "target", "taken").collect(), defaultdict(int)
+    taken = defaultdict(int)
+    for r in uncut:
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        taken[r.source] += r.taken
+        most[r.source] = max(most[r.source], r["size"])
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in by)
     assert mixing.mix(empty(spark)).count() == 0
 
 
@@ -225,9 +233,73 @@ def test_personal_data(spark):
     assert not got[900].base and [tuple(s) for s in got[900].spans] == [("card", 23, 39), ("phone", 5, 22)]
     assert not got[901].spans
     assert pii.find_personal_data(empty(spark), pii.fit([])).count() == 0
+    brackets = pii.added_spans(field, "call (269) 555-3297 on 2024-01-15, (2024) 17", pii.base_spans("call (269) 555-3297 on 2024-01-15, (2024) 17"))
+    assert brackets == [(3, 5, 19)]
     assert not pii.added_spans(pii.fit([]), "+1 (269) 555-3296 4111111111111111", {k: [] for k in pii.KINDS})
 
 
+def test_field_sums_and_paths_are_those_of_all_segmentations():
+    rng = np.random.default_rng(4)
+    m = pii.Field(np.zeros((pii.LABELS, pii.N_FEATURES)), rng.normal(size=(pii.LABELS, pii.LABELS)))
+
+    def ways(n, before=0):  # (segments, label steps) of each segmentation of n words
+        if n == 0:
+            yield []
+        for k in range(min(pii.LONGEST, n)):
+            for y in range(pii.LABELS):
+                if not (k and y == 0):
+                    for rest in ways(n - k - 1, y):
+                        yield [(before, k, y), *rest]
+
+    for n in (1, 2, 4):
+        s = rng.normal(size=(n, pii.LONGEST, pii.LABELS))
+        s[:, 1:, 0] = -np.inf
+        p, steps, total, best = np.zeros_like(s), np.zeros_like(m.steps), 0.0, (-np.inf, None)
+        for way in ways(n):
+            at, score, path = -1, 0.0, []
+            for before, k, y in way:
+                at += k + 1
+                score += m.steps[before, y] + s[at, k, y]
+                path += [(at - k, at, y)] if y else []
+            best = max(best, (score, path), key=lambda x: x[0])
+            weight, at = np.exp(score), -1
+            total += weight
+            for before, k, y in way:
+                at += k + 1
+                p[at, k, y] += weight
+                steps[before, y] += weight
+        got_p, got_steps = pii._marginals(m, s)
+        reach = [(j, k) for j in range(n) for k in range(min(pii.LONGEST, j + 1))]
+        assert all(np.allclose(got_p[j, k], p[j, k] / total) for j, k in reach) and np.allclose(got_steps, steps / total)
+        assert pii.best_path(m, s) == best[1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("()[].,a1\"'"), max_size=20))
+def test_trim_counts_brackets_at_every_step(t):
+    a, b = 0, len(t)
+    while b > a and (t[b - 1] in ".,;:!?\"'>]}" or (t[b - 1] == ")" and t.count("(", a, b) < t.count(")", a, b))):
+        b -= 1
+    while a < b and (t[a] in "\"'<[{" or (t[a] == "(" and t.count(")", a, b) < t.count("(", a, b))):
+        a += 1
+    assert pii.trim(t, 0, len(t)) == (a, b)
+
+
+def test_sample_of_stretches_does_not_depend_on_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 7)
+    monkeypatch.setattr(pii, "fit", lambda texts: texts)
+    rows = [(k, f"no {k * 7919 % 10007}-{k} then {k % 5} and @{k % 50}x") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.train(df.repartition(1)) == pii.train(df.repartition(9)) and len(pii.train(df)) == 7
+
+
+def test_many_spans_and_brackets_take_no_square_time():
+    m = pii.fit([])
+    t = " x ".join(f"10.0.{k % 256}.{k // 256}" for k in range(20000)) + " 1" + ")" * 100000
+    began = time.perf_counter()
+    assert not pii.added_spans(m, t, pii.base_spans(t)) and time.perf_counter() - began < 10
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels)
