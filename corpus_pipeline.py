@@ -33,9 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: documents that the draw leaves out go, others stand once for each copy."""
-    out = mixing.take(mixing.mix(docs), docs)
-    return out.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Sources mixed to their target weights: documents that the draw leaves out go, others stand whole, once for each copy."""
+    return mixing.take(mixing.mix(docs, whole=True), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
