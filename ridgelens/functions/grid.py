@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEPS, TILE, TILES = 3600, 1024, 4
+#: Pixels of a block's side: it divides a cell, and the sides of the files' tiles, which their format holds to multiples of 16.
+BLOCK = 16
 #: Metres of an arc-second of latitude, and of longitude at the latitude the maps are drawn for.
 DELTA_Y = 40000 / 360 / 3600 * 1000
 REF_LAT = 44.0

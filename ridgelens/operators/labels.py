@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ridgelens.functions.grid import DELTA_Y, REF_LAT, delta_x
+from ridgelens.operators.sight import EYE
 
-SCALE, TEXT_HEIGHT, EYE = 3.2, 0.07, 2.0
+SCALE, TEXT_HEIGHT = 3.2, 0.07
 
 
 def label_text(name: Column, elevation: Column) -> Column:
@@ -86,30 +87,8 @@ def slot(variant: str = "web") -> Column:
 def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("vp_id",), nth: str = "nth") -> DataFrame:
     """labels with slot and shown: in order of nth, a label shows if no shown one is nearer than the text's height.
 
-    web marks the others (threshold 0.8 of the height), sdl drops them.  A view's labels are folded in one row; a view
-    holds the landmarks visible from one place, which the view's size bounds; thin_streamed() has no such need.
-    """
-    near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
-    d = labels.withColumn("slot", slot(variant))
-    rest = [c for c in d.columns if c not in keys]
-    views = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(nth).alias("__n"), *rest))).alias("all"))
-    kept = F.aggregate(
-        F.transform("all", lambda x: x["slot"]),
-        F.struct(F.array().cast("array<double>").alias("at"), F.array().cast("array<boolean>").alias("shown")),
-        lambda s, p: F.struct(
-            F.when(F.exists(s["at"], lambda q: F.abs(q - p) < near), s["at"]).otherwise(F.array_append(s["at"], p)).alias("at"),
-            F.array_append(s["shown"], ~F.exists(s["at"], lambda q: F.abs(q - p) < near)).alias("shown"),
-        ),
-        lambda s: s["shown"],
-    )
-    out = views.select(*keys, F.explode(F.arrays_zip("all", kept.alias("shown"))).alias("x")).select(*keys, *[F.col(f"x.all.{c}").alias(c) for c in rest], F.col("x.shown").alias("shown"))
-    return out.where("shown") if variant == "sdl" else out
-
-
-def thin_streamed(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("vp_id",), nth: str = "nth") -> DataFrame:
-    """The same as thin() for views of any size: labels are dealt by view, sorted, and stream by.
-
-    Only the slots of shown labels are remembered, in order; they are at least the threshold apart.
+    web marks the others (threshold 0.8 of the height), sdl drops them.  Labels are dealt by view, sorted, and stream by;
+    only the slots of a view's shown labels are remembered, in order, and these are the threshold apart.  A label without a slot shows.
     """
     near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
     d = labels.withColumn("slot", slot(variant))
@@ -124,7 +103,7 @@ def thin_streamed(labels: DataFrame, *, variant: str = "web", keys: tuple[str, .
                 k = bisect_left(at, p)
                 free = not any(abs(q - p) < near for q in at[max(0, k - 1) : k + 1])
                 shown.append(free)
-                if free:
+                if free and p == p:
                     at.insert(k, p)
             yield f.assign(shown=shown)
 

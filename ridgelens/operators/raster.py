@@ -1,80 +1,96 @@
-"""Raster operators on the logical table dem (ilat, ilon, h) and on tables of blocks."""
+"""Raster operators on blocks of BLOCK x BLOCK pixels: (bi, bj, h), and (cell_lat, cell_lon) where ingest wrote them.
 
-from __future__ import annotations
+bi, bj are the global indices over BLOCK; h holds heights by row from the south-west, null where there is none.
+"""
 
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgelens.functions.grid import DELTA_Y, REF_LAT, delta_x, floor_div, window_range
-
-BLOCK = 64
+from ridgelens.functions.grid import BLOCK, DELTA_Y, REF_LAT, STEPS, delta_x, floor_div, window_range
 
 
 def to_blocks(dem: DataFrame, side: int = BLOCK) -> DataFrame:
-    """(bi, bj, px) of dem: pixels of a block as an array of (k, h), k = row * side + column from its south-west."""
-    k = (F.col("ilat") - F.col("bi") * side) * side + F.col("ilon") - F.col("bj") * side
+    """Blocks of the logical table dem (ilat, ilon, h), which has one row for each pixel: one shuffle of the raster."""
+    k = ((F.col("ilat") - F.col("bi") * side) * side + F.col("ilon") - F.col("bj") * side).cast("int")
     dem = dem.withColumn("bi", floor_div(F.col("ilat"), side)).withColumn("bj", floor_div(F.col("ilon"), side))
-    return dem.groupBy("bi", "bj").agg(F.collect_list(F.struct(k.cast("int").alias("k"), F.col("h").cast("double").alias("h"))).alias("px"))
+    px = dem.groupBy("bi", "bj").agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), F.col("h").cast("double").alias("h")))).alias("px"))
+    full = (F.size("px") == side * side) & (F.size(F.array_distinct("px.k")) == side * side)
+    filled = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.get(F.filter("px", lambda p: p["k"] == k), F.lit(0))["h"])
+    return px.select("bi", "bj", F.when(full, F.col("px.h")).otherwise(filled).alias("h"))
+
 
+def place(ilat: Column, ilon: Column, side: int = BLOCK) -> tuple[Column, Column, Column]:
+    """Block and place in the block of a pixel."""
+    bi, bj = floor_div(ilat, side), floor_div(ilon, side)
+    return bi, bj, ((ilat - bi * side) * side + ilon - bj * side).cast("int")
 
-def sample_heights(points: DataFrame, dem: DataFrame, ilat: str = "ilat", ilon: str = "ilon", out: str = "h") -> DataFrame:
+
+def sample_heights(points: DataFrame, blocks: DataFrame, ilat: str = "ilat", ilon: str = "ilon", out: str = "h", side: int = BLOCK) -> DataFrame:
     """points with the height at their pixel, null off the raster."""
-    h = dem.select(F.col("ilat").alias("__a"), F.col("ilon").alias("__b"), F.col("h").cast("double").alias(out))
-    return points.join(h, (F.col(ilat) == F.col("__a")) & (F.col(ilon) == F.col("__b")), "left").drop("__a", "__b")
+    bi, bj, at = place(F.col(ilat), F.col(ilon), side)
+    met = points.withColumns({"__bi": bi, "__bj": bj}).join(blocks.select(F.col("bi").alias("__bi"), F.col("bj").alias("__bj"), F.col("h").alias("__h")), ["__bi", "__bj"], "left")
+    return met.withColumn(out, F.get("__h", at).cast("double")).drop("__bi", "__bj", "__h")
 
 
-def window_mosaic(viewpoints: DataFrame, blocks: DataFrame, size: int, side: int = BLOCK) -> DataFrame:
-    """(vp_id, row, col, ilat, ilon, h): each viewpoint's window cut from blocks, row 0 north; missing pixels are absent.
+def cut_windows(viewpoints: DataFrame, blocks: DataFrame, size: int, column: str = "h", edge: int = 0, side: int = BLOCK) -> DataFrame:
+    """(vp_id, row, col, ilat, ilon, x): what an array of the blocks holds in each viewpoint's window, row 0 north.
 
-    The window is exploded to the keys of the blocks it touches, and the join is on equal keys.  Only a table of blocks that
-    is partitioned by (bi, bj) can be pruned by it; all others are read whole.
+    Missing entries are absent; edge: so many pixels at the window's rim are left out.  The window is exploded to the
+    keys of the blocks it touches, and the join is on equal keys, cells included where the blocks have them.
     """
     w = window_range(F.col("lat"), F.col("lon"), size)
     v = viewpoints.select("vp_id", *[w[c].alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
     v = v.withColumn("bi", F.explode(F.sequence(floor_div(F.col("min_lat"), side), floor_div(F.col("max_lat"), side)))).withColumn("bj", F.explode(F.sequence(floor_div(F.col("min_lon"), side), floor_div(F.col("max_lon"), side))))
-    p = v.join(blocks, ["bi", "bj"]).select("vp_id", "min_lat", "max_lat", "min_lon", "max_lon", "bi", "bj", F.explode("px").alias("p"))
-    p = p.withColumn("ilat", (F.col("bi") * side + F.floor(F.col("p.k") / side)).cast("int")).withColumn("ilon", (F.col("bj") * side + F.col("p.k") % side).cast("int"))
-    p = p.where(F.col("ilat").between(F.col("min_lat"), F.col("max_lat")) & F.col("ilon").between(F.col("min_lon"), F.col("max_lon")))
-    return p.select("vp_id", (F.col("max_lat") - F.col("ilat")).alias("row"), (F.col("ilon") - F.col("min_lon")).alias("col"), "ilat", "ilon", F.col("p.h").alias("h"))
+    on = ["bi", "bj"]
+    if "cell_lat" in blocks.columns:
+        v, on = v.withColumns({"cell_lat": floor_div(F.col("bi") * side, STEPS), "cell_lon": floor_div(F.col("bj") * side, STEPS)}), ["cell_lat", "cell_lon", *on]
+    p = v.join(blocks.select(*on, column), on).select("vp_id", "min_lat", "max_lat", "min_lon", "max_lon", "bi", "bj", F.posexplode(column).alias("k", "x")).where(F.col("x").isNotNull())
+    p = p.withColumn("ilat", F.col("bi") * side + floor_div(F.col("k"), side)).withColumn("ilon", F.col("bj") * side + F.col("k") % side)
+    p = p.where(F.col("ilat").between(F.col("min_lat") + edge, F.col("max_lat") - edge) & F.col("ilon").between(F.col("min_lon") + edge, F.col("max_lon") - edge))
+    return p.select("vp_id", (F.col("max_lat") - F.col("ilat")).alias("row"), (F.col("ilon") - F.col("min_lon")).alias("col"), "ilat", "ilon", "x")
 
 
-def gradient(dem: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """dem with gx (west - east) and gy (north - south), only where all four neighbours exist.
+def window_mosaic(viewpoints: DataFrame, blocks: DataFrame, size: int, side: int = BLOCK) -> DataFrame:
+    """(vp_id, row, col, ilat, ilon, h): each viewpoint's window cut from blocks, row 0 north; missing pixels are absent."""
+    return cut_windows(viewpoints, blocks, size, side=side).withColumn("x", F.col("x").cast("double")).withColumnRenamed("x", "h")
 
-    keys: columns that tell rasters apart.  Neighbours are read by windows along rows and columns, and count only if
-    their index differs by one, so gaps yield nothing.
+
+def _bordered(blocks: DataFrame, side: int) -> DataFrame:
+    """(bi, bj, h, n, s, e, w): blocks with their neighbours' next rows and columns, null where there is no neighbour.
+
+    A block sends its outer rows and columns to its neighbours, so one shuffle moves each block and a quarter of it.
     """
-    along = Window.partitionBy(*keys, "ilat").orderBy("ilon")
-    across = Window.partitionBy(*keys, "ilon").orderBy("ilat")
+    steps = F.sequence(F.lit(0), F.lit(side - 1))
+    west, east = F.transform(steps, lambda i: F.get("h", i * side)), F.transform(steps, lambda i: F.get("h", i * side + side - 1))
+    parts = (("h", 0, 0, F.col("h")), ("n", -1, 0, F.slice("h", 1, side)), ("s", 1, 0, F.slice("h", side * (side - 1) + 1, side)), ("e", 0, -1, west), ("w", 0, 1, east))
+    sent = blocks.select(F.explode(F.array(*[F.struct((F.col("bi") + i).alias("bi"), (F.col("bj") + j).alias("bj"), F.lit(name).alias("part"), v.alias("v")) for name, i, j, v in parts])).alias("x")).select("x.*")
+    met = sent.groupBy("bi", "bj").agg(F.map_from_entries(F.collect_list(F.struct("part", "v"))).alias("m"))
+    return met.select("bi", "bj", *[F.try_element_at("m", F.lit(name)).alias(name) for name in "hnsew"]).where(F.col("h").isNotNull())
 
-    def near(w, by: str, step: int):
-        return F.when(F.lag(by, step).over(w) == F.col(by) - step, F.lag("z", step).over(w))
 
-    d = dem.withColumn("z", F.col("h").cast("double"))
-    d = d.withColumns({"w": near(along, "ilon", 1), "e": near(along, "ilon", -1)}).withColumns({"s": near(across, "ilat", 1), "n": near(across, "ilat", -1)})
-    d = d.where(F.col("w").isNotNull() & F.col("e").isNotNull() & F.col("s").isNotNull() & F.col("n").isNotNull())
-    return d.select(*dem.columns, (F.col("w") - F.col("e")).alias("gx"), (F.col("n") - F.col("s")).alias("gy"))
+def _slope(k: Column, side: int) -> Column:
+    """(h, gx, gy) of a bordered block's k-th pixel; null but where it and its four neighbours exist."""
+    row, col = floor_div(k, side), k % side
+    get = lambda edge, rim, i, step: F.when(edge, F.get(rim, i)).otherwise(F.get("h", k + step)).cast("double")
+    gx = get(col == 0, "w", row, -1) - get(col == side - 1, "e", row, 1)
+    gy = get(row == side - 1, "n", col, side) - get(row == 0, "s", col, -side)
+    own = F.get("h", k).cast("double")
+    return F.when(own.isNotNull() & gx.isNotNull() & gy.isNotNull(), F.struct(own.alias("h"), gx.alias("gx"), gy.alias("gy")))
 
 
-def gradient_of_blocks(dem: DataFrame, side: int = BLOCK) -> DataFrame:
-    """The same as gradient(dem) for one raster, from blocks with a border of one pixel: each pixel is sent to the blocks
-    that need it (four of 64 rows and columns send twice), and blocks are worked on as arrays."""
-    step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    to = dem.select("ilat", "ilon", F.col("h").cast("double").alias("h"), F.explode(step).alias("s"))
-    to = to.select("ilat", "ilon", "h", floor_div(F.col("ilat") + F.col("s.a"), side).alias("bi"), floor_div(F.col("ilon") + F.col("s.b"), side).alias("bj")).distinct()
+def slope_blocks(blocks: DataFrame, side: int = BLOCK) -> DataFrame:
+    """blocks with slopes, an array of (h, gx, gy) in place of h: gx is west - east, gy north - south."""
+    cell = {"cell_lat": floor_div(F.col("bi") * side, STEPS), "cell_lon": floor_div(F.col("bj") * side, STEPS)}
+    slopes = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: _slope(k, side))
+    return _bordered(blocks, side).select(*[c.alias(n) for n, c in cell.items() if n in blocks.columns], "bi", "bj", slopes.alias("slopes"))
 
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(p.bi.iloc[0]) * side - 1, int(p.bj.iloc[0]) * side - 1
-        z = np.full((side + 2, side + 2), np.nan)
-        z[p.ilat - top, p.ilon - left] = p.h
-        gx, gy = z[1:-1, :-2] - z[1:-1, 2:], z[2:, 1:-1] - z[:-2, 1:-1]
-        i, j = np.nonzero(~np.isnan(z[1:-1, 1:-1]) & ~np.isnan(gx) & ~np.isnan(gy))
-        return pd.DataFrame({"ilat": i + top + 1, "ilon": j + left + 1, "h": z[i + 1, j + 1], "gx": gx[i, j], "gy": gy[i, j]}).astype({"ilat": "int32", "ilon": "int32"})
 
-    return to.groupBy("bi", "bj").applyInPandas(work, "ilat int, ilon int, h double, gx double, gy double")
+def gradient(blocks: DataFrame, side: int = BLOCK) -> DataFrame:
+    """(ilat, ilon, h, gx, gy) of the pixels that have four neighbours."""
+    p = _bordered(blocks, side).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))).select("bi", "bj", "k", _slope(F.col("k"), side).alias("x")).where(F.col("x").isNotNull())
+    return p.select((F.col("bi") * side + floor_div(F.col("k"), side)).alias("ilat"), (F.col("bj") * side + F.col("k") % side).alias("ilon"), "x.*")
 
 
 def normals(slopes: DataFrame, ref_lat: float = REF_LAT) -> DataFrame:
@@ -105,15 +121,19 @@ def pyramid_levels(width: int) -> int:
 
 
 def gradient_pyramid(slopes: DataFrame, levels: int) -> DataFrame:
-    """(level, row, col, gx, gy) of levels 1 to levels - 1: means of the existing pixels of 2**level squares, by global index."""
-    each = slopes.select("ilat", "ilon", "gx", "gy", F.explode(F.sequence(F.lit(1), F.lit(max(1, levels - 1)))).alias("level"))
-    side = F.expr("shiftleft(1, level)")
-    return each.groupBy("level", F.floor(F.col("ilat") / side).cast("int").alias("row"), F.floor(F.col("ilon") / side).cast("int").alias("col")).agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy"))
+    """(level, row, col, gx, gy) of levels 1 to levels - 1: means of the existing pixels of 2**level squares, by global index.
+
+    The higher levels add up the first one's sums and counts, so a level costs a quarter of the pixels.
+    """
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    first = slopes.groupBy(half("ilat").alias("row"), half("ilon").alias("col")).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.count("*").alias("n"))
+    each = first.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(max(1, levels - 1)))))
+    side = F.expr("shiftleft(1, level - 1)")
+    at = [F.floor(F.col(c) / side).cast("int").alias(c) for c in ("row", "col")]
+    return each.groupBy("level", *at).agg((F.sum("gx") / F.sum("n")).alias("gx"), (F.sum("gy") / F.sum("n")).alias("gy"))
 
 
 def halved(shaded: DataFrame, value: str, size: int, keys: tuple[str, ...] = ("vp_id",)) -> DataFrame:
     """Every second pixel of a window drawn from the south: of four that fall on one place, the last one drawn stays."""
     place = [(F.col("col") / 2).cast("int").alias("px"), ((F.lit(size - 1) - F.col("row")) / 2).cast("int").alias("py")]
     return shaded.groupBy(*keys, *place).agg(F.max_by(value, F.struct("row", "col")).alias(value))
-
-

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgelens.functions.grid import STEPS, floor_div
+from ridgelens.functions.grid import BLOCK, STEPS, floor_div
+from ridgelens.operators.raster import place
 
 #: Metres of the eye over the ground; share of a line after which nothing blocks; slope that blocks, in metres a pixel.
 EYE, FREE_FROM, BLOCKING = 2.0, 0.94, 0.1
@@ -29,53 +30,65 @@ def in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int) -> DataFrame
     return v.join(p, ["__i", "__j"]).where(inside).drop("__i", "__j")
 
 
+def _with_line(pairs: DataFrame) -> DataFrame:
+    """pairs with what a line's pixels follow from: steps n (and m, one at least, for divisions), extents and directions."""
+    up, right = F.col("plat") - F.col("vlat"), F.col("plon") - F.col("vlon")
+    d = pairs.withColumns({"__n": F.greatest(F.abs(up), F.abs(right)), "__rise": F.abs(up).cast("long"), "__run": F.abs(right).cast("long"), "__up": F.signum(up).cast("int"), "__right": F.signum(right).cast("int")})
+    return d.withColumn("__m", F.greatest("__n", F.lit(1)).cast("long"))
+
+
+def _pixel(k: str) -> tuple[Column, Column]:
+    """The pixel of a line's k-th step, halves away from the viewer."""
+    part = lambda x: F.expr(f"cast((2 * ({k}) * {x} + __m) div (2 * __m) as int)")
+    return F.col("vlat") + F.col("__up") * part("__rise"), F.col("vlon") + F.col("__right") * part("__run")
+
+
 def sight_line_cells(pairs: DataFrame) -> DataFrame:
-    """(vp_id, poi_id, k, n, ilat, ilon, and the ends) for each pixel of the line from (vlat, vlon) to
-    (plat, plon), both ends in."""
-    a, b = F.abs(F.col("plon") - F.col("vlon")), F.abs(F.col("plat") - F.col("vlat"))
-    ends = ["vlat", "vlon", "plat", "plon", *[c for c in ("vh", "ph") if c in pairs.columns]]
-    p = pairs.select("vp_id", "poi_id", *ends, a.alias("a"), b.alias("b"), F.greatest(a, b).alias("n"))
-    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    part = lambda x: F.when(F.col("n") == 0, 0).otherwise(F.floor((2 * F.col("k") * x + F.col("n")) / (2 * F.col("n"))))
-    return p.select("vp_id", "poi_id", "k", "n", (F.col("vlat") + F.signum(F.col("plat") - F.col("vlat")) * part(F.col("b"))).cast("int").alias("ilat"), (F.col("vlon") + F.signum(F.col("plon") - F.col("vlon")) * part(F.col("a"))).cast("int").alias("ilon"), *ends)
+    """(vp_id, poi_id, k, n, ilat, ilon) for each pixel of the line from (vlat, vlon) to (plat, plon), both ends in."""
+    p = _with_line(pairs.select("vp_id", "poi_id", "vlat", "vlon", "plat", "plon")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    ilat, ilon = _pixel("k")
+    return p.select("vp_id", "poi_id", "k", F.col("__n").alias("n"), ilat.alias("ilat"), ilon.alias("ilon"))
 
 
-def _clear(h):
+def _clear(k: Column, n: Column, ilat: Column, ilon: Column, h: Column) -> Column:
     """Whether a pixel of height h lets the line pass; null where h is null."""
     dx, dy = F.col("plon") - F.col("vlon"), F.col("plat") - F.col("vlat")
-    px, py = F.col("ilon") - F.col("vlon"), F.col("ilat") - F.col("vlat")
+    px, py = ilon - F.col("vlon"), ilat - F.col("vlat")
     d = F.sqrt(dx.cast("double") * dx + dy.cast("double") * dy)
     own = F.sqrt(px.cast("double") * px + py.cast("double") * py)
     eye = F.col("vh") + EYE
     line = (F.col("ph") - eye) * (dx * px + dy * py).cast("double") / d / d + eye
-    return F.when(F.col("n") == 0, False).when(F.col("k") == 0, True).when(own > d * FREE_FROM, True).otherwise((h - line) / own < BLOCKING)
+    return F.when(n == 0, False).when(k == 0, True).when(own > d * FREE_FROM, True).otherwise((h - line) / own < BLOCKING)
 
 
-def line_of_sight(pairs: DataFrame, dem: DataFrame) -> DataFrame:
-    """(vp_id, poi_id, n_cells, visible) for pairs with vlat, vlon, plat, plon and heights vh, ph.
+def with_sight(pairs: DataFrame, blocks: DataFrame, side: int = BLOCK) -> DataFrame:
+    """pairs (vlat, vlon, plat, plon and heights vh, ph; vp_id and poi_id tell them apart) with n_cells and visible.
 
     Visible if all pixels are clear; hidden if one blocks; null (unknown) if none blocks but a pixel that could is
-    missing, or an end's height is.  A pair on one pixel is not visible.  Pixels meet the raster by an equal-key join, and the
-    conjunction is a partial and a final aggregate.
+    missing, or an end's height is.  A pair on one pixel is not visible.  A line runs through a block in one stretch, so a row is sent for each
+    block it crosses, not for each pixel; the block's pixels of the stretch are tested where line and block meet.
     """
-    cells = sight_line_cells(pairs).join(dem.select("ilat", "ilon", F.col("h").cast("double").alias("h")), ["ilat", "ilon"], "left")
-    clear = cells.select("vp_id", "poi_id", _clear(F.col("h")).alias("clear"))
-    return clear.groupBy("vp_id", "poi_id").agg(F.count("*").alias("n_cells"), F.bool_and("clear").alias("every"), F.count_if(F.col("clear").isNull()).alias("unknown")).select("vp_id", "poi_id", "n_cells", F.when(~F.col("every"), False).when(F.col("unknown") == 0, True).alias("visible"))
-
-
-def line_of_sight_by_block(pairs: DataFrame, blocks: DataFrame, side: int = 64) -> DataFrame:
-    """The same as line_of_sight, with blocks of raster.to_blocks: a line meets each block once, with all its pixels there."""
-    cells = sight_line_cells(pairs)
-    bi, bj = floor_div(F.col("ilat"), side), floor_div(F.col("ilon"), side)
-    at = ((F.col("ilat") - bi * side) * side + F.col("ilon") - bj * side).cast("int")
-    ends = ["vp_id", "poi_id", "n", "vlat", "vlon", "plat", "plon", "vh", "ph"]
-    runs = cells.groupBy(*ends, bi.alias("bi"), bj.alias("bj")).agg(F.collect_list(F.struct("k", "ilat", "ilon", at.alias("at"))).alias("run"))
-    met = runs.join(blocks.select("bi", "bj", F.map_from_entries(F.transform("px", lambda p: F.struct(p["k"], p["h"]))).alias("px")), ["bi", "bj"], "left")
-    each = met.select(*ends, "px", F.explode("run").alias("r")).select(*ends, F.col("r.k").alias("k"), F.col("r.ilat").alias("ilat"), F.col("r.ilon").alias("ilon"), F.try_element_at("px", F.col("r.at")).alias("h"))
-    clear = each.select("vp_id", "poi_id", _clear(F.col("h")).alias("clear"))
-    return clear.groupBy("vp_id", "poi_id").agg(F.count("*").alias("n_cells"), F.bool_and("clear").alias("every"), F.count_if(F.col("clear").isNull()).alias("unknown")).select("vp_id", "poi_id", "n_cells", F.when(~F.col("every"), False).when(F.col("unknown") == 0, True).alias("visible"))
-
-
-def visible_landmarks(pairs: DataFrame, dem: DataFrame) -> DataFrame:
-    """pairs that can see each other."""
-    return pairs.join(line_of_sight(pairs, dem).where("visible").select("vp_id", "poi_id"), ["vp_id", "poi_id"], "left_semi")
+    steps = _with_line(pairs).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    (ilat, ilon), (lat_before, lon_before) = _pixel("__k"), _pixel("__k - 1")
+    bi, bj, _ = place(ilat, ilon, side)
+    # where a line enters a block; it leaves it again after `side` steps at most
+    enters = (F.col("__k") == 0) | (bi != floor_div(lat_before, side)) | (bj != floor_div(lon_before, side))
+    runs = steps.where(enters).select(*pairs.columns, F.col("__k").alias("__in"), bi.alias("__bi"), bj.alias("__bj"))
+    met = _with_line(runs.join(blocks.select(F.col("bi").alias("__bi"), F.col("bj").alias("__bj"), F.col("h").alias("__h")), ["__bi", "__bj"], "left"))
+    each = met.withColumn("__k", F.explode(F.sequence("__in", F.least(F.col("__in") + side - 1, "__n")))).withColumns({"__i": ilat, "__j": ilon})
+    bi, bj, place_there = place(F.col("__i"), F.col("__j"), side)
+    each = each.where((bi == F.col("__bi")) & (bj == F.col("__bj"))).withColumn("__z", F.get("__h", place_there).cast("double"))
+    clear = each.select(*pairs.columns, "__n", _clear(F.col("__k"), F.col("__n"), F.col("__i"), F.col("__j"), F.col("__z")).alias("__clear"))
+    seen = clear.groupBy(*pairs.columns, (F.col("__n") + 1).cast("long").alias("n_cells")).agg(F.bool_and("__clear").alias("__every"), F.bool_or(F.col("__clear").isNull()).alias("__unknown"))
+    return seen.withColumn("visible", F.when(~F.col("__every"), False).when(~F.col("__unknown"), True)).drop("__every", "__unknown")
+
+
+def line_of_sight(pairs: DataFrame, blocks: DataFrame, side: int = BLOCK) -> DataFrame:
+    """(vp_id, poi_id, n_cells, visible) of pairs, as with_sight() tells it."""
+    ends = pairs.select("vp_id", "poi_id", "vlat", "vlon", "plat", "plon", "vh", "ph")
+    return with_sight(ends, blocks, side).select("vp_id", "poi_id", "n_cells", "visible")
+
+
+def visible_landmarks(pairs: DataFrame, blocks: DataFrame, side: int = BLOCK) -> DataFrame:
+    """pairs that can see each other; pairs are worked out once."""
+    return with_sight(pairs, blocks, side).where("visible").select(*pairs.columns)

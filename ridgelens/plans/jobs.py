@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ridgelens.functions.grid import landmark_pixel, viewer_pixel, window_range
 from ridgelens.operators import labels, raster, sight
+from ridgelens.streaming import pose
 
 
 def clean_landmarks(poi: DataFrame) -> DataFrame:
@@ -34,18 +38,18 @@ def pairs_in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int, varian
     return near.withColumns({"plat": place[0], "plon": place[1]})
 
 
-def with_heights(pairs: DataFrame, dem: DataFrame) -> DataFrame:
-    return raster.sample_heights(raster.sample_heights(pairs, dem, "vlat", "vlon", "vh"), dem, "plat", "plon", "ph")
+def with_heights(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    return raster.sample_heights(raster.sample_heights(pairs, blocks, "vlat", "vlon", "vh"), blocks, "plat", "plon", "ph")
 
 
-def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, dem: DataFrame, *, size: int, variant: str = "web", aspect: float = 4 / 3) -> DataFrame:
+def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, *, size: int, variant: str = "web", aspect: float = 4 / 3) -> DataFrame:
     """Visible, ranked, projected and thinned labels of each viewpoint, looking along its heading, upright.
 
     (vp_id, poi_id, text, nth, u, v, sx, sy, shown).  variant sdl: the level camera's ranking, and thinned labels are
     left out.
     """
     place = "sdl" if variant == "sdl" else "web"
-    pairs = sight.visible_landmarks(with_heights(pairs_in_view(viewpoints, landmarks, size, place), dem), dem)
+    pairs = sight.visible_landmarks(with_heights(pairs_in_view(viewpoints, landmarks, size, place), blocks), blocks)
     if variant == "sdl":
         seen = labels.ranked(labels.project_yaw(pairs), "v")
     else:
@@ -55,15 +59,41 @@ def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, dem: DataFrame,
     return out.select("vp_id", "poi_id", labels.label_text(F.col("name"), F.col("elevation")).alias("text"), "nth", "u", "v", "sx", "sy", "shown")
 
 
+def seen_from(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, *, size: int) -> DataFrame:
+    """Visible, ranked landmarks of viewpoints that stay where they are, for device_labels()."""
+    pairs = sight.visible_landmarks(with_heights(pairs_in_view(viewpoints, landmarks, size), blocks), blocks)
+    return labels.ranked(pairs, labels.prominence())
+
+
+def device_labels(samples: DataFrame, seen: DataFrame, *, aspect: float = 4 / 3) -> DataFrame:
+    """Projected and thinned labels of each orientation sample (device_id, ts, event_id, ANGLES).
+
+    seen: what seen_from() gives, with the device_id of each viewpoint.  (vp_id, device_id, ts, event_id, poi_id, text, nth,
+    u, v, sx, sy, shown); each sample is a view of its own.
+    """
+    keys = ("vp_id", "device_id", "ts", "event_id")
+    turned = samples.select("device_id", "ts", "event_id", *pose.ANGLES).join(seen, "device_id")
+    out = labels.on_screen(labels.thin(labels.project(turned), keys=keys), F.lit(aspect))
+    return out.select(*keys, "poi_id", labels.label_text(F.col("name"), F.col("elevation")).alias("text"), "nth", "u", "v", "sx", "sy", "shown")
+
+
+def relabel(samples: DataFrame, seen: DataFrame, sink: Callable[[DataFrame, int], None], *, aspect: float = 4 / 3) -> DataStreamWriter:
+    """A stream writer that hands sink the device_labels() of each sample of a stream that changes its device's pose."""
+    return pose.changes_stream(samples).writeStream.foreachBatch(lambda changed, n: sink(device_labels(changed, seen, aspect=aspect), n))
+
+
 def relief_map(viewpoints: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
-    """(vp_id, px, py, grey): each viewpoint's window, shaded and drawn at half size, py counted from the south."""
-    mosaic = raster.window_mosaic(viewpoints, blocks, size)
-    return raster.halved(raster.hillshade_nw(raster.gradient(mosaic, ("vp_id",))), "grey", size)
+    """(vp_id, px, py, grey): each viewpoint's window, shaded and drawn at half size, py counted from the south.
+
+    The raster's slopes are worked out once, however many windows share them; the window's rim lacks a neighbour.
+    """
+    slopes = raster.cut_windows(viewpoints, raster.slope_blocks(blocks), size, "slopes", 1).select("vp_id", "row", "col", "x.gx", "x.gy")
+    return raster.halved(raster.hillshade_nw(slopes), "grey", size)
 
 
-def relief_markers(viewpoints: DataFrame, landmarks: DataFrame, dem: DataFrame, size: int) -> DataFrame:
+def relief_markers(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """(vp_id, poi_id, name, px, py, h): landmarks on the half-size map, with the height at their pixel."""
     pairs = pairs_in_view(viewpoints, landmarks, size, "sdl")
     w = window_range(F.col("vp_lat"), F.col("vp_lon"), size)
-    at = raster.sample_heights(pairs, dem, "plat", "plon", "h")
+    at = raster.sample_heights(pairs, blocks, "plat", "plon", "h")
     return at.select("vp_id", "poi_id", "name", F.floor((F.col("plon") - w["min_lon"]) / 2).cast("int").alias("px"), F.floor((F.col("plat") - w["min_lat"]) / 2).cast("int").alias("py"), "h")

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Sizes of the windows, in pixels.
 WINDOW, PREFETCH, VIEW, LINES, PANORAMA, BOX = 2048, 6144, 64, 256, 128, (44.98, 6.99, 45.01, 7.01)
-ASPECT = 4 / 3
+ASPECT, UPRIGHT = 4 / 3, 3 / 4
 
 
 def query(f: Callable) -> Callable:
@@ -31,6 +31,10 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
 
 
+def blocks(fx) -> DataFrame:
+    return raster.to_blocks(fx("dem"))
+
+
 def _position(fx) -> DataFrame:
     return fx("position").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
@@ -99,12 +103,12 @@ def pixel_address(fx):
 @query
 def poi_height(fx):
     p = jobs.clean_landmarks(fx("poi")).select("poi_id", grid.arc(F.col("lat")).alias("ilat"), grid.arc(F.col("lon")).alias("ilon"))
-    return raster.sample_heights(p, fx("dem"))
+    return raster.sample_heights(p, blocks(fx))
 
 
 @query
 def window_mosaic(fx):
-    return raster.window_mosaic(fx("vp"), raster.to_blocks(fx("dem")), VIEW)
+    return raster.window_mosaic(fx("vp"), blocks(fx), VIEW)
 
 
 def _exact(fx, size: int) -> DataFrame:
@@ -118,43 +122,43 @@ def sight_line_cells(fx):
 
 @query
 def line_of_sight(fx):
-    return sight.line_of_sight(jobs.with_heights(_exact(fx, LINES), fx("dem")), fx("dem"))
+    return sight.line_of_sight(jobs.with_heights(_exact(fx, LINES), blocks(fx)), blocks(fx))
 
 
 @query
 def visible_poi(fx):
-    return sight.visible_landmarks(jobs.with_heights(_exact(fx, LINES), fx("dem")), fx("dem")).select("vp_id", "poi_id")
+    return sight.visible_landmarks(jobs.with_heights(_exact(fx, LINES), blocks(fx)), blocks(fx)).select("vp_id", "poi_id")
 
 
 @query
 def gradient(fx):
-    return _rounded(raster.gradient(fx("dem")), "gx", "gy").select("ilat", "ilon", "gx", "gy")
+    return _rounded(raster.gradient(blocks(fx)), "gx", "gy").select("ilat", "ilon", "gx", "gy")
 
 
 @query
 def normals(fx):
-    return raster.normals(raster.gradient(fx("dem"))).select("ilat", "ilon", "nx", "ny", "nz")
+    return raster.normals(raster.gradient(blocks(fx))).select("ilat", "ilon", "nx", "ny", "nz")
 
 
 @query
 def hillshade_nw(fx):
-    return raster.hillshade_nw(raster.gradient(fx("dem"))).select("ilat", "ilon", "grey")
+    return raster.hillshade_nw(raster.gradient(blocks(fx))).select("ilat", "ilon", "grey")
 
 
 @query
 def hillshade_relief(fx):
-    return _rounded(raster.hillshade_relief(raster.gradient(fx("dem"))), "light").select("ilat", "ilon", "light")
+    return _rounded(raster.hillshade_relief(raster.gradient(blocks(fx))), "light").select("ilat", "ilon", "light")
 
 
 @query
 def gradient_pyramid(fx):
-    out = raster.gradient_pyramid(raster.gradient(fx("dem")), raster.pyramid_levels(100))
+    out = raster.gradient_pyramid(raster.gradient(blocks(fx)), raster.pyramid_levels(100))
     return out.withColumns({c: F.round(F.col(c), 12) + F.lit(0.0) for c in ("gx", "gy")})
 
 
 def _pairs(fx, variant: str = "web") -> DataFrame:
     """Pairs in view with heights at both ends."""
-    return jobs.with_heights(jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), PANORAMA, variant), fx("dem")).where(F.col("vh").isNotNull() & F.col("ph").isNotNull())
+    return jobs.with_heights(jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), PANORAMA, variant), blocks(fx)).where(F.col("vh").isNotNull() & F.col("ph").isNotNull())
 
 
 def _ranked(fx) -> DataFrame:
@@ -178,6 +182,13 @@ def poi_project(fx):
     return _rounded(out.select("vp_id", "poi_id", "u", "v", "sx", "sy", "inclination"), "u", "v", "sx", "sy", "inclination")
 
 
+@query
+def poi_project_tilted(fx):
+    tilted = {"beta": 60 + F.col("vp_id") % 3 * 15.0, "gamma": F.col("vp_id") % 4 * 10.0, "screen": F.col("vp_id") % 2 * 90.0}
+    out = labels.on_screen(labels.project(_ranked(fx).withColumns(tilted)), F.lit(UPRIGHT))
+    return _rounded(out.select("vp_id", "poi_id", "u", "v", "sx", "sy", "inclination"), "u", "v", "sx", "sy", "inclination")
+
+
 @query
 def poi_project_yaw(fx):
     return _rounded(labels.project_yaw(_pairs(fx, "sdl")).select("vp_id", "poi_id", "u", "v"), "u", "v")
@@ -220,15 +231,21 @@ def pose_from_keys(fx):
 
 @query
 def panorama_labels(fx):
-    out = jobs.panorama_labels(fx("vp"), jobs.clean_landmarks(fx("poi")), fx("dem"), size=PANORAMA, aspect=ASPECT)
+    out = jobs.panorama_labels(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=PANORAMA, aspect=ASPECT)
+    return _rounded(out, "u", "v", "sx", "sy")
+
+
+@query
+def panorama_labels_drop(fx):
+    out = jobs.panorama_labels(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=PANORAMA, variant="sdl", aspect=ASPECT)
     return _rounded(out, "u", "v", "sx", "sy")
 
 
 @query
 def relief_map(fx):
-    return jobs.relief_map(fx("vp"), raster.to_blocks(fx("dem")), VIEW)
+    return jobs.relief_map(fx("vp"), blocks(fx), VIEW)
 
 
 @query
 def relief_markers(fx):
-    return jobs.relief_markers(fx("vp"), jobs.clean_landmarks(fx("poi")), fx("dem"), VIEW)
+    return jobs.relief_markers(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), VIEW)

@@ -80,6 +80,12 @@ PROJECT = f"""turned as (select *, (plon-vlon)*{DX} as x0, (plat-vlat)*{DY} as y
 one as (select *, x0*cos(al)-y0*sin(al) as x1, x0*sin(al)+y0*cos(al) as y1 from turned),
 two as (select *, y1*cos(be)-z0*sin(be) as y2, -(y1*sin(be)+z0*cos(be)) as depth from one),
 proj as (select *, x1/depth as u, y2/depth as v from two where depth > 1)"""
+# the same with a camera that leans, and a screen that is turned: all four angles
+TILTED = f"""turned as (select *, (plon-vlon)*{DX} as x0, (plat-vlat)*{DY} as y0, ph-vh-2.0::double as z0, -radians(heading) as al, -radians(60+vp_id%3*15.0::double) as be, -radians(vp_id%4*10.0::double) as ga, radians(vp_id%2*90.0::double) as sc from ranks),
+one as (select *, x0*cos(al)-y0*sin(al) as x1, x0*sin(al)+y0*cos(al) as y1 from turned),
+two as (select *, y1*cos(be)-z0*sin(be) as y2, y1*sin(be)+z0*cos(be) as z2 from one),
+three as (select *, z2*sin(ga)+x1*cos(ga) as x3, -(z2*cos(ga)-x1*sin(ga)) as depth from two),
+proj as (select *, (x3*cos(sc)-y2*sin(sc))/depth as u, (x3*sin(sc)+y2*cos(sc))/depth as v, vp_id%2*90.0::double + degrees(atan2(sin(-ga)*cos(-be), sin(-be))) as inclination from three where depth > 1)"""
 YAW = f"""flat as (select *, (plon-vlon)*{DX} as x0, (vlat-plat)*{DY} as y0, radians(heading) as al from known),
 yaw as (select *, (x0*cos(al)+y0*sin(al))/depth as u, (ph-vh)/depth as v from (select *, -(y0*cos(al)-x0*sin(al)) as depth from flat) where depth > 0),
 ranks as (select *, row_number() over (partition by vp_id order by v desc nulls last, ord) as nth from yaw)"""
@@ -131,6 +137,7 @@ select poi_id, cell_lat, cell_lon, {_floor('q', 1024)} as tile_x, {_floor('r', 1
     "poi_rank": f"{BASE}, {_pairs(128, 'web')}, {KNOWN}, {_rank('known')} select vp_id, poi_id, {_r('prom', 'prominence')}, nth from ranks",
     "poi_rank_depth": f"{BASE}, {_pairs(128, 'sdl')}, {KNOWN}, {YAW} select vp_id, poi_id, {_r('v', 'v')}, nth from ranks",
     "poi_project": f"{BASE}, {_pairs(128, 'web')}, {KNOWN}, {_rank('known')}, {PROJECT} select vp_id, poi_id, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, 0.0::double as inclination from proj",
+    "poi_project_tilted": f"{BASE}, {_pairs(128, 'web')}, {KNOWN}, {_rank('known')}, {TILTED} select vp_id, poi_id, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*({SCALE!r}::double/0.75::double)', 'sx')}, {_r(f'v*{SCALE!r}::double', 'sy')}, {_r('inclination', 'inclination')} from proj",
     "poi_project_yaw": f"{BASE}, {_pairs(128, 'sdl')}, {KNOWN}, {YAW} select vp_id, poi_id, {_r('u', 'u')}, {_r('v', 'v')} from ranks",
     "label_thin": _recursive(f"{BASE}, {_pairs(128, 'web')}, {KNOWN}, {_rank('known')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, nth, shown from thinned"),
     "label_thin_drop": _recursive(f"{BASE}, {_pairs(128, 'sdl')}, {KNOWN}, {YAW}, {_thin('ranks', SDL_SLOT, SDL_NEAR)} select vp_id, poi_id, nth from thinned where shown"),
@@ -143,6 +150,7 @@ s(device_id, i, seq, alpha, beta) as (select distinct device_id, 0::bigint, 0::b
   select o.device_id, o.i, o.seq, s.alpha + case code when 'ArrowLeft' then 5 when 'ArrowRight' then -5 else 0 end, case code when 'ArrowUp' then least(120.0::double, s.beta+5) when 'ArrowDown' then greatest(60.0::double, s.beta-5) else s.beta end from s join o on o.device_id = s.device_id and o.i = s.i+1)
 select device_id, seq, alpha, beta from s where i > 0"""),
     "panorama_labels": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
+    "panorama_labels_drop": _recursive(f"{BASE}, {_pairs(128, 'sdl')}, {SIGHT}, known as (select up.* from up join lines using (vp_id, poi_id) where visible), {YAW}, {_thin('ranks', SDL_SLOT, SDL_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned where shown"),
     "relief_map": f"""{ctes('fx_vp', 'fx_dem')}, w as (select vp_id, {_window('lat', 'lon', 64)} from fx_vp), m as (select vp_id, max_lat-ilat as row, ilon-min_lon as col, h from w join fx_dem on ilat between min_lat and max_lat and ilon between min_lon and max_lon),
 g as (select c.vp_id, c.row, c.col, w.h-e.h as gx, n.h-s.h as gy from m c join m w on w.vp_id = c.vp_id and w.row = c.row and w.col = c.col-1 join m e on e.vp_id = c.vp_id and e.row = c.row and e.col = c.col+1 join m n on n.vp_id = c.vp_id and n.col = c.col and n.row = c.row-1 join m s on s.vp_id = c.vp_id and s.col = c.col and s.row = c.row+1)
 select vp_id, trunc(col/2.0)::int as px, trunc((63-row)/2.0)::int as py, arg_max({GREY}, (row, col)) as grey from g group by 1, 2, 3""",

@@ -11,12 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgelens.functions.grid import STEPS
+from ridgelens.functions.grid import BLOCK, STEPS
 
-#: Pixels of a block's side.
-BLOCK = 64
 NAME = r"_([NS])(\d+)_\d+_([EW])(\d+)_\d+_DEM\.tif$"
-BLOCK_SCHEMA = "cell_lat int, cell_lon int, brow int, bcol int, ilat_top int, ilon_left int, bw int, bh int, h array<float>"
+BLOCK_SCHEMA = "cell_lat int, cell_lon int, bi int, bj int, h array<float>"
 
 # fixed values: tags of the file's directory and what the contract asks of them
 WIDTH, HEIGHT, BITS, PACKING, SAMPLES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, OFFSETS, COUNTS = 256, 257, 258, 259, 277, 317, 322, 323, 324, 325
@@ -67,6 +65,8 @@ def file_layout(raw: bytes, width: int = STEPS) -> dict:
     out = {"width": short(WIDTH), "height": short(HEIGHT), "tile_width": short(TILE_WIDTH), "tile_height": short(TILE_HEIGHT), "offsets": longs(OFFSETS), "counts": longs(COUNTS)}
     if out["width"] != width or out["height"] != width:
         raise ValueError(f"{out['width']} x {out['height']} pixels, not {width} x {width}")
+    if out["tile_width"] % BLOCK or out["tile_height"] % BLOCK or not out["tile_width"] or not out["tile_height"]:
+        raise ValueError(f"tiles of {out['tile_width']} x {out['tile_height']} pixels, no multiples of {BLOCK}")
     return out
 
 
@@ -79,12 +79,15 @@ def decode_tile(packed: bytes, width: int, height: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(">f4").reshape(height, width).astype(np.float32)
 
 
-def ingest(spark: SparkSession, path: str, *, width: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """(blocks, rejects): decoded heights by BLOCK x BLOCK pixels, and files or tiles that break the contract.
+def ingest(spark: SparkSession, path: str, out: str, *, width: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """(blocks, rejects): decoded heights as blocks of raster's layout, and files or tiles that break the contract.
 
+    Both are read back from the table at out, which is written once, by cell, so that a window reads the cells it touches.
     A first pass cuts files into packed tiles, which are then dealt over all tasks by cell and tile and decoded there.
     Pixels of a last tile beyond the cell are left out: they belong to the neighbour.
     """
+    if width % BLOCK:
+        raise ValueError(f"a cell's width must be a multiple of {BLOCK}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_DEM.tif").option("recursiveFileLookup", "true").load(path)
     files = files.select(*_cell(F.col("path")), "path", "content")
 
@@ -113,21 +116,21 @@ def ingest(spark: SparkSession, path: str, *, width: int = STEPS) -> tuple[DataF
                     across = -(-width // int(tw))
                     top, left = int(k) // across * int(th), int(k) % across * int(tw)
                     h = decode_tile(packed, int(tw), int(th))[: width - top, : width - left]
-                    rows += [(lat, lon, (top + r) // BLOCK, (left + c) // BLOCK, STEPS * (lat + 1) - 1 - top - r, STEPS * lon + left + c, b.shape[1], b.shape[0], b.ravel(), None, None) for r in range(0, h.shape[0], BLOCK) for c in range(0, h.shape[1], BLOCK) for b in [h[r : r + BLOCK, c : c + BLOCK]]]
+                    south, west = STEPS * (lat + 1) - BLOCK - top, STEPS * lon + left
+                    rows += [(lat, lon, (south - r) // BLOCK, (west + c) // BLOCK, h[r : r + BLOCK, c : c + BLOCK][::-1].ravel(), None, None) for r in range(0, h.shape[0], BLOCK) for c in range(0, h.shape[1], BLOCK)]
                 except (ValueError, zlib.error) as e:
-                    rows.append((lat, lon, None, None, None, None, None, None, None, name, str(e)))
-            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "brow", "bcol", "ilat_top", "ilon_left", "bw", "bh", "h", "path", "reason"]).astype({c: "Int32" for c in ("cell_lat", "cell_lon", "brow", "bcol", "ilat_top", "ilon_left", "bw", "bh")})
+                    rows.append((lat, lon, None, None, None, name, str(e)))
+            yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "bi", "bj", "h", "path", "reason"]).astype({c: "Int32" for c in ("cell_lat", "cell_lon", "bi", "bj")})
 
     done = tiles.repartition("cell_lat", "cell_lon", "tile").mapInPandas(decode, BLOCK_SCHEMA + ", path string, reason string")
-    return done.where(F.col("reason").isNull()).drop("path", "reason"), done.where(F.col("reason").isNotNull()).select("path", "reason").distinct()
-
-
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Blocks as Parquet by cell, so a window reads the cells and row groups it touches."""
-    blocks.repartition("cell_lat", "cell_lon").sortWithinPartitions("cell_lat", "cell_lon", "brow", "bcol").write.partitionBy("cell_lat", "cell_lon").parquet(path)
+    ordered = done.withColumn("broken", F.col("reason").isNotNull()).repartition("cell_lat", "cell_lon").sortWithinPartitions("broken", "cell_lat", "cell_lon", "bi", "bj")
+    ordered.write.partitionBy("broken", "cell_lat", "cell_lon").parquet(out)
+    held = spark.read.schema(BLOCK_SCHEMA + ", path string, reason string, broken boolean").parquet(out)
+    blocks = held.where(~F.col("broken")).select("cell_lat", "cell_lon", "bi", "bj", "h")
+    return blocks, held.where("broken").select("path", "reason").distinct()
 
 
 def pixels(blocks: DataFrame) -> DataFrame:
     """The logical table (ilat, ilon, h double) of blocks."""
-    p = blocks.select("ilat_top", "ilon_left", "bw", F.posexplode("h").alias("k", "h"))
-    return p.select((F.col("ilat_top") - F.floor(F.col("k") / F.col("bw"))).cast("int").alias("ilat"), (F.col("ilon_left") + F.col("k") % F.col("bw")).cast("int").alias("ilon"), F.col("h").cast("double").alias("h"))
+    p = blocks.select("bi", "bj", F.posexplode("h").alias("k", "h")).where(F.col("h").isNotNull())
+    return p.select((F.col("bi") * BLOCK + F.floor(F.col("k") / BLOCK)).cast("int").alias("ilat"), (F.col("bj") * BLOCK + F.col("k") % BLOCK).alias("ilon"), F.col("h").cast("double").alias("h"))

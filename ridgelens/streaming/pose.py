@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,32 +65,45 @@ def changes_stream(samples: DataFrame) -> DataFrame:
     return s.groupBy("device_id").applyInPandasWithState(step, ORIENTATION, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def _press(pose: tuple[float, float], code: str) -> tuple[float, float]:
-    alpha, beta = pose
-    alpha += STEP * (code == "ArrowLeft") - STEP * (code == "ArrowRight")
-    beta = min(HIGHEST, beta + STEP) if code == "ArrowUp" else max(LOWEST, beta - STEP) if code == "ArrowDown" else beta
-    return alpha, beta
+POSES = "device_id bigint, seq bigint, alpha double, beta double"
 
 
-POSES = "device_id bigint, seq bigint, alpha double, beta double"
+def _after(codes: np.ndarray, first: np.ndarray, start: tuple[float, float], pose: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, beta) after each press of presses in order; first marks those before which the pose is start, not the last one.
+
+    A press takes x to min(high, max(low, x + step)), and so does one press after another, so runs of presses are
+    combined in twice as long ones until each holds all before it.
+    """
+    out = []
+    for axis, (more, less), (low, high) in ((0, ("ArrowLeft", "ArrowRight"), (-np.inf, np.inf)), (1, ("ArrowUp", "ArrowDown"), (LOWEST, HIGHEST))):
+        step = STEP * (codes == more) - STEP * (codes == less)
+        lows, highs = np.where(codes == less, low, -np.inf), np.where(codes == more, high, np.inf)
+        fixed = np.minimum(highs, np.maximum(lows, start[axis] + step))
+        lows, highs = np.where(first, fixed, lows), np.where(first, fixed, highs)
+        d = 1
+        while d < len(codes):
+            a, b = np.clip(lows[:-d] + step[d:], lows[d:], highs[d:]), np.clip(highs[:-d] + step[d:], lows[d:], highs[d:])
+            step = np.concatenate([step[:d], step[:-d] + step[d:]])
+            lows, highs, d = np.concatenate([lows[:d], a]), np.concatenate([highs[:d], b]), 2 * d
+        out.append(np.minimum(highs, np.maximum(lows, pose[axis] + step)))
+    return out[0], out[1]
 
 
 def from_keys(keys: DataFrame, start: tuple[float, float] = START[:2]) -> DataFrame:
     """(device_id, seq, alpha, beta) after each key press, by time and seq.
 
-    Devices are dealt by id and their presses streamed in order through a fold, so no device's history is held.
+    Devices are dealt by id and their presses streamed in order, so no device's history is held.
     """
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, pose = None, start
         for p in parts:
-            out = []
-            for d, n, code in zip(p.device_id, p.seq, p.code, strict=True):
-                if d != device:
-                    device, pose = d, start
-                pose = _press(pose, code)
-                out.append((d, n, *pose))
-            yield pd.DataFrame(out, columns=["device_id", "seq", "alpha", "beta"])
+            if len(p):
+                ids = p.device_id.to_numpy()
+                first = np.concatenate([[device is None or ids[0] != device], ids[1:] != ids[:-1]])
+                alpha, beta = _after(p.code.to_numpy(), first, start, pose)
+                device, pose = ids[-1], (alpha[-1], beta[-1])
+                yield pd.DataFrame({"device_id": ids, "seq": p.seq, "alpha": alpha, "beta": beta})
 
     ordered = keys.repartition("device_id").sortWithinPartitions("device_id", "ts", "seq")
     return ordered.select("device_id", "seq", "code").mapInPandas(fold, POSES)
@@ -99,23 +113,9 @@ def from_keys_stream(keys: DataFrame, start: tuple[float, float] = START[:2]) ->
     """from_keys() of a stream: the pose of each device is kept as state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pose, out = (state.get if state.exists else start), []
-        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
-            pose = _press(pose, r.code)
-            out.append((key[0], r.seq, *pose))
-        state.update(tuple(pose))
-        yield pd.DataFrame(out, columns=["device_id", "seq", "alpha", "beta"])
+        rows, pose = pd.concat(list(batches)).sort_values(["ts", "seq"]), state.get if state.exists else start
+        alpha, beta = _after(rows.code.to_numpy(), np.zeros(len(rows), bool), start, pose)
+        state.update((float(alpha[-1]), float(beta[-1])))
+        yield pd.DataFrame({"device_id": key[0], "seq": rows.seq, "alpha": alpha, "beta": beta})
 
     return keys.select("device_id", "ts", "seq", "code").groupBy("device_id").applyInPandasWithState(step, POSES, "alpha double, beta double", "append", GroupStateTimeout.NoTimeout)
-
-
-def relabel(samples: DataFrame, landmarks: DataFrame, views: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """A stream writer that labels each changed sample of a device anew.
-
-    landmarks: visible, ranked labels with device_id; views: labels of samples joined with them; sink gets each batch's.
-    """
-
-    def batch(df: DataFrame, n: int) -> None:
-        sink(views(df.join(landmarks, "device_id")), n)
-
-    return samples.writeStream.foreachBatch(batch)

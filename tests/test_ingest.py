@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ridgelens.functions import grid
+from ridgelens.operators import raster
 from ridgelens.sources import dem, landmarks
 
 SIDE, TILE = 128, 80
@@ -53,16 +55,21 @@ def folder(tmp_path):
 
 def test_ingest(spark, folder, tmp_path_factory):
     path, z = folder
-    blocks, rejects = dem.ingest(spark, str(path), width=SIDE)
+    out = str(tmp_path_factory.mktemp("blocks") / "dem")
+    blocks, rejects = dem.ingest(spark, str(path), out, width=SIDE)
     assert rejects.count() == 7 and rejects.where("path like '%stray%' and reason = 'the name tells no cell'").count() == 1
     px = {(r.ilat, r.ilon): r.h for r in dem.pixels(blocks).collect()}
     assert len(px) == 2 * SIDE * SIDE
     for r, c in ((0, 0), (79, 80), (80, 79), (127, 127), (64, 3)):
         assert px[3600 * 45 - 1 - r, 3600 * 6 + c] == float(z[r, c])
         assert px[3600 * -1 - 1 - r, 3600 * -11 + c] == float(z[SIDE - 1 - r, c])
-    out = str(tmp_path_factory.mktemp("blocks") / "dem")
-    dem.write_blocks(blocks, out)
-    assert spark.read.parquet(out).where("cell_lat = 44").count() == blocks.where("cell_lat = 44").count()
+    assert spark.read.parquet(out).where("cell_lat = 44 and not broken").count() == (SIDE // grid.BLOCK) ** 2
+
+    # a window reads what ingest wrote, and of the cells only those it touches
+    at = spark.createDataFrame([(1, 45 - 40.5 / 3600, 6 + 60.5 / 3600)], "vp_id bigint, lat double, lon double")
+    got = {(r.row, r.col): r.h for r in raster.window_mosaic(at, blocks, 32).collect()}
+    top, left = 3600 * 45 - 1 - max(r.ilat for r in raster.window_mosaic(at, blocks, 32).collect()), 60 - 16
+    assert len(got) == 32 * 32 and all(h == float(z[top + r, left + c]) for (r, c), h in got.items())
 
 
 def test_catalogue(spark, folder):

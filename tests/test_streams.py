@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ridgelens.operators import raster
+from ridgelens.plans import jobs
 from ridgelens.plans.fixtures import fixture
 from ridgelens.streaming import pose
 
@@ -41,8 +43,11 @@ def test_keys(spark, tmp_path):
 
 def test_relabel(spark, tmp_path):
     batch, stream = samples(spark, tmp_path)
-    landmarks = batch.select("device_id").distinct().withColumn("poi_id", F.lit(5))
+    blocks, poi = raster.to_blocks(fixture(spark, DATA, "fx_dem")), jobs.clean_landmarks(fixture(spark, DATA, "fx_poi"))
+    seen = jobs.seen_from(fixture(spark, DATA, "fx_vp").where("vp_id < 4"), poi, blocks, size=64)
+    seen = seen.join(batch.select("device_id").distinct().withColumn("vp_id", F.col("device_id") % 7), "vp_id").cache()
     got = []
-    q = pose.relabel(stream, landmarks, lambda d: d.select("device_id", "event_id", "poi_id"), lambda d, n: got.extend(d.collect())).trigger(availableNow=True).start()
+    q = jobs.relabel(stream, seen, lambda d, n: got.extend(d.collect())).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert len(got) == batch.count()
+    key = lambda rows: sorted((r.event_id, r.poi_id, r.text, r.nth, round(r.u, 9), round(r.v, 9), r.shown) for r in rows)
+    assert key(got) == key(jobs.device_labels(pose.changes(batch), seen).collect()) and got
