@@ -21,6 +21,8 @@ RNG = random.Random(7)
 NOISE = "".join(RNG.choice(string.ascii_letters + string.digits + "+/") for _ in range(6000))
 PROSE = " ".join("".join(RNG.choice("etaoinshrdlu") for _ in range(RNG.randint(2, 9))) for _ in range(3000))
 
+MIXED = " ".join(RNG.choice(PROSE.split()[:700]) for _ in range(3000))
+
 
 def plain(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, verdict)."""
@@ -49,8 +51,8 @@ def plain(text):
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
 MORE = [
-    (50, NOISE.replace("A", " "), "en", "a"), (51, PROSE[:14000] + "\n" + NOISE[:5600].replace("b", " "), "en", "a"), (52, PROSE, "en", "a"), (53, PROSE[:600], "en", "a"),
-    (54, " ".join(f"{k % 7}{c}" for k in range(40) for c in "abcdefgh"), "en", "a"), (55, "one two three four five six seven one two three four five", "en", "a"), (56, "a a a a a a a a a a a a", "en", "a"),
+    (50, NOISE.replace("A", " "), "en", "a"), (51, MIXED[:10000] + "\n" + NOISE[:4800].replace("b", " "), "en", "a"), (52, PROSE, "en", "a"), (53, PROSE[:600], "en", "a"),
+    (54, " ".join(f"abcdefghijklmnopqrstuvwxyz{k}" for k in range(400)), "en", "a"), (55, "one two three four five six seven one two three four five", "en", "a"), (56, "a a a a a a a a a a a a", "en", "a"),
     (57, "x\nx\n y\n\n\nx \nx\n# & <b> 50 % $", "en", "a"), (58, " ".join(str(k) for k in range(0, 40000, 7)), "en", "a"), (59, " ".join(map(str, range(12))), "en", "a"),
 ]
 
