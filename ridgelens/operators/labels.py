@@ -6,7 +6,9 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -84,14 +86,99 @@ def slot(variant: str = "web") -> Column:
     return SCALE * (F.col("v") * F.cos(angle) - F.col("u") * F.sin(angle))
 
 
-def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("vp_id",), nth: str = "nth") -> DataFrame:
-    """labels with slot and shown: in order of nth, a label shows if no shown one is nearer than the text's height.
+#: Thresholds in a segment of a view's slots, and those by which it looks into its neighbours.
+SEGMENT, HALO = 32, 8
+
+
+def _least(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of values[left[i] : right[i] + 1], by minima of runs of 1, 2, 4, ... values."""
+    width = right - left + 1
+    level = np.frexp(width)[1] - 1
+    out, runs = np.empty(len(left), values.dtype), values
+    for k in range(int(level.max(initial=0)) + 1):
+        own = level == k
+        out[own] = np.minimum(runs[left[own]], runs[right[own] - (1 << k) + 1])
+        if len(runs) > 1 << k:
+            runs = np.minimum(runs[: -(1 << k)], runs[1 << k :])
+    return out
 
-    web marks the others (threshold 0.8 of the height), sdl drops them.  Labels are dealt by view, sorted, and stream by;
-    only the slots of a view's shown labels are remembered, in order, and these are the threshold apart.  A label without a slot shows.
+
+def settle(slot: np.ndarray, order: np.ndarray, near: float, known: np.ndarray) -> np.ndarray:
+    """1 (shown), -1 (left out) or 0 (open) for labels sorted by slot; order: their ranks, no two equal.
+
+    In a round, a label that comes before all open ones nearer than `near` shows, and those near it go; rounds go on
+    until nothing changes.  A label's fate is that of one pass in order of rank, since it hangs only on labels of earlier
+    rank near it.  known: all labels near it are here; others can only go, so what hangs on labels elsewhere stays open.
     """
-    near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
-    d = labels.withColumn("slot", slot(variant))
+    out, at = np.zeros(len(slot), np.int8), np.arange(len(slot))
+    while len(at):
+        s, r = slot[at], order[at]
+        left, right = np.searchsorted(s, s - near), np.searchsorted(s, s + near, "right") - 1
+        while (x := s - s[left] >= near).any():  # the difference itself decides, not rounded bounds
+            left[x] += 1
+        while (x := (left > 0) & (s - s[left - 1] < near)).any():
+            left[x] -= 1
+        while (x := s[right] - s >= near).any():
+            right[x] -= 1
+        while (x := (right + 1 < len(s)) & (s[np.minimum(right + 1, len(s) - 1)] - s < near)).any():
+            right[x] += 1
+        leads = known[at] & (_least(r, left, right) == r)
+        if not leads.any():
+            break
+        before = np.concatenate([[0], np.cumsum(leads)])
+        goes = ~leads & (before[right + 1] > before[left])
+        out[at[leads]], out[at[goes]] = 1, -1
+        at = at[~leads & ~goes]
+    return out
+
+
+def _settled(d: DataFrame, keys: tuple[str, ...], nth: str, near: float) -> DataFrame:
+    """d with shown, null where a label hangs on labels too far off.
+
+    A view's slots are cut into segments, which go to different tasks; a segment also gets its neighbours' labels within HALO thresholds.
+    """
+    width, halo = SEGMENT * near, HALO * near
+    placed = F.col("slot").isNotNull() & ~F.isnan("slot")
+    own = F.when(placed, F.floor(F.col("slot") / width)).otherwise(0).cast("long")
+    before, after = F.when(placed & (F.col("slot") < own * width + halo), own - 1), F.when(placed & (F.col("slot") >= (own + 1) * width - halo), own + 1)
+    e = d.withColumns({"__own": own, "__seg": F.explode(F.array_compact(F.array(own, before, after)))}).withColumn("__view", F.xxhash64(*keys, "__seg"))
+    schema, names = StructType([*d.schema, StructField("shown", BooleanType())]), d.columns
+
+    def decide(t: pa.Table) -> list[pa.RecordBatch]:
+        slot, seg = t.column("slot").to_numpy(), int(t.column("__seg")[0].as_py())
+        out, real = np.ones(len(slot), np.int8), np.flatnonzero(slot == slot)
+        s, rank = slot[real], t.column(nth).to_numpy()[real]
+        order = np.empty(len(real), np.int64)
+        order[np.argsort(rank, kind="stable")] = np.arange(len(real))
+        inner = near * (1 + 1e-6)
+        out[real] = settle(s, order, near, (s - (seg * width - halo) > inner) & ((seg + 1) * width + halo - s > inner))
+        mine = t.column("__own").to_numpy() == seg
+        kept = t.filter(pa.array(mine)).select(names).append_column("shown", pa.array(out[mine] == 1, mask=out[mine] == 0))
+        return kept.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            view = b.column("__view").to_numpy()
+            cuts = [0, *(np.flatnonzero(view[1:] != view[:-1]) + 1).tolist(), len(view)]
+            if held and held[-1].column("__view")[-1].as_py() != view[0]:
+                yield from decide(pa.Table.from_batches(held))
+                held = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                held.append(b.slice(i, j - i))
+                if j < len(view):
+                    yield from decide(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from decide(pa.Table.from_batches(held))
+
+    return e.repartition(*keys, "__seg").sortWithinPartitions("__view", "slot", nth).mapInArrow(run, schema)
+
+
+def _folded(d: DataFrame, keys: tuple[str, ...], nth: str, near: float) -> DataFrame:
+    """d with shown, by one pass over each view's labels in order, of which only the slots of shown ones are remembered."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         view, at = None, []
@@ -103,10 +190,22 @@ def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("v
                 k = bisect_left(at, p)
                 free = not any(abs(q - p) < near for q in at[max(0, k - 1) : k + 1])
                 shown.append(free)
-                if free and p == p:
+                if free:
                     at.insert(k, p)
             yield f.assign(shown=shown)
 
-    schema = StructType([*d.schema, StructField("shown", BooleanType())])
-    out = d.repartition(*keys).sortWithinPartitions(*keys, nth).mapInPandas(fold, schema)
+    return d.repartition(*keys).sortWithinPartitions(*keys, nth).mapInPandas(fold, StructType([*d.schema, StructField("shown", BooleanType())]))
+
+
+def thin(labels: DataFrame, *, variant: str = "web", keys: tuple[str, ...] = ("vp_id",), nth: str = "nth") -> DataFrame:
+    """labels with slot and shown: in order of nth, a label shows if no shown one is nearer than the text's height.
+
+    web marks the others (threshold 0.8 of the height), sdl drops them.  A view's labels are dealt by segments of the
+    slots and settled there in rounds, many at a time, so a view of very many labels takes many tasks.  Labels that hang
+    on a chain of others longer than a segment's surroundings stay open; only these meet in one pass for each view.  A
+    label without a slot shows.  Labels of one view have different nth.
+    """
+    near = TEXT_HEIGHT if variant == "sdl" else 0.8 * TEXT_HEIGHT
+    first = _settled(labels.withColumn("slot", slot(variant)), keys, nth, near)
+    out = first.where(F.col("shown").isNotNull()).unionByName(_folded(first.where(F.col("shown").isNull()).drop("shown"), keys, nth, near))
     return out.where("shown") if variant == "sdl" else out

@@ -12,12 +12,24 @@ from ridgelens.functions.grid import BLOCK, DELTA_Y, REF_LAT, STEPS, delta_x, fl
 
 
 def to_blocks(dem: DataFrame, side: int = BLOCK) -> DataFrame:
-    """Blocks of the logical table dem (ilat, ilon, h), which has one row for each pixel: one shuffle of the raster."""
+    """Blocks of the logical table dem (ilat, ilon, h), which has one row for each pixel: one shuffle of the raster.
+
+    Of pixels that stand twice, the lower one counts.  A block that is not full is filled in one pass over its pixels:
+    each brings the nulls between it and the next one.
+    """
     k = ((F.col("ilat") - F.col("bi") * side) * side + F.col("ilon") - F.col("bj") * side).cast("int")
     dem = dem.withColumn("bi", floor_div(F.col("ilat"), side)).withColumn("bj", floor_div(F.col("ilon"), side))
     px = dem.groupBy("bi", "bj").agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), F.col("h").cast("double").alias("h")))).alias("px"))
     full = (F.size("px") == side * side) & (F.size(F.array_distinct("px.k")) == side * side)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.get(F.filter("px", lambda p: p["k"] == k), F.lit(0))["h"])
+    none, at = F.lit(None).cast("double"), F.col("px.k")
+    nulls = lambda n: F.array_repeat(none, F.greatest(n, F.lit(0)).cast("int"))
+
+    def with_gap(x: Column, i: Column) -> Column:
+        again = (i > 0) & (F.get(at, i - 1) == x["k"])
+        gap = nulls(F.coalesce(F.get(at, i + 1), F.lit(side * side)) - x["k"] - 1)
+        return F.when(again, gap).otherwise(F.concat(F.array(x["h"]), gap))
+
+    filled = F.concat(nulls(F.get(at, F.lit(0))), F.flatten(F.transform("px", with_gap)))
     return px.select("bi", "bj", F.when(full, F.col("px.h")).otherwise(filled).alias("h"))
 
 
@@ -34,6 +46,34 @@ def sample_heights(points: DataFrame, blocks: DataFrame, ilat: str = "ilat", ilo
     return met.withColumn(out, F.get("__h", at).cast("double")).drop("__bi", "__bj", "__h")
 
 
+#: Pixels of a point's surroundings: a landmark's pixel in a view lies from one before to two behind its own, for any rounding and sign.
+AROUND = range(-1, 3)
+
+
+def heights_around(points: DataFrame, blocks: DataFrame, out: str = "around", side: int = BLOCK) -> DataFrame:
+    """points (poi_id, lat, lon, ...) with the heights of the AROUND x AROUND pixels at floor(lat * 3600), floor(lon * 3600), for pick_height().
+
+    Each point is looked up once, however many views see it, in the four blocks at most that its surroundings touch.
+    Points without coordinates get null.
+    """
+    n, low = len(AROUND), AROUND[0]
+    p = points.where("lat is not null and lon is not null").select("poi_id", "lat", "lon").distinct()
+    p = p.selectExpr("*", f"cast(floor(lat * {STEPS}) as int) + {low} as __i", f"cast(floor(lon * {STEPS}) as int) + {low} as __j")
+    touched = lambda c: f"explode(array_distinct(array(cast(floor({c} / {side}) as int), cast(floor(({c} + {n - 1}) / {side}) as int))))"
+    p = p.withColumn("__bi", F.expr(touched("__i"))).withColumn("__bj", F.expr(touched("__j")))
+    met = p.join(blocks.selectExpr("bi as __bi", "bj as __bj", "h"), ["__bi", "__bj"]).selectExpr("poi_id", "lat", "lon", "h", f"__i - __bi * {side} as i", f"__j - __bj * {side} as j")
+    own = [f"max(case when i + {a} between 0 and {side - 1} and j + {b} between 0 and {side - 1} then cast(get(h, (i + {a}) * {side} + j + {b}) as double) end)" for a in range(n) for b in range(n)]
+    found = met.groupBy("poi_id", "lat", "lon").agg(F.expr(f"array({', '.join(own)})").alias(out))
+    return points.join(found, ["poi_id", "lat", "lon"], "left")
+
+
+def pick_height(around: str, ilat: str, ilon: str) -> Column:
+    """The height at a pixel of a point's surroundings; null off them."""
+    n = len(AROUND)
+    i, j = (F.col(c) - F.floor(F.col(d) * STEPS).cast("int") - AROUND[0] for c, d in ((ilat, "lat"), (ilon, "lon")))
+    return F.when(i.between(0, n - 1) & j.between(0, n - 1), F.get(around, (i * n + j).cast("int")))
+
+
 def cut_windows(viewpoints: DataFrame, blocks: DataFrame, size: int, column: str = "h", edge: int = 0, side: int = BLOCK) -> DataFrame:
     """(vp_id, row, col, ilat, ilon, x): what an array of the blocks holds in each viewpoint's window, row 0 north.
 

@@ -19,6 +19,15 @@ FIXTURES = {
   (162007 - ((p_partkey*37+5) % (select cast(floor(max(o_orderkey)/100)+1 as bigint) from orders)) + 3e-1)/3.6e3 as lat,
   (25150 + ((p_partkey*53+1) % 100) + 7e-1)/3.6e3 as lon,
   case when p_partkey % 4 = 0 then 'peak' when p_partkey % 4 = 1 then 'saddle' when p_partkey % 4 = 2 then 'spring' end as kind from part""",
+    # a raster as wide as a full window, rougher, with the same landmarks and viewpoints laid over its width
+    "fx_wide_dem": """select cast(162007 - floor(o_orderkey/2048) as int) as ilat, cast(25150 + o_orderkey % 2048 as int) as ilon,
+  cast((cast(round(o_totalprice*100) as bigint) % 400)/1e1 as double) as h from orders""",
+    "fx_wide_vp": """select cast(n_nationkey as bigint) as vp_id,
+  (162007 - ((n_nationkey*11+3) % (select cast(floor(max(o_orderkey)/2048)+1 as bigint) from orders)) + 5e-1)/3.6e3 as lat,
+  (25150 + ((n_nationkey*389+7) % 2048) + 5e-1)/3.6e3 as lon, cast(n_nationkey*15 as double) as heading from nation""",
+    "fx_wide_poi": """select p_partkey as poi_id, cast(p_partkey as int) as ord, cast(null as varchar(20)) as name_fr, p_name as name, concat(cast(p_size*40 as varchar(20)), '.5') as ele,
+  (162007 - ((p_partkey*37+5) % (select cast(floor(max(o_orderkey)/2048)+1 as bigint) from orders)) + 3e-1)/3.6e3 as lat,
+  (25150 + ((p_partkey*53+1) % 2048) + 7e-1)/3.6e3 as lon from part""",
     "fx_position": """select c_custkey as device_id, case when c_custkey % 6 = 0 then null when c_custkey % 4 = 1 then -2e0 + (c_custkey*17 % 37)/1e1 else 41e0 + (c_custkey*17 % 71)/1e1 end as lat,
   case when c_custkey % 6 = 0 then null when c_custkey % 4 = 1 then -2e0 + (c_custkey*29 % 41)/1e1 else 3e0 + (c_custkey*29 % 83)/1e1 end as lon from customer""",
     "fx_cell": """select distinct cast(s_suppkey % 3 as int)+43 as cell_lat, cast(s_suppkey*7 % 5 as int)+5 as cell_lon from supplier""",
@@ -34,6 +43,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"from (\w+)", r"from {\1}", sql), **tables)
 
 
-def ctes(*names: str) -> str:
-    """The fixtures as the head of a SQL statement."""
-    return "with " + ",\n".join(f"{n} as ({FIXTURES[n]})" for n in names)
+def ctes(*names: str, kind: str = "") -> str:
+    """The fixtures as the head of a SQL statement; kind: those of fx_<kind>_ under the plain names."""
+    return "with " + ",\n".join(f"{n} as ({FIXTURES[n.replace('fx_', f'fx_{kind}_') if kind else n]})" for n in names)

@@ -20,14 +20,17 @@ def clean_landmarks(poi: DataFrame) -> DataFrame:
     return poi.select("poi_id", "ord", F.coalesce("name_fr", "name").alias("name"), elevation(F.col("ele")).alias("elevation"), "lat", "lon").where(F.col("name").isNotNull())
 
 
-def pairs_in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int, variant: str = "web") -> DataFrame:
-    """Pairs in view with the pixels of both: vlat, vlon (viewer), plat, plon (landmark) on the global grid.
+def pairs_in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int, variant: str = "web", blocks: DataFrame | None = None) -> DataFrame:
+    """Pairs in view with the pixels of both: vlat, vlon (viewer), plat, plon (landmark) on the global grid; with blocks, also the heights vh, ph there.
 
     web and sdl place the viewer in the middle of the window and the landmark by its distance from the window's edge;
-    exact cuts both positions to their own pixels.
+    exact cuts both positions to their own pixels.  Heights are looked up before pairs are made: once for each
+    viewpoint, and once for each landmark with the pixels around it, of which each view takes its own.
     """
     v = viewpoints.select("vp_id", F.col("lat").alias("vp_lat"), F.col("lon").alias("vp_lon"), "heading")
     v = v.withColumns(dict(zip(("vlat", "vlon"), viewer_pixel(F.col("vp_lat"), F.col("vp_lon"), size, variant), strict=True)))
+    if blocks is not None:
+        v, landmarks = raster.sample_heights(v, blocks, "vlat", "vlon", "vh"), raster.heights_around(landmarks, blocks, "__around")
     near = sight.in_view(v, landmarks, size)
     if variant == "exact":
         place = viewer_pixel(F.col("lat"), F.col("lon"), size, "exact")
@@ -35,11 +38,8 @@ def pairs_in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int, varian
         x, y = landmark_pixel(F.col("lat"), F.col("lon"), F.col("vp_lat"), F.col("vp_lon"), size, variant)
         w = window_range(F.col("vp_lat"), F.col("vp_lon"), size)
         place = (w["max_lat"] - y, w["min_lon"] + x)
-    return near.withColumns({"plat": place[0], "plon": place[1]})
-
-
-def with_heights(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    return raster.sample_heights(raster.sample_heights(pairs, blocks, "vlat", "vlon", "vh"), blocks, "plat", "plon", "ph")
+    out = near.withColumns({"plat": place[0], "plon": place[1]})
+    return out if blocks is None else out.withColumn("ph", raster.pick_height("__around", "plat", "plon")).drop("__around")
 
 
 def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, *, size: int, variant: str = "web", aspect: float = 4 / 3) -> DataFrame:
@@ -49,7 +49,7 @@ def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFra
     left out.
     """
     place = "sdl" if variant == "sdl" else "web"
-    pairs = sight.visible_landmarks(with_heights(pairs_in_view(viewpoints, landmarks, size, place), blocks), blocks)
+    pairs = sight.visible_landmarks(pairs_in_view(viewpoints, landmarks, size, place, blocks), blocks)
     if variant == "sdl":
         seen = labels.ranked(labels.project_yaw(pairs), "v")
     else:
@@ -61,7 +61,7 @@ def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFra
 
 def seen_from(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, *, size: int) -> DataFrame:
     """Visible, ranked landmarks of viewpoints that stay where they are, for device_labels()."""
-    pairs = sight.visible_landmarks(with_heights(pairs_in_view(viewpoints, landmarks, size), blocks), blocks)
+    pairs = sight.visible_landmarks(pairs_in_view(viewpoints, landmarks, size, "web", blocks), blocks)
     return labels.ranked(pairs, labels.prominence())
 
 
@@ -93,7 +93,6 @@ def relief_map(viewpoints: DataFrame, blocks: DataFrame, size: int) -> DataFrame
 
 def relief_markers(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """(vp_id, poi_id, name, px, py, h): landmarks on the half-size map, with the height at their pixel."""
-    pairs = pairs_in_view(viewpoints, landmarks, size, "sdl")
+    at = pairs_in_view(viewpoints, landmarks, size, "sdl", blocks).withColumnRenamed("ph", "h")
     w = window_range(F.col("vp_lat"), F.col("vp_lon"), size)
-    at = raster.sample_heights(pairs, blocks, "plat", "plon", "h")
     return at.select("vp_id", "poi_id", "name", F.floor((F.col("plon") - w["min_lon"]) / 2).cast("int").alias("px"), F.floor((F.col("plat") - w["min_lat"]) / 2).cast("int").alias("py"), "h")

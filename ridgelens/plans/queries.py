@@ -111,8 +111,8 @@ def window_mosaic(fx):
     return raster.window_mosaic(fx("vp"), blocks(fx), VIEW)
 
 
-def _exact(fx, size: int) -> DataFrame:
-    return jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), size, "exact")
+def _exact(fx, size: int, dem: DataFrame | None = None) -> DataFrame:
+    return jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), size, "exact", dem)
 
 
 @query
@@ -122,12 +122,20 @@ def sight_line_cells(fx):
 
 @query
 def line_of_sight(fx):
-    return sight.line_of_sight(jobs.with_heights(_exact(fx, LINES), blocks(fx)), blocks(fx))
+    dem = blocks(fx)
+    return sight.line_of_sight(_exact(fx, LINES, dem), dem)
 
 
 @query
 def visible_poi(fx):
-    return sight.visible_landmarks(jobs.with_heights(_exact(fx, LINES), blocks(fx)), blocks(fx)).select("vp_id", "poi_id")
+    dem = blocks(fx)
+    return sight.visible_landmarks(_exact(fx, LINES, dem), dem).select("vp_id", "poi_id")
+
+
+@query
+def sight_work(fx):
+    dem = blocks(fx)
+    return sight.sight_work(_exact(fx, LINES, dem), dem)
 
 
 @query
@@ -158,7 +166,7 @@ def gradient_pyramid(fx):
 
 def _pairs(fx, variant: str = "web") -> DataFrame:
     """Pairs in view with heights at both ends."""
-    return jobs.with_heights(jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), PANORAMA, variant), blocks(fx)).where(F.col("vh").isNotNull() & F.col("ph").isNotNull())
+    return jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), PANORAMA, variant, blocks(fx)).where(F.col("vh").isNotNull() & F.col("ph").isNotNull())
 
 
 def _ranked(fx) -> DataFrame:
@@ -241,6 +249,13 @@ def panorama_labels_drop(fx):
     return _rounded(out, "u", "v", "sx", "sy")
 
 
+@query
+def panorama_full_window(fx):
+    """Lines as long as the browser's window has them."""
+    out = jobs.panorama_labels(fx("wide_vp"), jobs.clean_landmarks(fx("wide_poi")), raster.to_blocks(fx("wide_dem")), size=WINDOW, aspect=ASPECT)
+    return _rounded(out, "u", "v", "sx", "sy")
+
+
 @query
 def relief_map(fx):
     return jobs.relief_map(fx("vp"), blocks(fx), VIEW)

@@ -59,6 +59,16 @@ tested as (select vp_id, poi_id, case when n = 0 then false when k = 0 then true
   else (h - ((ph - (vh + 2.0::double)) * ((plon-vlon)*(ilon-vlon) + (plat-vlat)*(ilat-vlat))::double / dist / dist + (vh + 2.0::double))) / own < 0.1::double end as clear from far),
 lines as (select vp_id, poi_id, count(*) as n_cells, case when not bool_and(clear) then false when count(*) filter (where clear is null) = 0 then true end as visible from tested group by vp_id, poi_id)"""
 
+# squares of 4 x 4 blocks decide stretches of lines by their top and bottom; what lies between the first and last open one is cut into blocks
+WORK = f"""{LINES},
+b as (select vp_id, poi_id, greatest(n, 1) as m, vh + 2.0::double as eye, ph - vh - 2.0::double as rise, greatest(sqrt((plon-vlon)::double*(plon-vlon) + (plat-vlat)::double*(plat-vlat)), 1.0::double) as d, k, {_floor('ilat', 16)} as bi, {_floor('ilon', 16)} as bj, {_floor('ilat', 64)} as ci, {_floor('ilon', 64)} as cj from cells),
+pyramid as (select {_floor('ilat', 64)} as ci, {_floor('ilon', 64)} as cj, max(h) as top, min(h) as bottom, count(*) = 4096 as whole from fx_dem group by 1, 2),
+sq as (select vp_id, poi_id, m, eye, rise, d, d/m as u, rise/m as rate, abs(rise)*0.5::double/d as far, ci, cj, min(k) as lo, max(k) as hi, greatest(min(k), 1) as k1 from b group by vp_id, poi_id, m, eye, rise, d, ci, cj),
+st as (select sq.*, case when hi = 0 or k1*u - 0.5::double > d*0.94::double or (whole and top + far + 0.000001::double < least(eye + rate*k1, eye + rate*hi) + (k1*u - 0.5::double)*0.1::double) then 1
+  when whole and bottom - far - 0.000001::double >= eye + rate*k1 + (k1*u + 0.5::double)*0.1::double and k1*u + 0.5::double < d*0.94::double then 0 end as state from sq left join pyramid using (ci, cj)),
+hull as (select vp_id, poi_id, case when coalesce(min(state), 1) = 1 then min(lo) filter (where state is null) end as lo, max(hi) filter (where state is null) as hi from st group by vp_id, poi_id)
+select vp_id, poi_id, count(distinct (bi, bj)) as n_blocks, count(distinct (bi, bj)) filter (where k between lo and hi) as n_open from b join hull using (vp_id, poi_id) group by vp_id, poi_id"""
+
 SLOPES = """slope as (select c.ilat, c.ilon, c.h, w.h-e.h as gx, n.h-s.h as gy from fx_dem c join fx_dem w on w.ilat = c.ilat and w.ilon = c.ilon-1 join fx_dem e on e.ilat = c.ilat and e.ilon = c.ilon+1
   join fx_dem n on n.ilon = c.ilon and n.ilat = c.ilat+1 join fx_dem s on s.ilon = c.ilon and s.ilat = c.ilat-1)"""
 GREY = "trunc(greatest(0.0::double, -(gx+gy-60.0::double)/sqrt(3.0::double)/sqrt(gx*gx+gy*gy+3600.0::double))*255.9::double)::int"
@@ -102,7 +112,7 @@ thinned as (select slots.*, fold.shown from slots join fold using (vp_id, i))"""
 
 WEB_SLOT, WEB_NEAR = f"{SCALE!r}::double*(v*cos({PI}::double/4)-u*sin({PI}::double/4))", repr(0.8 * TEXT_HEIGHT) + "::double"
 SDL_SLOT, SDL_NEAR = f"{SCALE!r}::double*(u-v)/1.4142135623730951::double", repr(TEXT_HEIGHT) + "::double"
-BASE = ctes("fx_vp", "fx_poi", "fx_dem")
+BASE, FULL = ctes("fx_vp", "fx_poi", "fx_dem"), ctes("fx_vp", "fx_poi", "fx_dem", kind="wide")
 ORIENTED = ctes("fx_orientation")
 
 
@@ -128,6 +138,7 @@ select poi_id, cell_lat, cell_lon, {_floor('q', 1024)} as tile_x, {_floor('r', 1
     "window_mosaic": f"{ctes('fx_vp', 'fx_dem')}, w as (select vp_id, {_window('lat', 'lon', 64)} from fx_vp) select vp_id, max_lat-ilat as row, ilon-min_lon as col, ilat, ilon, h from w join fx_dem on ilat between min_lat and max_lat and ilon between min_lon and max_lon",
     "sight_line_cells": f"{BASE}, {_pairs(64, 'exact')}, {LINES} select vp_id, poi_id, k, ilat, ilon from cells",
     "line_of_sight": f"{BASE}, {_pairs(256, 'exact')}, {SIGHT} select * from lines",
+    "sight_work": f"{BASE}, {_pairs(256, 'exact')}, {WORK}",
     "visible_poi": f"{BASE}, {_pairs(256, 'exact')}, {SIGHT} select vp_id, poi_id from lines where visible",
     "gradient": f"{ctes('fx_dem')}, {SLOPES} select ilat, ilon, {_r('gx', 'gx')}, {_r('gy', 'gy')} from slope",
     "normals": f"{ctes('fx_dem')}, {SLOPES}, n as (select *, gx*{DY} as x, gy*{DX} as y, 2*{DX}*{DY} as z from slope), m as (select *, 127.0::double/sqrt(x*x+y*y+z*z) as f from n) select ilat, ilon, trunc(x*f)::tinyint as nx, trunc(y*f)::tinyint as ny, trunc(z*f)::tinyint as nz from m",
@@ -150,6 +161,7 @@ s(device_id, i, seq, alpha, beta) as (select distinct device_id, 0::bigint, 0::b
   select o.device_id, o.i, o.seq, s.alpha + case code when 'ArrowLeft' then 5 when 'ArrowRight' then -5 else 0 end, case code when 'ArrowUp' then least(120.0::double, s.beta+5) when 'ArrowDown' then greatest(60.0::double, s.beta-5) else s.beta end from s join o on o.device_id = s.device_id and o.i = s.i+1)
 select device_id, seq, alpha, beta from s where i > 0"""),
     "panorama_labels": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
+    "panorama_full_window": _recursive(f"{FULL}, {_pairs(2048, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
     "panorama_labels_drop": _recursive(f"{BASE}, {_pairs(128, 'sdl')}, {SIGHT}, known as (select up.* from up join lines using (vp_id, poi_id) where visible), {YAW}, {_thin('ranks', SDL_SLOT, SDL_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned where shown"),
     "relief_map": f"""{ctes('fx_vp', 'fx_dem')}, w as (select vp_id, {_window('lat', 'lon', 64)} from fx_vp), m as (select vp_id, max_lat-ilat as row, ilon-min_lon as col, h from w join fx_dem on ilat between min_lat and max_lat and ilon between min_lon and max_lon),
 g as (select c.vp_id, c.row, c.col, w.h-e.h as gx, n.h-s.h as gy from m c join m w on w.vp_id = c.vp_id and w.row = c.row and w.col = c.col-1 join m e on e.vp_id = c.vp_id and e.row = c.row and e.col = c.col+1 join m n on n.vp_id = c.vp_id and n.col = c.col and n.row = c.row-1 join m s on s.vp_id = c.vp_id and s.col = c.col and s.row = c.row+1)

@@ -1,11 +1,14 @@
 """Rules of lines of sight, thinning and key presses on hand-made cases, and two forms of one operator against each other."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ridgelens.functions import grid
 from ridgelens.operators import labels, raster, sight
+from ridgelens.plans import jobs
 from ridgelens.plans.fixtures import fixture
 from ridgelens.streaming import pose
 
@@ -99,6 +102,132 @@ def test_long_lines(spark):
     assert set(got.values()) == {True, False}
 
 
+def fold(slots, near):
+    """Of slots in order of rank, the places of those that show."""
+    held, out = [], set()
+    for k, p in enumerate(slots):
+        if not any(abs(q - p) < near for q in held):
+            held.append(p)
+            out.add(k)
+    return out
+
+
+def test_settled_labels_are_those_of_the_fold():
+    rng = np.random.default_rng(3)
+    for n, spread in ((1, 1.0), (40, 3.0), (3000, 4.0), (300, 200.0)):
+        slots, near = np.round(rng.uniform(0, spread, n), 2), 0.07  # many equal, many a threshold apart
+        at = np.argsort(slots, kind="stable")
+        got = labels.settle(slots[at], at, near, np.ones(n, bool))
+        assert set(at[got == 1]) == fold(slots, near) and (got != 0).all()
+        cut = labels.settle(slots[at], at, near, (slots[at] > 1) & (slots[at] < 2))  # what is settled without the rims stays so
+        assert ((cut == 0) | (cut == got)).all()
+
+
+def test_a_view_of_many_labels(spark):
+    """Segments in many tasks, chains that leave their surroundings, and labels without a slot."""
+    rng = np.random.default_rng(5)
+    near, n = 0.8 * labels.TEXT_HEIGHT, 4000
+    slots = {1: rng.uniform(-30, 30, n), 2: np.arange(n) * near * 0.9, 3: rng.uniform(0, 0.5, 50)}
+    slots[3][7] = np.nan
+    rows = [(v, k, -float(x) / labels.SCALE * 2**0.5) for v, each in slots.items() for k, x in enumerate(each)]
+    df = spark.createDataFrame(rows, "vp_id bigint, nth int, u double").withColumns({"v": F.lit(0.0), "inclination": F.lit(0.0)})
+    out = labels.thin(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len(out) == len(rows)
+    for v in slots:
+        own = sorted((r.nth, r.slot, r.shown) for r in out if r.vp_id == v)
+        assert {k for k, _, shown in own if shown} == fold([p for _, p, _ in own], near)
+    assert all(r.shown for r in out if r.slot != r.slot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    assert sorted((r.vp_id, r.nth, r.shown) for r in labels.thin(df).collect()) == sorted((r.vp_id, r.nth, r.shown) for r in out)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stretches_are_those_of_the_pixels(spark):
+    """Where lines of up to 1025 steps enter and leave blocks, in closed form, against every pixel; also of parts of lines."""
+    rng = random.Random(8)
+    ends = [(k, k, rng.randint(-700, 700), rng.randint(-700, 700)) for k in range(150)]
+    lines = [(*e, e[2] + rng.choice((0, 1, -1)) * rng.randint(0, 1025), e[3] + rng.choice((0, 1, -1)) * rng.randint(0, 1025)) for e in ends]
+    df = spark.createDataFrame(lines, "vp_id bigint, poi_id bigint, vlat int, vlon int, plat int, plon int")
+    for side, lo, hi in ((16, "0", "__n"), (7, "0", "__n"), (64, "__n div 3", "__n - __n div 4")):
+        cut = sight._split(sight._with(sight._with_line(df), __lo=lo, __hi=hi), side).select("vp_id", "__lo", "__hi", "__bi", "__bj").collect()
+        got: dict = {}
+        for r in cut:
+            got.setdefault(r[0], []).append(tuple(r[1:]))
+        for k, _, a, b, c, d in lines:
+            path = walk(b, a, d, c)
+            n = len(path) - 1
+            first, last = (0, n) if lo == "0" else (n // 3, n - n // 4)
+            want = [[k, k, path[k][1] // side, path[k][0] // side] for k in range(first, last + 1)]
+            joined = [want[0]]
+            for w in want[1:]:
+                if w[2:] == joined[-1][2:]:
+                    joined[-1][1] = w[1]
+                else:
+                    joined.append(w)
+            assert sorted(got[k]) == [tuple(w) for w in joined]
+
+
+def test_squares_decide_what_pixels_say(spark):
+    """A rough raster with ridges, holes and missing blocks: lines against a walk pixel by pixel, at several sizes of squares."""
+    rng = random.Random(9)
+    z = {(i, j): (60.0 if i % 37 == 5 else 0.0) + rng.uniform(0, 3) for i in range(-70, 90) for j in range(-70, 90) if (i // 16, j // 16) != (2, 3) and ((i * 7 + j * 3) % 211 or j > 20)}
+    dem = spark.createDataFrame([(a, b, h) for (a, b), h in z.items()], "ilat int, ilon int, h double")
+    lines = []
+    for k in range(400):
+        a, b, c, d = (rng.randint(-70, 89) for _ in range(4))
+        if k % 5 == 0:
+            c, d = a + rng.randint(-1, 1), b + rng.randint(-1, 1)
+        lines.append((k, k, a, b, c, d, None if k % 31 == 0 else z.get((a, b), 1.0) + 90.0 * (k % 3), z.get((c, d), 1.0) + 180.0 * (k % 3 == 2)))
+    pairs = spark.createDataFrame(lines, "vp_id bigint, poi_id bigint, vlat int, vlon int, plat int, plon int, vh double, ph double")
+    want = {}
+    for k, _, a, b, c, d, vh, ph in lines:
+        path, dist, seen = walk(b, a, d, c), math.hypot(d - b, c - a), []
+        for j, (x, y) in enumerate(path):
+            own = math.sqrt((x - b) ** 2 + (y - a) ** 2)
+            if len(path) == 1:
+                seen.append(False)
+            elif j == 0 or own > math.sqrt((d - b) ** 2 + (c - a) ** 2) * sight.FREE_FROM:
+                seen.append(True)
+            elif vh is None or (y, x) not in z:
+                seen.append(None)
+            else:
+                over = (ph - (vh + 2)) * float((d - b) * (x - b) + (c - a) * (y - a)) / dist / dist + vh + 2
+                seen.append((z[y, x] - over) / own < sight.BLOCKING)
+        want[k] = (len(path), False if False in seen else None if None in seen else True)
+    assert {v for _, v in want.values()} == {True, False, None}
+    for side, level in ((16, 4), (16, 1), (5, 3)):
+        out = sight.with_sight(pairs, raster.to_blocks(dem, side), side, level).collect()
+        assert {r.vp_id: (r.n_cells, r.visible) for r in out} == want
+        assert any(r.n_open == 0 and r.n_cells > 40 for r in out)  # settled by squares alone
+
+
+def test_heights_around_points(spark):
+    """Heights looked up once for each landmark are those at the pixels that its views ask for."""
+    vp, poi, dem = (fixture(spark, DATA, f"fx_{n}") for n in ("vp", "poi", "dem"))
+    poi = jobs.clean_landmarks(poi)
+    vp = vp.unionByName(vp.selectExpr("vp_id + 100 as vp_id", "lat + 0.4 / 3600 as lat", "lon - 0.3 / 3600 as lon", "heading"))
+    blocks = raster.to_blocks(dem)
+    for variant in ("web", "sdl", "exact"):
+        got = jobs.pairs_in_view(vp, poi, 64, variant, blocks)
+        plain = raster.sample_heights(raster.sample_heights(jobs.pairs_in_view(vp, poi, 64, variant), blocks, "vlat", "vlon", "vh"), blocks, "plat", "plon", "ph")
+        columns = ["vp_id", "poi_id", "vlat", "vlon", "plat", "plon", "vh", "ph"]
+        rows = got.select(columns)
+        assert rows.exceptAll(plain.select(columns)).isEmpty() and plain.select(columns).exceptAll(rows).isEmpty() and rows.where("ph is not null").count() > 100
+
+
+def test_blocks_that_are_not_full(spark):
+    rng = random.Random(4)
+    px = [(rng.randint(-20, 20), rng.randint(-20, 20), float(k)) for k in range(500)]
+    want: dict = {}
+    for i, j, h in px:
+        want[i, j] = min(h, want.get((i, j), h))
+    got = {}
+    for b in raster.to_blocks(spark.createDataFrame(px, "ilat int, ilon int, h double")).collect():
+        assert len(b.h) == 256
+        got |= {(b.bi * 16 + k // 16, b.bj * 16 + k % 16): h for k, h in enumerate(b.h) if h is not None}
+    assert got == want
+
+
 def test_pressed_keys_clamp(spark):
     codes = ["ArrowUp"] * 8 + ["ArrowDown"] * 14 + ["ArrowUp", "ArrowLeft", "Escape", "ArrowRight", "ArrowRight"]
     df = spark.createDataFrame([(k, 7, c) for k, c in enumerate(codes)], "seq bigint, device_id bigint, code string").withColumn("ts", F.timestamp_seconds("seq"))
