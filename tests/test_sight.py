@@ -170,7 +170,7 @@ def test_stretches_are_those_of_the_pixels(spark):
 def test_squares_decide_what_pixels_say(spark):
     """A rough raster with ridges, holes and missing blocks: lines against a walk pixel by pixel, at several sizes of squares."""
     rng = random.Random(9)
-    z = {(i, j): (60.0 if i % 37 == 5 else 0.0) + rng.uniform(0, 3) for i in range(-70, 90) for j in range(-70, 90) if (i // 16, j // 16) != (2, 3) and ((i * 7 + j * 3) % 211 or j > 20)}
+    z = {(i, j): (60.0 if i % 37 == 5 else 0.0) + rng.uniform(0, 3) for i in range(-70, 90) for j in range(-70, 90) if (i // 16, j // 16) != (-2, -3) and ((i * 7 + j * 3) % 211 or j >= 0)}
     dem = spark.createDataFrame([(a, b, h) for (a, b), h in z.items()], "ilat int, ilon int, h double")
     lines = []
     for k in range(400):
@@ -198,7 +198,7 @@ def test_squares_decide_what_pixels_say(spark):
     for side, level in ((16, 4), (16, 1), (5, 3)):
         out = sight.with_sight(pairs, raster.to_blocks(dem, side), side, level).collect()
         assert {r.vp_id: (r.n_cells, r.visible) for r in out} == want
-        assert any(r.n_open == 0 and r.n_cells > 40 for r in out)  # settled by squares alone
+        assert any(r.n_open == 0 and r.n_cells > 20 for r in out)  # settled by squares alone
 
 
 def test_heights_around_points(spark):
