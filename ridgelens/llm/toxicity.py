@@ -188,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
         parts = list(batches)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_learned(pa.Table.from_batches(parts) if parts else None))], pa.binary())], names=["model"])
 
-    (found,) = rows.select("id", "body", "y").repartition(1).mapInArrow(learn, "model binary").collect()
-    model = pickle.loads(found.model)
+    found = rows.select("id", "body", "y").repartition(1).mapInArrow(learn, "model binary").collect()
+    model = pickle.loads(found[0].model) if found else _learned(None)  # of an empty table there may be no task at all
     _set_cuts(model, body.where(third == 2), known.where(third == 2))
     return model
 

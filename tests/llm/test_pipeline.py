@@ -5,9 +5,12 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ridgelens.llm import mixing, toxicity
 from ridgelens.llm.common import documents, stage
+from tests.llm.cases import tricky
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +91,26 @@ def test_stages(spark):
     for r in steps["packing"](spark, mix, DATA).collect():
         out[r.doc_id] += r.length
     assert out == want
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, no id, and columns named like those of the operators, through the stages that return documents."""
+    more = [(40 + k, f"Entry {k} of the list says what nobody else has said about item {k * k}.\nA line that all of them share.", "en", "a") for k in range(12)]
+    df, _ = tricky(spark, more)
+    names = ("score", "threshold", "rejected", "n_lines", "n_dropped", "n_shingles", "component_id")
+    df = df.drop(*names).withColumns({c: F.lit(777) for c in names}).withColumn("quality", F.lit(None).cast("string"))
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = df
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, str(tmp_path)), name)
+        assert docs.columns == df.columns and docs.dtypes == df.dtypes
+        assert docs.count() > 5 and docs.where(" or ".join(f"{c} is null or {c} <> 777" for c in names)).isEmpty()
+        if name == "line_dedup":
+            assert docs.where("text is null or text like '%all of them%'").isEmpty() and docs.where("text = ''").count() >= 2
+            assert docs.where("doc_id is null").count() == 1 and docs.where("n_chars <> char_length(text)").isEmpty()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert pieces and all(p.length > 0 for p in pieces)
+    nothing = docs.limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        nothing = step(spark, nothing, str(tmp_path))
+        assert nothing.count() == 0
