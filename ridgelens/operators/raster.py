@@ -74,6 +74,17 @@ def pick_height(around: str, ilat: str, ilon: str) -> Column:
     return F.when(i.between(0, n - 1) & j.between(0, n - 1), F.get(around, (i * n + j).cast("int")))
 
 
+def held_near(blocks: DataFrame, positions: DataFrame, size: int) -> DataFrame:
+    """blocks in the latitudes that the positions' windows touch, by the table's partitions (band, or cell_lat), so that others are not read.
+
+    The latitudes are worked out first and come to the driver: 180 whole numbers at most, however many positions there are.
+    """
+    by = "band" if "band" in blocks.columns else "cell_lat"
+    w = window_range(F.col("lat"), F.col("lon"), size)
+    found = positions.where("lat is not null and lon is not null").select(F.explode(F.sequence(w["cell_min_lat"], w["cell_max_lat"])).alias("c")).distinct().collect()
+    return blocks.where(F.col(by).isin([r.c for r in found])) if found else blocks.where(F.lit(False))
+
+
 def cut_windows(viewpoints: DataFrame, blocks: DataFrame, size: int, column: str = "h", edge: int = 0, side: int = BLOCK) -> DataFrame:
     """(vp_id, row, col, ilat, ilon, x): what an array of the blocks holds in each viewpoint's window, row 0 north.
 

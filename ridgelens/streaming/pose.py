@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ORIENTATION = "event_id bigint, device_id bigint, ts timestamp, alpha double, beta double, gamma double, screen double"
 KEYS = "seq bigint, device_id bigint, ts timestamp, code string"
@@ -42,27 +42,60 @@ def changes(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"__before": F.lag(now).over(w), "__nth": F.row_number().over(w)}).where((F.col("__nth") == 1) | ~now.eqNullSafe(F.col("__before"))).drop("__before", "__nth")
 
 
-def changes_stream(samples: DataFrame) -> DataFrame:
-    """changes() of a stream: each device's last sample is kept as state; samples older than it are late and dropped."""
+#: Where state of transformWithState is kept.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LAST = "at bigint, event_id bigint, " + ", ".join(f"{a} double" for a in ANGLES)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            at, now = (int(r.ts.value // 1000), int(r.event_id)), tuple(getattr(r, a) for a in ANGLES)
-            if last is not None and at <= (last[0], last[1]):
-                continue
-            if last is None or now != tuple(last[2:]):
-                out.append(r)
-            last = (*at, *now)
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=rows.columns)
 
-    state = "at bigint, event_id bigint, " + ", ".join(f"{a} double" for a in ANGLES)
-    s = samples.select("event_id", "device_id", "ts", *ANGLES)
-    return s.groupBy("device_id").applyInPandasWithState(step, ORIENTATION, state, "append", GroupStateTimeout.NoTimeout)
+def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, idle: int | None, initial: DataFrame | None) -> DataFrame:
+    """rows by device through a processor; idle: milliseconds after which the state of a silent device goes."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    first = initial.groupBy("device_id") if initial is not None else None
+    return rows.groupBy("device_id").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle else "None", first)
+
+
+class _Changes(StatefulProcessor):
+    """Emits samples that differ from the one before; state: time, id and angles of a device's last sample."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", LAST, self.idle)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        r = initialState.sort_values(["ts", "event_id"]).iloc[-1]
+        self.last.update((int(r.ts.value // 1000), int(r.event_id), *(None if pd.isna(r[a]) else float(r[a]) for a in ANGLES)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        r = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        at = r.ts.to_numpy("datetime64[us]").astype(np.int64)
+        before = self.last.get() if self.last.exists() else None
+        if before is not None:  # what is not newer than the last sample is late
+            new = (at > before[0]) | ((at == before[0]) & (r.event_id.to_numpy() > before[1]))
+            r, at = r[new], at[new]
+        if not len(r):
+            return
+        now = r[ANGLES].to_numpy(float)
+        was = np.vstack([np.full((1, len(ANGLES)), np.nan) if before is None else np.array([before[2:]], float), now[:-1]])
+        differs = ((now != was) & ~(np.isnan(now) & np.isnan(was))).any(1)
+        differs[0] |= before is None
+        self.last.update((int(at[-1]), int(r.event_id.iloc[-1]), *(None if np.isnan(x) else float(x) for x in now[-1])))
+        yield r[differs]
+
+    def close(self) -> None:
+        pass
+
+
+def changes_stream(samples: DataFrame, *, idle: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """changes() of a stream: each device's last sample is kept as state; samples not newer than it are late and dropped.
+
+    idle: a device that sends nothing for so many milliseconds is forgotten, and its next sample counts as a first one;
+    such a stream looks for what is idle in batch after batch, so it does not end by itself when its input does.
+    initial: a table of samples (event_id, device_id, ts, ANGLES) to start from, the last of each device counts; these are not emitted.
+    """
+    columns = ["event_id", "device_id", "ts", *ANGLES]
+    return _stateful(samples.select(*columns), _Changes(idle), ORIENTATION, idle, initial.select(*columns) if initial is not None else None)
 
 
 POSES = "device_id bigint, seq bigint, alpha double, beta double"
@@ -109,13 +142,33 @@ def from_keys(keys: DataFrame, start: tuple[float, float] = START[:2]) -> DataFr
     return ordered.select("device_id", "seq", "code").mapInPandas(fold, POSES)
 
 
-def from_keys_stream(keys: DataFrame, start: tuple[float, float] = START[:2]) -> DataFrame:
-    """from_keys() of a stream: the pose of each device is kept as state."""
+class _Pressed(StatefulProcessor):
+    """Emits the pose after each key press; state: a device's pose."""
+
+    def __init__(self, start: tuple[float, float], idle: int | None):
+        self.start, self.idle = start, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pose = handle.getValueState("pose", "alpha double, beta double", self.idle)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.pose.update((float(initialState.alpha.iloc[-1]), float(initialState.beta.iloc[-1])))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, pose = pd.concat(list(batches)).sort_values(["ts", "seq"]), state.get if state.exists else start
-        alpha, beta = _after(rows.code.to_numpy(), np.zeros(len(rows), bool), start, pose)
-        state.update((float(alpha[-1]), float(beta[-1])))
-        yield pd.DataFrame({"device_id": key[0], "seq": rows.seq, "alpha": alpha, "beta": beta})
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        r = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        pose = self.pose.get() if self.pose.exists() else self.start
+        alpha, beta = _after(r.code.to_numpy(), np.zeros(len(r), bool), self.start, pose)
+        self.pose.update((float(alpha[-1]), float(beta[-1])))
+        yield pd.DataFrame({"device_id": key[0], "seq": r.seq, "alpha": alpha, "beta": beta})
 
-    return keys.select("device_id", "ts", "seq", "code").groupBy("device_id").applyInPandasWithState(step, POSES, "alpha double, beta double", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def from_keys_stream(keys: DataFrame, start: tuple[float, float] = START[:2], *, idle: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """from_keys() of a stream: the pose of each device is kept as state.
+
+    idle: as in changes_stream(); a forgotten device begins again at start.  initial: a table (device_id, alpha, beta) of
+    poses to begin with, one for a device.
+    """
+    return _stateful(keys.select("device_id", "ts", "seq", "code"), _Pressed(start, idle), POSES, idle, initial.select("device_id", "alpha", "beta") if initial is not None else None)
