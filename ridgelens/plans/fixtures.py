@@ -28,6 +28,9 @@ FIXTURES = {
     "fx_wide_poi": """select p_partkey as poi_id, cast(p_partkey as int) as ord, cast(null as varchar(20)) as name_fr, p_name as name, concat(cast(p_size*40 as varchar(20)), '.5') as ele,
   (162007 - ((p_partkey*37+5) % (select cast(floor(max(o_orderkey)/2048)+1 as bigint) from orders)) + 3e-1)/3.6e3 as lat,
   (25150 + ((p_partkey*53+1) % 2048) + 7e-1)/3.6e3 as lon from part""",
+    # pixels of elevation files of 256 x 256, one cell for 65536 orders
+    "fx_file_px": """select 44 as cell_lat, cast(6 + floor(o_orderkey/65536) as int) as cell_lon, cast(floor(o_orderkey/256) as int) % 256 as r, cast(o_orderkey % 256 as int) as c,
+  cast(cast(round(o_totalprice*100) as bigint) % 4000 as double)/4e0 + 1e0 as h from orders""",
     "fx_position": """select c_custkey as device_id, case when c_custkey % 6 = 0 then null when c_custkey % 4 = 1 then -2e0 + (c_custkey*17 % 37)/1e1 else 41e0 + (c_custkey*17 % 71)/1e1 end as lat,
   case when c_custkey % 6 = 0 then null when c_custkey % 4 = 1 then -2e0 + (c_custkey*29 % 41)/1e1 else 3e0 + (c_custkey*29 % 83)/1e1 end as lon from customer""",
     "fx_cell": """select distinct cast(s_suppkey % 3 as int)+43 as cell_lat, cast(s_suppkey*7 % 5 as int)+5 as cell_lon from supplier""",

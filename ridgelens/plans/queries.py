@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,15 @@ from ridgelens.functions import grid
 from ridgelens.operators import coverage, labels, raster, sight
 from ridgelens.plans import jobs
 from ridgelens.plans.fixtures import fixture
-from ridgelens.sources import landmarks
+from ridgelens.sources import dem, landmarks, sinks
+from ridgelens.sources.scratch import scratch
 from ridgelens.streaming import pose
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Sizes of the windows, in pixels.
 WINDOW, PREFETCH, VIEW, LINES, PANORAMA, BOX = 2048, 6144, 64, 256, 128, (44.98, 6.99, 45.01, 7.01)
-ASPECT, UPRIGHT = 4 / 3, 3 / 4
+ASPECT, UPRIGHT, FILE = 4 / 3, 3 / 4, 256
 
 
 def query(f: Callable) -> Callable:
@@ -66,12 +69,48 @@ def coverage_gap(fx):
     return coverage.coverage_gap(fx("position"), fx("cell"), PREFETCH)
 
 
-@query
-def poi_load(fx):
+def _documents(fx) -> DataFrame:
+    """Landmarks as GeoJSON, a hundred in a document."""
     p = fx("poi").withColumn("doc", F.floor(F.col("ord") / 100).cast("int"))
     feature = F.struct("ord", F.struct(F.struct("name", F.col("name_fr").alias("name:fr"), "ele").alias("properties"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry")).alias("f"))
-    docs = p.groupBy("doc").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(feature)), lambda x: x["f"]).alias("features"))).alias("json"))
-    return landmarks.parse_geojson(docs, keep=("doc",))
+    return p.groupBy("doc").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(feature)), lambda x: x["f"]).alias("features"))).alias("json"))
+
+
+def _elevation_files(fx) -> DataFrame:
+    """(path, content) of elevation files, one for each cell."""
+
+    def make(key: tuple, px: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros((FILE, FILE), np.float32)
+        z[px.r, px.c] = px.h
+        return pd.DataFrame({"path": [f"X_N{key[0]:02d}_00_E{key[1]:03d}_00_DEM.tif"], "content": [dem.encode_file(z, 96)]})
+
+    return fx("file_px").groupBy("cell_lat", "cell_lon").applyInPandas(make, "path string, content binary")
+
+
+@query
+def poi_load(fx):
+    return landmarks.parse_geojson(_documents(fx), keep=("doc",))
+
+
+@query
+def poi_rejects(fx):
+    """What the same documents lose, with every seventh one cut short."""
+    return landmarks.rejected_geojson(_documents(fx).withColumn("json", F.when(F.col("doc") % 7 == 3, F.expr("left(json, length(json) - 3)")).otherwise(F.col("json"))), keep=("doc",))
+
+
+@query
+def dem_ingest(fx):
+    """Elevation files made of orders' prices, decoded to pixels."""
+    return dem.pixels(dem.decode_files(_elevation_files(fx), width=FILE).where("reason is null")).where("h > 0")
+
+
+@query
+def dem_catalogue(fx):
+    """Cells told by names of files, south and west included."""
+    side = lambda c, plus, minus, width: F.concat(F.when(F.col(c) < 0, minus).otherwise(plus), F.lpad(F.abs(c).cast("string"), width, "0"))
+    places = _position(fx).select("device_id", F.floor("lat").cast("int").alias("a"), F.floor("lon").cast("int").alias("b"))
+    names = places.select("device_id", F.concat(F.lit("dem/Copernicus_DSM_COG_10_"), side("a", "N", "S", 2), F.lit("_00_"), side("b", "E", "W", 3), F.lit("_00_DEM.tif")).alias("path"))
+    return names.select("device_id", *dem.cell_of(F.col("path")))
 
 
 @query
@@ -111,8 +150,8 @@ def window_mosaic(fx):
     return raster.window_mosaic(fx("vp"), blocks(fx), VIEW)
 
 
-def _exact(fx, size: int, dem: DataFrame | None = None) -> DataFrame:
-    return jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), size, "exact", dem)
+def _exact(fx, size: int, heights: DataFrame | None = None) -> DataFrame:
+    return jobs.pairs_in_view(fx("vp"), jobs.clean_landmarks(fx("poi")), size, "exact", heights)
 
 
 @query
@@ -122,20 +161,20 @@ def sight_line_cells(fx):
 
 @query
 def line_of_sight(fx):
-    dem = blocks(fx)
-    return sight.line_of_sight(_exact(fx, LINES, dem), dem)
+    heights = blocks(fx)
+    return sight.line_of_sight(_exact(fx, LINES, heights), heights)
 
 
 @query
 def visible_poi(fx):
-    dem = blocks(fx)
-    return sight.visible_landmarks(_exact(fx, LINES, dem), dem).select("vp_id", "poi_id")
+    heights = blocks(fx)
+    return sight.visible_landmarks(_exact(fx, LINES, heights), heights).select("vp_id", "poi_id")
 
 
 @query
 def sight_work(fx):
-    dem = blocks(fx)
-    return sight.sight_work(_exact(fx, LINES, dem), dem)
+    heights = blocks(fx)
+    return sight.sight_work(_exact(fx, LINES, heights), heights)
 
 
 @query
@@ -256,6 +295,30 @@ def panorama_full_window(fx):
     return _rounded(out, "u", "v", "sx", "sy")
 
 
+@query
+def labels_written(fx):
+    """Labels as batches leave them: two batches of views, the first of which runs twice."""
+    out = jobs.panorama_labels(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=PANORAMA, aspect=ASPECT).persist()
+    path = scratch(out.sparkSession, "labels")
+    for batch in (0, 1, 0):
+        sinks.write_labels(out.where(F.col("vp_id") % 2 == batch), path, batch)
+    held = sinks.read_batches(out.sparkSession, path, ", ".join(f"`{c}` {t}" for c, t in out.dtypes))
+    out.unpersist()
+    return _rounded(held.select(*out.columns), "u", "v", "sx", "sy")
+
+
+@query
+def pose_stream(fx):
+    """Orientation files as a stream: changes, kept by device, written batch by batch and read again."""
+    batch = fx("orientation").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark = batch.sparkSession
+    source, out = scratch(spark, "samples"), scratch(spark, "changes")
+    batch.write.parquet(source)
+    stream = pose.changes_stream(pose.read_stream(spark, source)).writeStream.option("checkpointLocation", scratch(spark, "stream"))
+    stream.foreachBatch(sinks.batch_sink(out)).trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_batches(spark, out, pose.ORIENTATION).select("event_id", "device_id", *pose.ANGLES)
+
+
 @query
 def relief_map(fx):
     return jobs.relief_map(fx("vp"), blocks(fx), VIEW)

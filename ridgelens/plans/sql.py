@@ -128,6 +128,9 @@ SQL: dict[str, str] = {
     "cell_requirement": f"{ctes('fx_position')}, {_place(2048)} select * from {CELLS}",
     "coverage_gap": f"{ctes('fx_position', 'fx_cell')}, {_place(6144)} select * from {CELLS} c where not exists (select 1 from fx_cell f where f.cell_lat = c.cell_lat and f.cell_lon = c.cell_lon)",
     "poi_load": f"{ctes('fx_poi')}, n as (select *, floor(ord/100.0)::int as doc, (row_number() over (partition by floor(ord/100.0) order by ord) - 1)::int as pos from fx_poi) select doc, pos as ord, coalesce(name_fr, name) as name, lat, lon, trunc(try_cast(ele as double)+0.5::double)::int as elevation, (ele is not null and try_cast(ele as double) is null) as bad_elevation from n where coalesce(name_fr, name) is not null",
+    "poi_rejects": f"{ctes('fx_poi')}, n as (select *, floor(ord/100.0)::int as doc, (row_number() over (partition by floor(ord/100.0) order by ord) - 1)::int as pos from fx_poi) select doc, pos as ord, 'no name' as reason from n where doc % 7 <> 3 and coalesce(name_fr, name) is null union all select distinct doc, null::int as ord, 'no document of features' as reason from n where doc % 7 = 3",
+    "dem_ingest": f"{ctes('fx_file_px')} select 3600*(cell_lat+1) - 1 - r as ilat, 3600*cell_lon + c as ilon, h from fx_file_px",
+    "dem_catalogue": f"{ctes('fx_position')} select device_id, floor(lat)::int as cell_lat, floor(lon)::int as cell_lon from fx_position where lat is not null and lon is not null",
     "poi_extract": f"{ctes('fx_poi')} select poi_id as node_id, name, name_fr, kind as natural, lat, lon, ele from fx_poi where kind in ('peak', 'saddle') and lat between 44.98::double and 45.01::double and lon between 6.99::double and 7.01::double",
     "poi_in_view": f"{BASE}, {_pairs(64, 'exact')} select vp_id, poi_id from pairs",
     "poi_pixel": f"{BASE}, {_pairs(64, 'web')} select vp_id, poi_id, " + ", ".join(f"trunc((lon-(vp_lon-(31/3600.0::double)))*3600::double+{h})::int as {n}_x, trunc(((vp_lat+(31/3600.0::double))-lat)*3600::double+{h})::int as {n}_y" for n, h in (("web", "0.5::double"), ("sdl", "0.0::double"))) + " from pairs",
@@ -156,11 +159,13 @@ select poi_id, cell_lat, cell_lon, {_floor('q', 1024)} as tile_x, {_floor('r', 1
     "pose_latest": f"{ORIENTED} select device_id, max(ts) as ts, arg_max(alpha, (ts, event_id)) as alpha, arg_max(beta, (ts, event_id)) as beta, arg_max(gamma, (ts, event_id)) as gamma, arg_max(screen, (ts, event_id)) as screen from fx_orientation group by device_id",
     "pose_frames": f"{ORIENTED} select device_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as frame_start, arg_max(alpha, (ts, event_id)) as alpha, arg_max(beta, (ts, event_id)) as beta, arg_max(gamma, (ts, event_id)) as gamma, arg_max(screen, (ts, event_id)) as screen from fx_orientation group by 1, 2",
     "pose_changes": f"{ORIENTED}, l as (select *, lag((alpha, beta, gamma, screen)) over w as before, row_number() over w as n from fx_orientation window w as (partition by device_id order by ts, event_id)) select event_id, device_id, alpha, beta, gamma, screen from l where n = 1 or before is distinct from (alpha, beta, gamma, screen)",
+    "pose_stream": f"{ORIENTED}, l as (select *, lag((alpha, beta, gamma, screen)) over w as before, row_number() over w as n from fx_orientation window w as (partition by device_id order by ts, event_id)) select event_id, device_id, alpha, beta, gamma, screen from l where n = 1 or before is distinct from (alpha, beta, gamma, screen)",
     "pose_from_keys": _recursive(f"""{ctes('fx_key')}, o as (select *, row_number() over (partition by device_id order by ts, seq) as i from fx_key),
 s(device_id, i, seq, alpha, beta) as (select distinct device_id, 0::bigint, 0::bigint, 0.0::double, 90.0::double from o union all
   select o.device_id, o.i, o.seq, s.alpha + case code when 'ArrowLeft' then 5 when 'ArrowRight' then -5 else 0 end, case code when 'ArrowUp' then least(120.0::double, s.beta+5) when 'ArrowDown' then greatest(60.0::double, s.beta-5) else s.beta end from s join o on o.device_id = s.device_id and o.i = s.i+1)
 select device_id, seq, alpha, beta from s where i > 0"""),
     "panorama_labels": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
+    "labels_written": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
     "panorama_full_window": _recursive(f"{FULL}, {_pairs(2048, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
     "panorama_labels_drop": _recursive(f"{BASE}, {_pairs(128, 'sdl')}, {SIGHT}, known as (select up.* from up join lines using (vp_id, poi_id) where visible), {YAW}, {_thin('ranks', SDL_SLOT, SDL_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned where shown"),
     "relief_map": f"""{ctes('fx_vp', 'fx_dem')}, w as (select vp_id, {_window('lat', 'lon', 64)} from fx_vp), m as (select vp_id, max_lat-ilat as row, ilon-min_lon as col, h from w join fx_dem on ilat between min_lat and max_lat and ilon between min_lon and max_lon),

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ridgelens.functions.grid import BLOCK, STEPS
 
@@ -25,10 +26,11 @@ SHORT, LONG = 3, 4
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """(cell_lat, cell_lon, path, length) of the files below path; contents are not read.  The cell of a name that tells none is null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_DEM.tif").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return files.select(*_cell(F.col("path")), "path", "length")
+    return files.select(*cell_of(F.col("path")), "path", "length")
 
 
-def _cell(path):
+def cell_of(path: Column) -> list[Column]:
+    """cell_lat and cell_lon that a file's name tells, else null."""
     part = lambda k: F.regexp_extract(path, NAME, k)
     signed = lambda sign, minus, n: (F.when(part(sign) == minus, -1).otherwise(1) * part(n).try_cast("int")).cast("int")
     return [signed(1, "S", 2).alias("cell_lat"), signed(3, "W", 4).alias("cell_lon")]
@@ -79,17 +81,35 @@ def decode_tile(packed: bytes, width: int, height: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(">f4").reshape(height, width).astype(np.float32)
 
 
-def ingest(spark: SparkSession, path: str, out: str, *, width: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """(blocks, rejects): decoded heights as blocks of raster's layout, and files or tiles that break the contract.
+def encode_file(heights: np.ndarray, tile: int, *, magic: bytes = b"II*\0", tags: dict[int, int] | None = None) -> bytes:
+    """A file of this format with a square of heights, row 0 north, in tiles of tile x tile pixels; the last ones are filled with -9."""
+    side, packed = len(heights), []
+    for r in range(0, side, tile):
+        for c in range(0, side, tile):
+            t = np.full((tile, tile), -9.0, np.float32)
+            part = heights[r : r + tile, c : c + tile]
+            t[: part.shape[0], : part.shape[1]] = part
+            planes = t.astype(">f4").view(np.uint8).reshape(tile, tile, 4).transpose(0, 2, 1).reshape(tile, 4 * tile)
+            steps = planes.copy()
+            steps[:, 1:] -= planes[:, :-1]
+            packed.append(zlib.compress(steps.tobytes()))
+    at = 8 + np.cumsum([0] + [len(t) for t in packed])
+    lists, n = int(at[-1]), len(packed)
+    numbers = {WIDTH: side, HEIGHT: side, TILE_WIDTH: tile, TILE_HEIGHT: tile} | ASKED | (tags or {})
+    entries = [(k, SHORT, 1, v) for k, v in numbers.items()] + [(OFFSETS, LONG, n, lists), (COUNTS, LONG, n, lists + 4 * n)]
+    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries))
+    return magic + struct.pack("<I", lists + 8 * n) + b"".join(packed) + struct.pack(f"<{n}I", *at[:-1]) + struct.pack(f"<{n}I", *map(len, packed)) + directory
+
+
+def decode_files(files: DataFrame, *, width: int = STEPS) -> DataFrame:
+    """(cell_lat, cell_lon, bi, bj, h, path, reason) of files (path, content): decoded blocks of raster's layout, or a row with the reason why a file or tile breaks the contract.
 
-    Both are read back from the table at out, which is written once, by cell, so that a window reads the cells it touches.
     A first pass cuts files into packed tiles, which are then dealt over all tasks by cell and tile and decoded there.
     Pixels of a last tile beyond the cell are left out: they belong to the neighbour.
     """
     if width % BLOCK:
         raise ValueError(f"a cell's width must be a multiple of {BLOCK}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_DEM.tif").option("recursiveFileLookup", "true").load(path)
-    files = files.select(*_cell(F.col("path")), "path", "content")
+    files = files.select(*cell_of(F.col("path")), "path", "content")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -122,12 +142,64 @@ def ingest(spark: SparkSession, path: str, out: str, *, width: int = STEPS) -> t
                     rows.append((lat, lon, None, None, None, name, str(e)))
             yield pd.DataFrame(rows, columns=["cell_lat", "cell_lon", "bi", "bj", "h", "path", "reason"]).astype({c: "Int32" for c in ("cell_lat", "cell_lon", "bi", "bj")})
 
-    done = tiles.repartition("cell_lat", "cell_lon", "tile").mapInPandas(decode, BLOCK_SCHEMA + ", path string, reason string")
-    ordered = done.withColumn("broken", F.col("reason").isNotNull()).repartition("cell_lat", "cell_lon").sortWithinPartitions("broken", "cell_lat", "cell_lon", "bi", "bj")
-    ordered.write.partitionBy("broken", "cell_lat", "cell_lon").parquet(out)
-    held = spark.read.schema(BLOCK_SCHEMA + ", path string, reason string, broken boolean").parquet(out)
-    blocks = held.where(~F.col("broken")).select("cell_lat", "cell_lon", "bi", "bj", "h")
-    return blocks, held.where("broken").select("path", "reason").distinct()
+    return tiles.repartition("cell_lat", "cell_lon", "tile").mapInPandas(decode, BLOCK_SCHEMA + ", path string, reason string")
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*_DEM.tif").option("recursiveFileLookup", "true").load(paths)
+
+
+def _write(decoded: DataFrame, out: str) -> None:
+    """Decoded rows by cell below out; a cell that is written again is replaced, others stay."""
+    ordered = decoded.withColumn("broken", F.col("reason").isNotNull()).repartition("cell_lat", "cell_lon").sortWithinPartitions("broken", "cell_lat", "cell_lon", "bi", "bj")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("broken", "cell_lat", "cell_lon").parquet(out)
+
+
+def _held(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(BLOCK_SCHEMA + ", path string, reason string, broken boolean").parquet(out)
+
+
+def ingest(spark: SparkSession, path: str, out: str, *, width: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """(blocks, rejects) of all files below path, as decode_files() gives them, read back from the table at out.
+
+    The table is written once, by cell, so that a window reads the cells it touches.
+    """
+    _write(decode_files(_files(spark, path), width=width), out)
+    held = _held(spark, out)
+    return held.where(~F.col("broken")).select("cell_lat", "cell_lon", "bi", "bj", "h"), held.where("broken").select("path", "reason").distinct()
+
+
+LOG = "path string, length bigint, modified timestamp, cell_lat int, cell_lon int, reason string"
+
+
+def refresh(spark: SparkSession, path: str, out: str, *, width: int = STEPS, needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(blocks, files, how many files were decoded): brings the table at out up to date with the files below path.
+
+    needed: cells (cell_lat, cell_lon), as coverage_gap() lists them; files of other cells wait until they are asked for.
+    The log beside the table (LOG) tells which files it holds, by name, length and time.  Only files it does not tell of
+    are opened and decoded, so a second run decodes nothing; a file that has changed replaces its cell, and one that is
+    broken now leaves the cell as it was.  Blocks are written before the log, so a run that fails is made up for by the
+    next.  The names of files to open come to the driver: one for each cell, 64,800 at most.
+    """
+    log = f"{out.rstrip('/')}.files"
+    try:
+        known = spark.read.schema(LOG).parquet(log)
+    except AnalysisException:  # nothing is held yet
+        known = spark.createDataFrame([], LOG)
+    found = _files(spark, path).select("path", "length", F.col("modificationTime").alias("modified"), *cell_of(F.col("path")))
+    new = found.join(known, ["path", "length", "modified"], "left_anti")
+    if needed is not None:
+        new = new.join(needed.select("cell_lat", "cell_lon").distinct(), ["cell_lat", "cell_lon"], "left_semi")
+    rows = new.select("path", "length", "modified", "cell_lat", "cell_lon").collect()
+    if rows:
+        _write(decode_files(_files(spark, [r.path for r in rows]), width=width), out)
+        why = _held(spark, out).where("broken").groupBy("path").agg(F.min("reason").alias("reason"))
+        spark.createDataFrame(rows, LOG.rpartition(",")[0]).join(why, "path", "left").select(*[c.split()[0] for c in LOG.split(", ")]).coalesce(1).write.mode("append").parquet(log)
+    try:
+        held = _held(spark, out)
+    except AnalysisException:  # no file at all
+        held = spark.createDataFrame([], BLOCK_SCHEMA + ", path string, reason string, broken boolean")
+    return held.where(~F.col("broken")).select("cell_lat", "cell_lon", "bi", "bj", "h"), spark.read.schema(LOG).parquet(log) if rows else known, len(rows)
 
 
 def pixels(blocks: DataFrame) -> DataFrame:

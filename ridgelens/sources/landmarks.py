@@ -30,6 +30,29 @@ def parse_geojson(docs: DataFrame, json: str = "json", keep: tuple[str, ...] = (
     return out.where(F.col("name").isNotNull() & (F.col("n") == 2)).drop("n")
 
 
+def rejected_geojson(docs: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, ord, reason) of what parse_geojson() leaves out: documents that are no JSON of this kind (ord null), features without a name, or without two coordinates."""
+    marked = T.StructType([*GEOJSON.fields, T.StructField("__corrupt", T.StringType())])
+    d = docs.select(*keep, F.from_json(json, marked, {"columnNameOfCorruptRecord": "__corrupt"}).alias("d"))
+    broken = F.col("d").isNull() | F.col("d.__corrupt").isNotNull() | F.col("d.features").isNull()
+    whole = F.struct(F.lit(None).cast("int").alias("ord"), F.lit("no document of features").alias("reason"))
+    named = lambda f: f["properties"]["name:fr"].isNotNull() | f["properties"]["name"].isNotNull()
+    two = lambda f: F.coalesce(F.size(f["geometry"]["coordinates"]) == 2, F.lit(False))
+    each = F.transform("d.features", lambda f, i: F.struct(i.alias("ord"), F.when(~named(f), "no name").when(~two(f), "not two coordinates").alias("reason")))
+    out = d.select(*keep, F.explode(F.when(broken, F.array(whole)).otherwise(each)).alias("x")).select(*keep, "x.*")
+    return out.where(F.col("reason").isNotNull())
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(landmarks, rejects) of files with a feature on each line, which split over tasks where one large document does not.
+
+    ord: the line's own id, rising in a file.  Both as parse_geojson() and rejected_geojson() tell them, with the file's name as `file`.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.concat(F.lit('{"features":['), "value", F.lit("]}")).alias("json"))
+    keep = ("file", "line")
+    return parse_geojson(lines, keep=keep).drop("ord").withColumnRenamed("line", "ord"), rejected_geojson(lines, keep=keep).drop("ord").withColumnRenamed("line", "ord")
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return parse_geojson(spark.read.text(path, wholetext=True), "value")
 
