@@ -15,22 +15,42 @@ LEVEL, MARGIN = 4, 0.000001
 ENDS = ["vp_id", "poi_id", "vlat", "vlon", "plat", "plon", "vh", "ph"]
 
 
-def in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int) -> DataFrame:
+#: Times a dense cell is cut into 4 x 4, at most.
+DEPTH = 4
+
+
+def in_view(viewpoints: DataFrame, landmarks: DataFrame, size: int, *, leaf: int | None = None) -> DataFrame:
     """Pairs of a viewpoint and the landmarks strictly inside its box of (size / 2 - 1) arc-seconds each way.
 
     landmarks (poi_id, lat, lon, ...) are joined on a grid of cells as wide as the box: each viewpoint is sent to the
     cells its box touches, so the join is on equal cells, and the exact box is checked behind it.  Columns of
     viewpoints that landmarks have too get the prefix vp_.
+
+    leaf: for landmarks that crowd in places, landmarks a cell may hold before it is cut into 4 x 4, and these again,
+    DEPTH times at most; viewpoints go to the parts that their box touches, so a crowded cell is as many keys.  Landmarks
+    are counted for that first; which cells are full is known to each row by joins with these, fewer than landmarks / leaf.
     """
     d = (size // 2 - 1) / STEPS
     step = max(2 * d, 1 / STEPS)
-    cell = lambda c: F.floor(c / step).cast("int")
     v = viewpoints.select(*[F.col(c).alias(c if c == "vp_id" or c not in landmarks.columns else f"vp_{c}") for c in viewpoints.columns])
     lat, lon = ("vp_lat" if "vp_lat" in v.columns else "lat"), ("vp_lon" if "vp_lon" in v.columns else "lon")
-    v = v.withColumn("__i", F.explode(F.sequence(cell(F.col(lat) - d), cell(F.col(lat) + d)))).withColumn("__j", F.explode(F.sequence(cell(F.col(lon) - d), cell(F.col(lon) + d))))
-    p = landmarks.withColumn("__i", cell(F.col("lat"))).withColumn("__j", cell(F.col("lon")))
-    inside = (F.col("lat") > F.col(lat) - d) & (F.col("lat") < F.col(lat) + d) & (F.col("lon") > F.col(lon) - d) & (F.col("lon") < F.col(lon) + d)
-    return v.join(p, ["__i", "__j"]).where(inside).drop("__i", "__j")
+    cell = lambda c, level: f"cast(floor(({c}) / {step / 4**level!r}D) as int)"
+    touched = lambda c, level: f"explode(sequence({cell(f'{c} - {d!r}D', level)}, {cell(f'{c} + {d!r}D', level)}))"
+    p = _with(landmarks, __i=cell("lat", 0), __j=cell("lon", 0))
+    v = v.withColumn("__i", F.expr(touched(lat, 0))).withColumn("__j", F.expr(touched(lon, 0)))
+    on = ["__i", "__j"]
+    if leaf:
+        levels = [f"struct({k} as level, {cell('lat', k)} as i, {cell('lon', k)} as j)" for k in range(DEPTH)]
+        full = landmarks.selectExpr(f"inline(array({', '.join(levels)}))").groupBy("level", "i", "j").count().where(F.col("count") > leaf)
+        on, p, v = [*on, "__level"], p.withColumn("__level", F.lit(0)), v.withColumn("__level", F.lit(0))
+        for k in range(DEPTH):  # rows in full cells of a level go on to the next one
+            these = full.where(F.col("level") == k).select(F.col("i").alias("__i"), F.col("j").alias("__j"), F.lit(k).alias("__level"), F.lit(True).alias("__full"))
+            p = _with(p.join(these, on, "left"), __i=f"if(__full, {cell('lat', k + 1)}, __i)", __j=f"if(__full, {cell('lon', k + 1)}, __j)", __level=f"if(__full, {k + 1}, __level)").drop("__full")
+            cut = lambda own, c: f"filter(if(__full, sequence({cell(f'{c} - {d!r}D', k + 1)}, {cell(f'{c} + {d!r}D', k + 1)}), array({own})), x -> not coalesce(__full, false) or floor(x / 4D) = {own})"  # noqa: B023, E731
+            v = _with(v.join(these, on, "left"), __level=f"if(__full, {k + 1}, __level)", __rows=cut("__i", lat), __cols=cut("__j", lon))
+            v = v.withColumn("__i", F.explode("__rows")).withColumn("__j", F.explode("__cols")).drop("__rows", "__cols", "__full")
+    inside = f"lat > {lat} - {d!r}D and lat < {lat} + {d!r}D and lon > {lon} - {d!r}D and lon < {lon} + {d!r}D"
+    return v.join(p, on).where(inside).drop(*on)
 
 
 def _with(d: DataFrame, **columns: str) -> DataFrame:

@@ -201,6 +201,21 @@ def test_squares_decide_what_pixels_say(spark):
         assert any(r.n_open == 0 and r.n_cells > 20 for r in out)  # settled by squares alone
 
 
+def test_crowded_cells_are_cut(spark):
+    """Nine tenths of the landmarks in one cell: the same pairs, and no key with many of them."""
+    rng = random.Random(6)
+    spot = lambda k: (44.7 + rng.uniform(0, 0.004), 7.1 + rng.uniform(0, 0.004)) if k % 10 else (44.7 + rng.uniform(-1, 1), 7.1 + rng.uniform(-1, 1))
+    poi = spark.createDataFrame([(k, *spot(k)) for k in range(3000)] + [(3000 + k, 44.7, 7.1) for k in range(200)], "poi_id bigint, lat double, lon double")
+    vp = spark.createDataFrame([(k, *spot(k)) for k in range(60)] + [(60, 44.7, 7.1)], "vp_id bigint, lat double, lon double")
+    ids = ["vp_id", "poi_id"]
+    d = (256 // 2 - 1) / 3600
+    want = vp.select("vp_id", F.col("lat").alias("a"), F.col("lon").alias("b")).join(poi, (F.abs(F.col("lat") - F.col("a")) < d + 1) & (F.col("lat") > F.col("a") - d) & (F.col("lat") < F.col("a") + d) & (F.col("lon") > F.col("b") - d) & (F.col("lon") < F.col("b") + d)).select(ids)
+    for leaf in (None, 100, 20):
+        got = sight.in_view(vp, poi, 256, leaf=leaf).select(ids)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert want.count() > 100_000
+
+
 def test_heights_around_points(spark):
     """Heights looked up once for each landmark are those at the pixels that its views ask for."""
     vp, poi, dem = (fixture(spark, DATA, f"fx_{n}") for n in ("vp", "poi", "dem"))
