@@ -20,13 +20,13 @@ FIXTURES = {
   (25150 + ((p_partkey*53+1) % 100) + 7e-1)/3.6e3 as lon,
   case when p_partkey % 4 = 0 then 'peak' when p_partkey % 4 = 1 then 'saddle' when p_partkey % 4 = 2 then 'spring' end as kind from part""",
     # a raster as wide as a full window, rougher, with the same landmarks and viewpoints laid over its width
-    "fx_wide_dem": """select cast(162007 - floor(o_orderkey/2048) as int) as ilat, cast(25150 + o_orderkey % 2048 as int) as ilon,
-  cast((cast(round(o_totalprice*100) as bigint) % 400)/1e1 as double) as h from orders""",
+    "fx_wide_dem": " union all ".join(f"""select cast(162007 - 3*floor(o_orderkey/2048) - {k} as int) as ilat, cast(25150 + o_orderkey % 2048 as int) as ilon,
+  cast((cast(round(o_totalprice*{100 + k}) as bigint) % 400)/5e1 as double) as h from orders""" for k in range(3)),
     "fx_wide_vp": """select cast(n_nationkey as bigint) as vp_id,
-  (162007 - ((n_nationkey*11+3) % (select cast(floor(max(o_orderkey)/2048)+1 as bigint) from orders)) + 5e-1)/3.6e3 as lat,
+  (162007 - ((n_nationkey*11+3) % (select cast(3*floor(max(o_orderkey)/2048)+3 as bigint) from orders)) + 5e-1)/3.6e3 as lat,
   (25150 + ((n_nationkey*389+7) % 2048) + 5e-1)/3.6e3 as lon, cast(n_nationkey*15 as double) as heading from nation""",
     "fx_wide_poi": """select p_partkey as poi_id, cast(p_partkey as int) as ord, cast(null as varchar(20)) as name_fr, p_name as name, concat(cast(p_size*40 as varchar(20)), '.5') as ele,
-  (162007 - ((p_partkey*37+5) % (select cast(floor(max(o_orderkey)/2048)+1 as bigint) from orders)) + 3e-1)/3.6e3 as lat,
+  (162007 - ((p_partkey*37+5) % (select cast(3*floor(max(o_orderkey)/2048)+3 as bigint) from orders)) + 3e-1)/3.6e3 as lat,
   (25150 + ((p_partkey*53+1) % 2048) + 7e-1)/3.6e3 as lon from part""",
     # pixels of elevation files of 256 x 256, one cell for 65536 orders
     "fx_file_px": """select 44 as cell_lat, cast(6 + floor(o_orderkey/65536) as int) as cell_lon, cast(floor(o_orderkey/256) as int) % 256 as r, cast(o_orderkey % 256 as int) as c,
