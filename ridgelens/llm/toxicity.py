@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgelens.llm.common import documents, stage
+from ridgelens.llm.filters import build_filter, passes
 from ridgelens.llm.words import U64, Words, blocks
 
 #: At most so many labelled rows of each class, with texts up to TRAIN_CHARS, are used to fit the model.
@@ -204,12 +205,15 @@ def _learned(rows: pa.Table | None) -> Model:
 def _set_cuts(model: Model, body: DataFrame, known: DataFrame) -> None:
     """Sets the model's cuts from all rows of body (id, body, lang) with a label in known (id, y).
 
-    Texts are scored where they lie; ids, languages and scores meet the labels and are counted by language and bin.
+    Texts are scored where they lie, those whose id is in a filter of the labelled ids (build_filter: past its largest
+    size others are scored in vain); ids, languages and scores meet the labels and are counted by language and bin.
     """
     sent = body.sparkSession.sparkContext.broadcast(model)
+    asked = build_filter(known.select(F.xxhash64("id").alias("h")), "h")
 
     def run(batches):
         for b in (whole.slice(s, 1000) for whole in batches for s in range(0, whole.num_rows, 1000)):  # small parts go back
+            b = b.filter(pa.array(passes(asked.value, b.column("h").to_numpy(zero_copy_only=False).view(U64))))
             p = scores(sent.value, b.column("body"))
             at = np.clip((np.log(p / (1 - p)) + 30) / 60 * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(p), pa.array(at)], names=["id", "lang", "p", "bin"])
@@ -218,9 +222,10 @@ def _set_cuts(model: Model, body: DataFrame, known: DataFrame) -> None:
         enough = t.num_rows and sum(t["n"].to_pylist()) >= ENOUGH
         return pa.table({"lang": t["lang"].slice(0, 1), "cut": pa.array([_best_cut(*_bins(t)) if enough else None], pa.float64())})
 
-    scored = body.mapInArrow(run, "id string, lang string, p double, bin int").join(known, "id")
+    scored = body.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id string, lang string, p double, bin int").join(known, "id")
     counts = stage(scored.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"), F.min("p").alias("low"), F.max("p").alias("high")), "scores")
     sent.destroy()
+    asked.destroy()
     cut = _best_cut(*_bins(counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()))
     model.threshold = CUT if cut is None else cut
     found = counts.where(F.col("lang").isNotNull()).groupBy("lang").applyInArrow(own, "lang string, cut double").where(F.col("cut").isNotNull())
