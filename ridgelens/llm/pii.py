@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -215,12 +216,27 @@ def _gold(t: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]] |
     return None if any(a[1] >= b[0] for a, b in zip(gold, gold[1:], strict=False)) else gold
 
 
+def regrouped(s: str, rng: np.random.Generator) -> str:
+    """A number with its digits in other groups, the country's code and the digits themselves kept."""
+    code = re.match(r"\+[0-9]{1,3}(?![0-9])", s)
+    head, rest = (code[0], _digits(s[code.end() :])) if code else ("+" if s[:1] == "+" else "", _digits(s))
+    groups = [head] if code else []
+    while rest:
+        n = 4 if not s.startswith("+") else int(rng.integers(2, 5))
+        n = len(rest) if len(rest) - n < 2 else n
+        groups.append(rest[:n])
+        rest = rest[n:]
+    mark = " " if len(groups) <= LONGEST and rng.random() < 0.7 else "-"
+    return ("" if code else head) + mark.join(groups)
+
+
 def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """Likelihood ascent (Adagrad) on stretches labelled by the base patterns.
 
     A stretch that is one base match is a sure case; so is what follows the country's code in one with its area in
-    brackets, which the patterns miss.  Stretches of several sure cases side by side, which the patterns alone would merge, are made
-    from those and labelled by what they were made from.  A stretch with a bracketed number that no pattern matches is no case: what
+    brackets, which the patterns miss.  Sure numbers stand again with their digits in other groups (regrouped), where
+    the patterns take those whole.  Stretches of several sure cases side by side, which the patterns alone would merge, are made
+    from all of these and labelled by what they were made from.  A stretch with a bracketed number that no pattern matches is no case: what
     the patterns say of it is not known to be right.  Without texts: nothing is added.
     """
     rng = np.random.default_rng(seed)
@@ -239,8 +255,15 @@ def fit(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
             if KINDS[gold[0][2] - 1] == "phone" and bracketed(own):
                 sure.append((own, gold[0][2]))
                 cases.append((own, stretches(own)[0], [(0, len(stretches(own)[0]) - 1, gold[0][2])]))
+    several = len(sure)
+    for t, y in sure[:several]:
+        other = regrouped(t, rng) if KINDS[y - 1] in ("card", "phone") and "(" not in t else t
+        words = [w for run in stretches(other) for w in run]
+        if other != t and _gold(other, words) == [(0, len(words) - 1, y)]:
+            sure.append((other, y))
+            cases.append((other, words, [(0, len(words) - 1, y)]))
     by_kind = {y: [t for t, k in sure if k == y] for y in {k for _, k in sure}}
-    for _ in range(len(sure)):  # each kind alike
+    for _ in range(several):  # each kind alike
         parts = [(by_kind[y][rng.integers(len(by_kind[y]))], y) for y in rng.choice(sorted(by_kind), rng.integers(2, 4))]
         t = " ".join(p for p, _ in parts)
         words, gold, at = [w for run in stretches(t) for w in run], [], 0
@@ -301,8 +324,8 @@ def added_spans(m: Field, t: str, base: dict[str, list[tuple[int, int]]]) -> lis
     return out
 
 
-def train(docs: DataFrame, *, text: str = "text") -> Field:
-    """Fit on the SAMPLE stretches of smallest hash, of at most 400 characters, over all documents.
+def sample(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The SAMPLE stretches (s) of smallest hash, of at most 400 characters, over all documents, in one partition.
 
     A task hands on the SAMPLE smallest it has seen, so what is shuffled grows with the tasks, not with the stretches.
     """
@@ -325,7 +348,18 @@ def train(docs: DataFrame, *, text: str = "text") -> Field:
     found = body.mapInArrow(cut, "s string").distinct()
     # words of one short number are most of all stretches, and say the least
     rare = F.when(F.length("s") < 8, 1).otherwise(0)
-    return fit(sorted(r.s for r in found.orderBy(rare, F.xxhash64("s"), "s").limit(SAMPLE).collect()))
+    return found.orderBy(rare, F.xxhash64("s"), "s").limit(SAMPLE)
+
+
+def train(docs: DataFrame, *, text: str = "text") -> Field:
+    """The field fitted on the sample, in the one task that sees it."""
+
+    def learn(batches):
+        texts = sorted(t for b in batches for t in b.column("s").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts))], pa.binary())], names=["field"])
+
+    found = sample(docs, text=text).coalesce(1).mapInArrow(learn, "field binary").collect()
+    return pickle.loads(found[0].field) if found else fit([])  # of an empty table there may be no task at all
 
 
 def find_personal_data(docs: DataFrame, field: Field, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
