@@ -223,7 +223,10 @@ def test_image_copies(spark):
     copies = [(m, 2 * same[m // 2]) for m in group if m is not None and m < 10_000]
     for kind in range(1, 6):
         own = [group[m] == want for m, want in copies if m % 2 and m // 2 % 6 == kind]
-        assert len(own) > 20 and np.mean(own) >= (0.8 if kind == 5 else 0.97)
+        assert len(own) > 20 and np.mean(own) >= 0.97
+    for half in (0, 1):  # 7/8 and 3/4 of the size
+        own = [group[m] == want for m, want in copies if m % 2 and m // 2 % 6 == 5 and m // 2 // 6 % 2 == half]
+        assert len(own) > 10 and np.mean(own) >= 0.95
     assert all(group[m] >= want for m, want in copies)  # never with another picture
     assert (group[10_001], group[10_002], group[10_003], group[10_004], group[10_005], group[10_006], group[None]) == (10_001, 10_002, 10_003, 10_004, 10_004, 10_006, None)
     assert images.find_copies(odd.where("false")).count() == 0
@@ -252,6 +255,35 @@ def all_pairs(found):
     return {k: groups.root(k) for k in found}
 
 
+def smoother(image):
+    x = np.pad(image.astype(float), 1, mode="edge")
+    x = (x[:-2] + 2 * x[1:-1] + x[2:]) / 4
+    return (x[:, :-2] + 2 * x[:, 1:-1] + x[:, 2:]) / 4
+
+
+@pytest.mark.parametrize("by", ["linear", "smoothed"])
+@pytest.mark.parametrize(("side", "kind"), [(80, 1), (80, 2), (80, 3), (80, 4), (80, 5), (80, 11), (160, 5), (160, 11)])
+def test_tables_lose_few_of_the_copies_that_all_pairs_of_corners_find(monkeypatch, side, kind, by):
+    """Without any condition on words: all corners that differ in NEAR bits at most are votes.
+
+    Of 200 copies smoothed and shrunk from 80 to 60 pixels, a listed edit only without the smoothing, the tables find 0.90
+    and all pairs 0.955.
+    """
+    monkeypatch.setattr(images, "SIDE", side)
+    tables, every = 0, 0
+    for k in range(30):
+        image = images.texture([float(k), 7.0])
+        found, copy = (images.describe(x[None])[0] for x in (image, np.ascontiguousarray(images.edited(smoother(image) if by == "smoothed" and kind in (5, 11) else image, kind))))
+        near = np.bitwise_count(found["words"][:, None] ^ copy["words"][None]).sum(2) <= images.NEAR
+        same = (found["words"][:, None] == copy["words"][None]).any(2)
+        votes = []
+        for meet in (near & same, near):
+            i, j = np.nonzero(meet)
+            votes.append(len(images._agree(np.stack([np.zeros(len(i), np.int64), np.ones(len(i), np.int64), images._packed(found)[i], images._packed(copy)[j]], 1))))
+        tables, every = tables + votes[0], every + votes[1]
+    assert tables >= (0.95 if by == "linear" else 0.85) * 30 and tables >= 0.9 * every, (tables, every)
+
+
 @pytest.mark.parametrize("crowd", [images.CROWD, 2])
 def test_image_groups_are_those_of_all_pairs(spark, monkeypatch, crowd):
     for name, value in (("CROWD", crowd), ("BLOCK", 8), ("LEAST", 6), ("HOT", 10**6)):
