@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Sizes of the windows, in pixels.
 WINDOW, PREFETCH, VIEW, LINES, PANORAMA, BOX = 2048, 6144, 64, 256, 128, (44.98, 6.99, 45.01, 7.01)
-ASPECT, UPRIGHT, FILE = 4 / 3, 3 / 4, 256
+ASPECT, UPRIGHT, FILE, VIEWERS = 4 / 3, 3 / 4, 256, 25
 
 
 def query(f: Callable) -> Callable:
@@ -182,6 +182,12 @@ def gradient(fx):
     return _rounded(raster.gradient(blocks(fx)), "gx", "gy").select("ilat", "ilon", "gx", "gy")
 
 
+@query
+def gradient_arrow(fx):
+    """gradient by the numpy kernel over bordered blocks."""
+    return _rounded(raster.gradient(blocks(fx), form="arrow"), "gx", "gy").select("ilat", "ilon", "gx", "gy")
+
+
 @query
 def normals(fx):
     return raster.normals(raster.gradient(blocks(fx))).select("ilat", "ilon", "nx", "ny", "nz")
@@ -295,6 +301,10 @@ def panorama_full_window(fx):
     return _rounded(out, "u", "v", "sx", "sy")
 
 
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+
 @query
 def labels_written(fx):
     """Labels as batches leave them: two batches of views, the first of which runs twice."""
@@ -302,7 +312,7 @@ def labels_written(fx):
     path = scratch(out.sparkSession, "labels")
     for batch in (0, 1, 0):
         sinks.write_labels(out.where(F.col("vp_id") % 2 == batch), path, batch)
-    held = sinks.read_batches(out.sparkSession, path, ", ".join(f"`{c}` {t}" for c, t in out.dtypes))
+    held = sinks.read_batches(out.sparkSession, path, _schema(out))
     out.unpersist()
     return _rounded(held.select(*out.columns), "u", "v", "sx", "sy")
 
@@ -319,6 +329,26 @@ def pose_stream(fx):
     return sinks.read_batches(spark, out, pose.ORIENTATION).select("event_id", "device_id", *pose.ANGLES)
 
 
+@query
+def labels_stream(fx):
+    """Orientation files as a stream: labels of each sample that changes its device's pose, written batch by batch and read again.
+
+    A device stands at the viewpoint of its id modulo VIEWERS; a sample is a view of its own.
+    """
+    samples = fx("orientation").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark = samples.sparkSession
+    source, views, out = scratch(spark, "samples"), scratch(spark, "visible"), scratch(spark, "labels")
+    samples.write.parquet(source)
+    at = samples.select("device_id").distinct().withColumn("vp_id", F.col("device_id") % VIEWERS)
+    seen = jobs.seen_from(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=VIEW).join(at, "vp_id")
+    sinks.write_visible(seen, views)  # once, for all batches
+    seen = sinks.read_batches(spark, views, _schema(seen))
+    stream = jobs.relabel(pose.read_stream(spark, source), seen, lambda rows, n: sinks.write_labels(rows, out, n), aspect=ASPECT)
+    stream.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    held = sinks.read_batches(spark, out, "event_id bigint, poi_id bigint, text string, nth int, u double, v double, sx double, sy double, shown boolean")
+    return _rounded(held, "u", "v", "sx", "sy")
+
+
 @query
 def relief_map(fx):
     return jobs.relief_map(fx("vp"), blocks(fx), VIEW)

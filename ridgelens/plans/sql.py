@@ -85,11 +85,16 @@ def _rank(source: str) -> str:
     return f"ranks as (select *, row_number() over (partition by vp_id order by prom desc nulls last, ord) as nth from (select *, case when {DIST} > 0 then (ph-vh)/{DIST} end as prom from {source}))"
 
 
-# upright camera turned by the heading: alpha = heading, beta = 90 degrees, gamma = screen = 0
-PROJECT = f"""turned as (select *, (plon-vlon)*{DX} as x0, (plat-vlat)*{DY} as y0, ph-vh-2.0::double as z0, -radians(heading) as al, -radians(90.0::double) as be from ranks),
+def _project(alpha: str, beta: str, source: str) -> str:
+    """A camera that turns by alpha and leans by beta: gamma = screen = 0."""
+    return f"""turned as (select *, (plon-vlon)*{DX} as x0, (plat-vlat)*{DY} as y0, ph-vh-2.0::double as z0, -radians({alpha}) as al, -radians({beta}) as be from {source}),
 one as (select *, x0*cos(al)-y0*sin(al) as x1, x0*sin(al)+y0*cos(al) as y1 from turned),
 two as (select *, y1*cos(be)-z0*sin(be) as y2, -(y1*sin(be)+z0*cos(be)) as depth from one),
 proj as (select *, x1/depth as u, y2/depth as v from two where depth > 1)"""
+
+
+# upright camera turned by the heading
+PROJECT = _project("heading", "90.0::double", "ranks")
 # the same with a camera that leans, and a screen that is turned: all four angles
 TILTED = f"""turned as (select *, (plon-vlon)*{DX} as x0, (plat-vlat)*{DY} as y0, ph-vh-2.0::double as z0, -radians(heading) as al, -radians(60+vp_id%3*15.0::double) as be, -radians(vp_id%4*10.0::double) as ga, radians(vp_id%2*90.0::double) as sc from ranks),
 one as (select *, x0*cos(al)-y0*sin(al) as x1, x0*sin(al)+y0*cos(al) as y1 from turned),
@@ -144,6 +149,7 @@ select poi_id, cell_lat, cell_lon, {_floor('q', 1024)} as tile_x, {_floor('r', 1
     "sight_work": f"{BASE}, {_pairs(256, 'exact')}, {WORK}",
     "visible_poi": f"{BASE}, {_pairs(256, 'exact')}, {SIGHT} select vp_id, poi_id from lines where visible",
     "gradient": f"{ctes('fx_dem')}, {SLOPES} select ilat, ilon, {_r('gx', 'gx')}, {_r('gy', 'gy')} from slope",
+    "gradient_arrow": f"{ctes('fx_dem')}, {SLOPES} select ilat, ilon, {_r('gx', 'gx')}, {_r('gy', 'gy')} from slope",
     "normals": f"{ctes('fx_dem')}, {SLOPES}, n as (select *, gx*{DY} as x, gy*{DX} as y, 2*{DX}*{DY} as z from slope), m as (select *, 127.0::double/sqrt(x*x+y*y+z*z) as f from n) select ilat, ilon, trunc(x*f)::tinyint as nx, trunc(y*f)::tinyint as ny, trunc(z*f)::tinyint as nz from m",
     "hillshade_nw": f"{ctes('fx_dem')}, {SLOPES} select ilat, ilon, {GREY} as grey from slope",
     "hillshade_relief": f"{ctes('fx_dem')}, {SLOPES}, n as (select *, gx*{DY} as x, gy*{DX} as y, 2*{DX}*{DY} as z from slope) select ilat, ilon, {_r('greatest(0.0::double, (-x+y+2*z)/sqrt(x*x+y*y+z*z)/sqrt(6.0::double))', 'light')} from n",
@@ -165,6 +171,11 @@ s(device_id, i, seq, alpha, beta) as (select distinct device_id, 0::bigint, 0::b
   select o.device_id, o.i, o.seq, s.alpha + case code when 'ArrowLeft' then 5 when 'ArrowRight' then -5 else 0 end, case code when 'ArrowUp' then least(120.0::double, s.beta+5) when 'ArrowDown' then greatest(60.0::double, s.beta-5) else s.beta end from s join o on o.device_id = s.device_id and o.i = s.i+1)
 select device_id, seq, alpha, beta from s where i > 0"""),
     "panorama_labels": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
+    "labels_stream": _recursive(f"""{ctes('fx_vp', 'fx_poi', 'fx_dem', 'fx_orientation')}, {_pairs(64, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')},
+l as (select *, lag((alpha, beta, gamma, screen)) over w as before, row_number() over w as n from fx_orientation window w as (partition by device_id order by ts, event_id)),
+changed as (select event_id, device_id, alpha, beta from l where n = 1 or before is distinct from (alpha, beta, gamma, screen)),
+posed as (select r.* replace (c.event_id as vp_id), c.alpha, c.beta from ranks r join changed c on r.vp_id = c.device_id % 25), {_project('alpha', 'beta', 'posed')}, {_thin('proj', WEB_SLOT, WEB_NEAR)}
+select vp_id as event_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"""),
     "labels_written": _recursive(f"{BASE}, {_pairs(128, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
     "panorama_full_window": _recursive(f"{FULL}, {_pairs(2048, 'web')}, {SIGHT}, clear as (select up.* from up join lines using (vp_id, poi_id) where visible), {_rank('clear')}, {PROJECT}, {_thin('proj', WEB_SLOT, WEB_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned"),
     "panorama_labels_drop": _recursive(f"{BASE}, {_pairs(128, 'sdl')}, {SIGHT}, known as (select up.* from up join lines using (vp_id, poi_id) where visible), {YAW}, {_thin('ranks', SDL_SLOT, SDL_NEAR)} select vp_id, poi_id, {TEXT} as text, nth, {_r('u', 'u')}, {_r('v', 'v')}, {_r(f'u*{SCALE!r}::double', 'sx')}, {_r(f'v*({4 / 3!r}::double*{SCALE!r}::double)', 'sy')}, shown from thinned where shown"),

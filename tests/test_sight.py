@@ -281,3 +281,21 @@ def test_mosaic_is_the_filtered_raster(spark):
 def test_floor_division(spark):
     df = spark.createDataFrame([(-3601,), (-1,), (0,), (3599,), (3600,)], "x int").select(grid.floor_div(F.col("x"), 3600).alias("q"))
     assert [r.q for r in df.collect()] == [-2, -1, 0, 0, 1]
+
+
+def test_gradient_forms_agree(spark):
+    """Both forms give the same rows on blocks with holes, without neighbours, of other types, on both sides of zero, and on none."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for bi, bj in [(-1, -1), (-1, 0), (0, -1), (0, 0), (1, 0), (5, 5), (6, 6)]:
+        h = [None if x < 0.02 else float(y) for x, y in zip(rng.random(256), rng.normal(500, 90, 256), strict=True)]
+        rows.append((bi, bj, [None] * 256 if bi == 6 else h))
+    found = spark.createDataFrame(rows, "bi int, bj int, h array<double>")
+    height = {(bi * 16 + k // 16, bj * 16 + k % 16): v for bi, bj, h in rows for k, v in enumerate(h) if v is not None}
+    for of in (found, found.withColumn("h", F.col("h").cast("array<smallint>")), found.where("bi > 9")):
+        one, two = (sorted(map(tuple, raster.gradient(of, form=f).collect())) for f in ("columns", "arrow"))
+        assert one == two and raster.gradient(of).dtypes == raster.gradient(of, form="arrow").dtypes
+        if of is found:
+            around = lambda i, j: [height.get(x) for x in ((i, j), (i, j - 1), (i, j + 1), (i + 1, j), (i - 1, j))]
+            want = [(i, j, a[0], a[1] - a[2], a[3] - a[4]) for i, j in height if None not in (a := around(i, j))]
+            assert one == sorted(want) and len(want) > 800
