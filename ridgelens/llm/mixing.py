@@ -20,7 +20,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     Sources in order of code points, null last, take `weights` in turn and share `share` of all sizes; no target passes
     `most` times its source's size, and what is over goes to the rest by weight until none is above.  A source is full
     exactly if it comes, by limit over weight, before the first source that can take its share of what is left; so one
-    ordered pass over the sources (one row each, however large the table) finds the fixed point.
+    ordered pass over the sources (one row each, however large the table) finds the fixed point.  The pass and the
+    numbering are windows over all sources, sorted in one task that spills: meant for some ten million sources at most.
     """
     one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -47,9 +48,11 @@ def mix(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", source:
     """One row for each row of docs: row (struct of its columns), size, source_size, target, taken (words).
 
     Every document gets floor(target / source_size) whole copies for certain.  The rest of its source's target is drawn
-    by Pareto order sampling: with f the fraction left, a document's inclusion odds are f / (1 - f) times the square
-    root of its size over the source's mean size (longer documents are likelier), its rank is u / (1 - u) over those odds, with u from md5 of seed
-    and id, and the lowest ranks are taken until the source's words reach its target.  The draw's size is fixed in
+    by Pareto order sampling: a document's inclusion odds are a level, one for each source, times the square root of its
+    size over the source's mean size (longer documents are likelier); the level is the one at which the words expected are
+    those wanted.  Its rank is u / (1 - u) over those odds, with u from md5 of seed and id, and the lowest ranks are taken
+    until the source's words reach its target.  The level scales all ranks of a source alike, so their order is known
+    without working it out, and how often a document is drawn follows the odds at that level (tested over many draws).  The draw's size is fixed in
     words, so the one document in which it ends gives only its first words: a source misses its target by less than a
     word.  whole: that document is taken whole or not at all, whichever comes nearer to the target (equally near: whole),
     so a source misses its target by half a document at most, and no text is cut.  No document is taken more than floor + 1 <= `most` times.
@@ -93,7 +96,7 @@ def _ranked(rows: DataFrame, named: DataFrame, seed: str) -> DataFrame:
     """rows with what is known of their source, and the rank and its bins."""
     r = rows.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source").join(named, ["s", "none"])
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("id", F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    # the source's own odds, the fraction left over the rest, are the same for all that compete, so the order needs only the document's
+    # the source's level is the same for all that compete, so the order needs only the document's share of the odds
     odds = F.sqrt(F.col("size").cast("double") * F.col("n") / F.col("source_size"))
     r = r.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / odds))
     v = F.col("q") / (1 + F.col("q")) * BINS

@@ -108,6 +108,26 @@ def test_mixing_prefers_long_documents_and_takes_whole_copies_first(spark):
     assert more(1000) > more(10) > 0
 
 
+def test_documents_are_drawn_as_often_as_their_odds_say(spark):
+    """300 sources of the same sizes are 300 draws: how often each size is taken follows the odds at the level that gives the words wanted."""
+    draws, sizes, share = 300, np.array([1 + (7 * k) % 40 + 60 * (k % 9 == 0) for k in range(60)]), 0.4
+    rows = [(s * 1000 + k, f"s{s}", int(n)) for s in range(draws) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n int").withColumn("text", F.repeat(F.lit("w "), F.col("n")))
+    got = mixing.mix(df, weights=(1,), share=share).select((F.col("row.doc_id") % 1000).alias("k"), "size", "taken", "target").collect()
+    assert {(r.size, round(r.target, 6)) for r in got} == {(int(n), round(share * sizes.sum(), 6)) for n in sizes}
+    often = np.zeros(len(sizes))
+    for r in got:
+        often[r.k] += r.taken / r.size / draws
+    weight, low, high = np.sqrt(sizes / sizes.mean()), 0.0, 1e6
+    for _ in range(100):  # the level, by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if (sizes * level * weight / (1 + level * weight)).sum() < share * sizes.sum() else (low, level)
+    odds = level * weight / (1 + level * weight)
+    assert np.abs(often - odds).max() < 0.12 and ((often - odds) ** 2 / (odds * (1 - odds) / draws)).mean() < 1.5
+    for third in np.array_split(np.argsort(sizes), 3):
+        assert abs((often - odds)[third].mean()) < 0.02
+
+
 def test_token_counts(spark):
     df, rows = tricky(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
