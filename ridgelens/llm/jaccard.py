@@ -348,15 +348,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     members = stage(join_hot(hits, groups.select("h", "lead", F.col("c").alias("size"), "words", "c"), ["h"], "c").withColumnRenamed("size", "c"), "members")
     clusters = stage(components(members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"))), "clusters")
     # compared whole are small clusters, and those that one key or another holds together; loose ones fall apart first
-    whole = members.select("id", "n").distinct().join(clusters, "id").groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
-    by_key = groups.join(clusters, groups["lead"] == clusters["id"]).groupBy("label").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+    clustered = stage(members.select("id", "n").distinct().join(clusters, "id"), "clustered")  # a row for each document, not for each of its keys
+    whole = clustered.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    led = groups.join(clusters, groups["lead"] == clusters["id"]).select("h", "c", "label")
+    by_key = led.groupBy("label").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
     plan = stage(whole.join(by_key, "label").withColumn("at_once", (F.col("c") <= BLOCK_DOCS) | (F.col("c").cast("double") * F.col("c") <= F.col("pairs"))), "plan")
-    placed = join_hot(members.join(clusters, "id"), plan.select("label", "at_once", F.col("c").alias("all_c"), F.col("words").alias("all_words"), "c"), ["label"], "c")
-    at_once = placed.where("at_once").select(F.col("label").alias("gid"), "id", "n", blocks_of(F.col("all_c"), F.col("all_words")).alias("parts")).distinct()
-    parted, spent = at_once, [several, hits, groups, members, clusters, plan]
+    at_once = join_hot(clustered, plan.where("at_once").select("label", F.col("c").alias("all_c"), "words", "c"), ["label"], "c").select(F.col("label").alias("gid"), "id", "n", blocks_of(F.col("all_c"), F.col("words")).alias("parts"))
+    parted, spent = at_once, [several, hits, groups, members, clusters, clustered, plan]
     if not plan.where(~F.col("at_once")).isEmpty():
-        found, kept = tightened(placed.where(~F.col("at_once")), sets)
-        parted, spent = at_once.unionByName(found), spent + kept
+        keys = stage(led.join(plan.where(~F.col("at_once")).select("label"), "label", "left_semi").select("h", F.col("c").alias("size")), "loose-keys")
+        keyed = stage(join_hot(members, keys, ["h"], "size"), "loose-members")
+        found, kept = tightened(keyed, sets)
+        parted, spent = at_once.unionByName(found), [*spent, keys, keyed, *kept]
     placed = stage(parted.withColumn("mine", mine), "placed")
 
     def sets_again(placed: DataFrame) -> DataFrame:

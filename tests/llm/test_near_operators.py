@@ -125,6 +125,23 @@ def test_large_and_loose_clusters(spark, monkeypatch, block):
     assert got == brute(rows, 5, 80)
 
 
+def test_clusters_meet_a_row_for_each_document(spark, monkeypatch):
+    """Not one for each key that it shares with others: those of loose clusters alone are looked at."""
+    rng, calls, inner = random.Random(8), [], jaccard.join_hot
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
+
+    def counted(many, few, on, *a):
+        if on == ["label"]:
+            calls.append([r.id for r in many.select("id").collect()])
+        return inner(many, few, on, *a)
+
+    monkeypatch.setattr(jaccard, "join_hot", counted)
+    rows = [r[:2] for k in range(4) for r in family(rng, " ".join(f"w{rng.randrange(3000)}" for _ in range(150)), 9, 100 * k)]
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == brute(rows, 5, 80)
+    assert calls and all(len(ids) == len(set(ids)) for ids in calls)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7), (500, 900), (900, 500), (None, 3)]
