@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ridgelens.llm.common import documents, stage
+from ridgelens.llm.common import LOWER, UPPER, documents, stage
 from ridgelens.llm.words import WordCache, Words, blocks
 
 LENGTH, END_ID = 2048, 1
+DOWN = str.maketrans(UPPER, LOWER)
 #: Token ids are hashed to BINS counts, projected to DIMS numbers, each cut to 2**BITS steps of the curve's grid.
 BINS, DIMS, BITS = 256, 4, 12
 #: Bytes of ids of a partition, up to so many partitions; with more, partitions grow up to MOST_BYTES before their number does.
@@ -26,8 +28,9 @@ class WordEncoder:
     """Token ids of texts by a tokenizers file that splits at blanks, each word encoded once and remembered.
 
     The file's pre-tokenizer keeps no blank and its normalizer acts on either side of one separately, so the ids of a
-    text are those of its words in turn; splits() checks this for a probe when the file is loaded, and a file for
-    which it does not hold is used on whole texts.
+    text are those of its words in turn; this is checked for a probe when the file is loaded, and a file for which it
+    does not hold is used on whole texts.  Words that differ only in the case of A-Z, or in a comma or full stop behind
+    a letter, share what is remembered, if probes show that the file lower-cases or splits there.
     """
 
     def __init__(self, path: str):
@@ -43,29 +46,34 @@ class WordEncoder:
         self.ends[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
         self.known = WordCache(self.kind)
         self.splits = self.ids(probe) == [i for w in probe.split() for i in self.ids(w)]
+        letters = [*UPPER, *LOWER, UPPER, LOWER, "Straße", "abC-Ab", "x2y", "İX", "O'S"]
+        self.lower = all(self.ids(w) == self.ids(w.translate(DOWN)) for w in letters)
+        self.stops = all(self.ids(w + s) == self.ids(w) + self.ids(s) for w in letters for s in ",.")
 
     def ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids  # encode() also places each token in the text
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words; those of letters and at most one mark behind are encoded together and cut at words' ends."""
-        marked = [len(w) > 1 and w[-1] in ",." for w in words]
-        plain = [(w[:-1] if m else w).isalpha() for w, m in zip(words, marked, strict=True)]
-        ids = np.array(self.ids(" ".join([w for w, p in zip(words, plain, strict=True) if p])), self.kind)
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has; words of letters are encoded together and cut at their ends."""
+        plain = np.array([w.isalpha() for w in words], bool)
+        ids = np.array(self.ids(" ".join([w for w, p in zip(words, plain.tolist(), strict=True) if p])), self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        steps = np.array([1 + m for m, p in zip(marked, plain, strict=True) if p], np.int64)
-        if len(ends) != steps.sum():  # a letter that the normalizer takes apart
-            return [np.array(x.ids, self.kind) for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        cuts = ends[np.cumsum(steps) - 1] if len(steps) else ends
-        whole = iter(np.split(ids, cuts[:-1]) if len(cuts) else [])
-        rest = iter(self.model.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(whole) if p else np.array(next(rest).ids, self.kind) for p in plain]
+        if len(ends) != plain.sum():  # a letter that the normalizer takes apart
+            plain, ids = np.zeros(len(words), bool), ids[:0]
+        rest = [x.ids for x in self.model.encode_batch_fast([w for w, p in zip(words, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        n = np.zeros(len(words), np.int64)
+        n[~plain] = [len(x) for x in rest]
+        if plain.any():
+            n[plain] = np.diff(np.append(ends[:-1], len(ids)), prepend=0)
+        out, whole = np.empty(n.sum(), self.kind), np.repeat(plain, n)
+        out[whole], out[~whole] = ids, np.fromiter(chain.from_iterable(rest), self.kind)
+        return out, n
 
     def rows(self, texts: pa.Array, end_id: int):
         """The ids of each text with end_id behind, block by block: all of them end to end, and the ends of the rows."""
         for i, j, data, at in blocks(texts):
             if self.splits:
-                w = Words(data, at)
+                w = Words(data, at, lower=self.lower, stops=self.stops)
                 flat, lengths = self.known(w, data, self._encode)
                 sums = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[w.row_at]
             else:

@@ -41,10 +41,10 @@ class PieceEncoder:
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def _each(self, words: list[str]) -> list[list[int]]:
-        """The ids of words as they are between blanks: encoded together, each starts with the blank before it."""
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words as they are between blanks, end to end, and how many each has: encoded together, each starts with the blank before it."""
         ids = np.array(self.ids(" ".join(words)), np.int32)
-        return np.split(ids, np.flatnonzero(self.opens[ids])[1:])
+        return ids, np.diff(np.concatenate([[0], np.flatnonzero(self.opens[ids])[1:], [len(ids)]]))
 
     def counts(self, texts: pa.Array, chunk: int, overlap: int) -> np.ndarray:
         """Tokens of each text.  Where all blanks are single and inner, each word is encoded once and remembered."""

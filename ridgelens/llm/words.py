@@ -20,6 +20,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Separators where only letters, digits and bytes above 127 count.
 _MARKS = np.ones(256, bool)
 _MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of a block of texts: a block's arrays are some fifty times its size, and workers keep freed memory.
@@ -67,10 +69,11 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.nd
 class Words:
     """The words of a block: byte starts and ends, a 64-bit hash of each, and the first word of each row.
 
-    lower: with A-Z lower-cased.  bare: ASCII marks also end words.  blank: only spaces end them.
+    lower: with A-Z lower-cased.  bare: ASCII marks also end words.  blank: only spaces end them.  stops: a comma or full
+    stop at the end of a word, behind an ASCII letter, is a word of its own.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, bare: bool = False, blank: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, bare: bool = False, blank: bool = False, stops: bool = False):
         n = len(data)
         word = data != 32 if blank else ~(_MARKS if bare else _SPACE)[data]
         first, last = word.copy(), word.copy()
@@ -81,6 +84,10 @@ class Words:
             inner = inner[(inner > 0) & (inner < n)]
             first[inner] = word[inner]
             last[inner - 1] = word[inner - 1]
+            if stops:
+                cut = np.flatnonzero(last & ~first & ((data == 44) | (data == 46)))
+                cut = cut[_LETTER[data[cut - 1]]]
+                first[cut], last[cut - 1] = True, True
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row_at = np.searchsorted(self.starts, at)
         data = _LOWER[data] if lower else data
@@ -111,7 +118,7 @@ class WordCache:
         self.flat, self.used = np.zeros(room, kind), 0
 
     def __call__(self, w: Words, data: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words of a block, end to end, and how many each has.  encode: words to arrays of ids."""
+        """The ids of all words of a block, end to end, and how many each has.  encode: the same of a list of words."""
         slot = (w.hashes & self.mask).astype(np.int64)
         known = self.keys[slot] == w.hashes
         starts, lengths = self.starts[slot], self.lengths[slot]
@@ -119,16 +126,15 @@ class WordCache:
         if len(lost):
             hashes, first, back = np.unique(w.hashes[lost], return_index=True, return_inverse=True)
             raw, at = data.tobytes(), lost[first]
-            ids = encode([raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
-            n = np.array([len(x) for x in ids], np.int64)
-            more = int(n.sum())
+            ids, n = encode([raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            more = len(ids)
             if self.used + more > len(self.flat):
                 if known.any():  # full: forget all, and encode this block's words anew
                     self.keys[:] = 0
                     self.used = 0
                     return self(w, data, encode)
                 self.flat, self.used = np.zeros(max(len(self.flat), 2 * more), self.flat.dtype), 0
-            self.flat[self.used : self.used + more] = np.concatenate(ids) if more else 0
+            self.flat[self.used : self.used + more] = ids
             begin = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
             self.used += more
             own = (hashes & self.mask).astype(np.int64)

@@ -176,6 +176,16 @@ def test_packing(spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_words_that_differ_in_case_or_a_stop_are_encoded_once(monkeypatch):
+    enc, seen = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    inner = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda words: seen.extend(words) or inner(words))
+    texts = ["Quorvil, QUORVIL. quorvil Quorvil", "A, b. ,. c,. É, 'S, it's. x.. 3, a,b. ÉA, e.\u0301 AΣ, aΣA. \u212aa, \u0130x.", "$a, a$. <|endoftext|>, ٣a.", "a,", ".", "", None]
+    got = [x.tolist() for ids, ends in enc.rows(pa.array(texts, pa.string()), 1) for x in np.split(ids, ends)[:-1]]
+    assert got == [enc.model.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert sum(w.lower().startswith("quorvil") for w in seen) == 1
+
+
 def test_hilbert_curve_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
