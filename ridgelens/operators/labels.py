@@ -103,24 +103,29 @@ def _least(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return out
 
 
-def settle(slot: np.ndarray, order: np.ndarray, near: float, known: np.ndarray) -> np.ndarray:
+def settle(slot: np.ndarray, order: np.ndarray, near: float, known: np.ndarray, view: np.ndarray | None = None, place: np.ndarray | None = None) -> np.ndarray:
     """1 (shown), -1 (left out) or 0 (open) for labels sorted by slot; order: their ranks, no two equal.
 
+    view: labels of many views at once, sorted by view and slot; only those of one view meet.  place: about where a label
+    stands in all, ascending, slots of one view as far apart as they are (left out: the slot); it only shortens the search.
+
     In a round, a label that comes before all open ones nearer than `near` shows, and those near it go; rounds go on
     until nothing changes.  A label's fate is that of one pass in order of rank, since it hangs only on labels of earlier
     rank near it.  known: all labels near it are here; others can only go, so what hangs on labels elsewhere stays open.
     """
     out, at = np.zeros(len(slot), np.int8), np.arange(len(slot))
+    view, place = np.zeros(len(slot), np.int8) if view is None else view, slot if place is None else place
     while len(at):
-        s, r = slot[at], order[at]
-        left, right = np.searchsorted(s, s - near), np.searchsorted(s, s + near, "right") - 1
+        s, r, v, p, own = slot[at], order[at], view[at], place[at], np.arange(len(at))
+        first, last = np.searchsorted(v, v), np.searchsorted(v, v, "right") - 1
+        left, right = np.clip(np.searchsorted(p, p - near), first, own), np.clip(np.searchsorted(p, p + near, "right") - 1, own, last)
         while (x := s - s[left] >= near).any():  # the difference itself decides, not rounded bounds
             left[x] += 1
-        while (x := (left > 0) & (s - s[left - 1] < near)).any():
+        while (x := (left > first) & (s - s[left - 1] < near)).any():
             left[x] -= 1
         while (x := s[right] - s >= near).any():
             right[x] -= 1
-        while (x := (right + 1 < len(s)) & (s[np.minimum(right + 1, len(s) - 1)] - s < near)).any():
+        while (x := (right < last) & (s[np.minimum(right + 1, len(s) - 1)] - s < near)).any():
             right[x] += 1
         leads = known[at] & (_least(r, left, right) == r)
         if not leads.any():
@@ -145,13 +150,16 @@ def _settled(d: DataFrame, keys: tuple[str, ...], nth: str, near: float) -> Data
     schema, names = StructType([*d.schema, StructField("shown", BooleanType())]), d.columns
 
     def decide(t: pa.Table) -> list[pa.RecordBatch]:
-        slot, seg = t.column("slot").to_numpy(), int(t.column("__seg")[0].as_py())
+        """Whole segments of views, all of them at once."""
+        slot, seg, view = t.column("slot").to_numpy(), t.column("__seg").to_numpy(), t.column("__view").to_numpy()
         out, real = np.ones(len(slot), np.int8), np.flatnonzero(slot == slot)
-        s, rank = slot[real], t.column(nth).to_numpy()[real]
+        s, rank, own = slot[real], t.column(nth).to_numpy()[real], seg[real]
+        run = np.cumsum(np.concatenate([[0], view[1:] != view[:-1]]))[real]
+        place = run * 2 * (width + 2 * halo) + np.clip(s - own * width, -halo, width + halo)
         order = np.empty(len(real), np.int64)
         order[np.argsort(rank, kind="stable")] = np.arange(len(real))
         inner = near * (1 + 1e-6)
-        out[real] = settle(s, order, near, (s - (seg * width - halo) > inner) & ((seg + 1) * width + halo - s > inner))
+        out[real] = settle(s, order, near, (s - (own * width - halo) > inner) & ((own + 1) * width + halo - s > inner), run, place)
         mine = t.column("__own").to_numpy() == seg
         kept = t.filter(pa.array(mine)).select(names).append_column("shown", pa.array(out[mine] == 1, mask=out[mine] == 0))
         return kept.combine_chunks().to_batches()
@@ -162,15 +170,11 @@ def _settled(d: DataFrame, keys: tuple[str, ...], nth: str, near: float) -> Data
             if not b.num_rows:
                 continue
             view = b.column("__view").to_numpy()
-            cuts = [0, *(np.flatnonzero(view[1:] != view[:-1]) + 1).tolist(), len(view)]
-            if held and held[-1].column("__view")[-1].as_py() != view[0]:
-                yield from decide(pa.Table.from_batches(held))
+            cut = int(np.searchsorted(view, view[-1]))  # where the last segment begins, which may go on
+            if cut or held and held[-1].column("__view")[-1].as_py() != view[0]:
+                yield from decide(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                held.append(b.slice(i, j - i))
-                if j < len(view):
-                    yield from decide(pa.Table.from_batches(held))
-                    held = []
+            held.append(b.slice(cut))
         if held:
             yield from decide(pa.Table.from_batches(held))
 

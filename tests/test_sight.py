@@ -123,6 +123,18 @@ def test_settled_labels_are_those_of_the_fold():
         assert ((cut == 0) | (cut == got)).all()
 
 
+def test_views_are_settled_together():
+    """Labels of many views in one call: each as alone, also where rounding puts places off."""
+    rng, near = np.random.default_rng(9), 0.07
+    each = [np.sort(np.round(rng.uniform(-far, far, n), 2)) for n, far in ((1, 1.0), (60, 1.0), (400, 3.0), (30, 1e5), (60, 1.0))]
+    order, view = rng.permutation(sum(map(len, each))), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    known = rng.uniform(size=len(order)) < 0.9
+    alone = [labels.settle(x, order[view == k], near, known[view == k]) for k, x in enumerate(each)]
+    for off in (0.0, 0.5):
+        place = np.sort(np.concatenate(each) + view * 1e6 + rng.uniform(-off, off, len(order)))
+        assert (labels.settle(np.concatenate(each), order, near, known, view, place) == np.concatenate(alone)).all()
+
+
 def test_a_view_of_many_labels(spark):
     """Segments in many tasks, chains that leave their surroundings, and labels without a slot."""
     rng = np.random.default_rng(5)
