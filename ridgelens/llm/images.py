@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgelens.llm.common import join_hot, stage
 from ridgelens.llm.components import components
+from ridgelens.llm.words import U64, mix
 
 #: A corner leads its surroundings of this radius; sizes of the scales in eighths; binary tests; radius of a patch.
 SPREAD, SCALES, TESTS, RADIUS = 4, (8, 7, 6, 5, 4), 128, 12
@@ -23,6 +24,8 @@ TABLES, NEAR, AGREE = 4, 20, 4
 CROWD, BLOCK = 16, 512
 #: An entry of more than one in HOT of all corners, and more than LEAST, is dealt over tasks by LEAST corners.
 HOT, LEAST = 1024, 4096
+#: Exponents of the least and most slots in which matches of pairs of images are counted, in PARTS parts; meetings for a slot.
+LEAST_SLOTS, MOST_SLOTS, PARTS, MEETINGS = 16, 24, 256, 16
 #: Angles that a patch may have; pixels of a step of the geometry.
 TURNS, STEP = 32, 6
 #: A corner: place in quarters of a pixel, scale, turn, and the words of its descriptor.
@@ -227,6 +230,29 @@ def _agree(rows: np.ndarray) -> np.ndarray:
     return rows[at[np.unique(np.concatenate(found))], :2]
 
 
+def _slots(pairs: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each pair of images (a, b)."""
+    h = mix(mix(pairs[:, 0].astype(U64)) + pairs[:, 1].astype(U64))
+    return (h & U64(slots - 1)).astype(np.int64)
+
+
+def _tallied(matches, slots: int):
+    """How many of a task's matches fall into each slot, AGREE at most: rows of a part's number and its packed counts."""
+    counts = np.zeros(slots, np.uint8)
+    for pairs in matches:
+        at, n = np.unique(_slots(pairs, slots), return_counts=True)
+        counts[at] = np.minimum(counts[at] + n, AGREE)
+    parts = counts.reshape(PARTS, -1)
+    used = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in used], pa.binary())], names=["part", "n"])
+
+
+def _often(table: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether each pair's slot holds AGREE matches; table: a bit for each slot."""
+    at = _slots(pairs, table.size * 8)
+    return (table.ravel()[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _table(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T.reshape(len(names), -1)], names=names)
 
@@ -243,8 +269,11 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
        than one in HOT of all corners, found by partial counts, are dealt over tasks, their leader repeated.
     2. The links found so far give components.  In crowded entries with images of several components, all corners of
        different ones meet too, in blocks of bounded size, so no link between components is lost; inside a component
-       none is needed.  A family of very many copies is linear work; only a motif that fewer than AGREE corners
-       describe, in very many unrelated images, costs the square of their number, in comparisons.
+       none is needed.  They meet twice: first the matches of each pair of images are only counted, with those of step 1,
+       in a table of fixed size that pairs share by a hash (a bit for each slot reaches the driver, 2 MB at most); then
+       matches of pairs with AGREE or more are returned.  No other pair can link, so none is lost, and what chance
+       brings together is never written.  A family of very many copies is linear work; only a motif that fewer than
+       AGREE corners describe, in very many unrelated images, costs the square of their number, in comparisons.
 
     Null or broken images (no pixels, sizes that do not fit or are not positive) and images without corners link only
     with equal bytes (null: with nothing).  Null ids: returned with a null group.  Rows with equal ids are one image with
@@ -372,9 +401,9 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
     if not several.isEmpty():
         rows = join_hot(crowd, several, ["entry"], "c").withColumn("mine", F.pmod(F.xxhash64("id", "geo"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         fields = ["entry", "i", "j", "side", "id", "geo", "b1", "b2", "label"]
-        rows = rows.select("entry", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "geo", "b1", "b2", "label")
+        rows = stage(rows.select("entry", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "id", "geo", "b1", "b2", "label"), "crowd-blocks")
 
-        def across(batches):
+        def matches(batches):
             """Matches between images of different components, block against block."""
             held = np.zeros((0, len(fields)), np.int64)
 
@@ -386,7 +415,7 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
                     left, right = (np.flatnonzero(own[:, 3] == own[0, k]) for k in (1, 2))
                     i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
                     ok = (own[i, 8] != own[j, 8]) & ((i < j) | (own[0, 1] != own[0, 2]))
-                    yield _table(_near(own[:, [0, 3, 4, 5, 6, 7]], i[ok], j[ok]), ["a", "b", "ga", "gb"])
+                    yield _near(own[:, [0, 3, 4, 5, 6, 7]], i[ok], j[ok])
 
             for b in batches:
                 if b.num_rows:
@@ -396,7 +425,38 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
                     yield from answer(r[:last])
             yield from answer(held)
 
-        more = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").select(*fields).mapInArrow(across, "a bigint, b bigint, ga bigint, gb bigint")
+        dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").select(*fields)
+        meetings = several.agg(F.sum(F.col("c").cast("double") * F.col("c") / 2)).first()[0]
+        slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, int(meetings / MEETINGS).bit_length()))
+
+        def tally(batches):
+            yield from _tallied(matches(batches), slots)
+
+        def tally_votes(batches):
+            yield from _tallied((_read(b, ["a", "b"]) for b in batches), slots)
+
+        def add_up(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for part, raw in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), strict=True):
+                    n = np.frombuffer(zlib.decompress(raw), np.uint8)
+                    sums[part] = np.minimum(sums.get(part, 0) + n, AGREE).astype(np.uint8)  # both AGREE at most
+            parts = sorted(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.packbits(sums[k] >= AGREE).tobytes() for k in parts], pa.binary())], names=["part", "n"])
+
+        told = dealt.mapInArrow(tally, "part int, n binary").unionByName(votes.select("a", "b").mapInArrow(tally_votes, "part int, n binary"))
+        table = np.zeros((PARTS, slots // PARTS // 8), np.uint8)
+        for part, raw in told.repartition("part").mapInArrow(add_up, "part int, n binary").collect():  # a bit for each slot
+            table[part] = np.frombuffer(raw, np.uint8)
+        often = spark.sparkContext.broadcast(table)
+
+        def across(batches):
+            for near in matches(batches):
+                near = near[_often(often.value, near)]
+                if len(near):
+                    yield _table(near, ["a", "b", "ga", "gb"])
+
+        more = dealt.mapInArrow(across, "a bigint, b bigint, ga bigint, gb bigint")
         labels = components(links.unionByName(linked(votes.unionByName(more))))
     groups = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("sha", F.coalesce("label", "rep").alias("copy_group"))
     out = described.select("id", "sha", F.floor(F.length("corners") / CORNER.itemsize).cast("long").alias("n_corners")).join(groups, "sha", "left")
