@@ -24,8 +24,8 @@ TABLES, NEAR, AGREE = 4, 20, 4
 CROWD, BLOCK = 16, 512
 #: An entry of more than one in HOT of all corners, and more than LEAST, is dealt over tasks by LEAST corners.
 HOT, LEAST = 1024, 4096
-#: Exponents of the least and most slots in which matches of pairs of images are counted, in PARTS parts; meetings for a slot.
-LEAST_SLOTS, MOST_SLOTS, PARTS, MEETINGS = 16, 24, 256, 16
+#: Exponents of the least and most slots in which matches of pairs of images are counted, in PARTS parts; slots for a match.
+LEAST_SLOTS, MOST_SLOTS, PARTS, ROOM = 16, 25, 256, 8
 #: Angles that a patch may have; pixels of a step of the geometry.
 TURNS, STEP = 32, 6
 #: A corner: place in quarters of a pixel, scale, turn, and the words of its descriptor.
@@ -270,7 +270,7 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
     2. The links found so far give components.  In crowded entries with images of several components, all corners of
        different ones meet too, in blocks of bounded size, so no link between components is lost; inside a component
        none is needed.  They meet twice: first the matches of each pair of images are only counted, with those of step 1,
-       in a table of fixed size that pairs share by a hash (a bit for each slot reaches the driver, 2 MB at most); then
+       in a table of fixed size that pairs share by a hash (a bit for each slot reaches the driver, 4 MB at most); then
        matches of pairs with AGREE or more are returned.  No other pair can link, so none is lost, and what chance
        brings together is never written.  A family of very many copies is linear work; only a motif that fewer than
        AGREE corners describe, in very many unrelated images, costs the square of their number, in comparisons.
@@ -427,7 +427,7 @@ def find_copies(media: DataFrame, *, id_col: str = "media_id", pixels: str = "pi
 
         dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").select(*fields)
         meetings = several.agg(F.sum(F.col("c").cast("double") * F.col("c") / 2)).first()[0]
-        slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, int(meetings / MEETINGS).bit_length()))
+        slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, int(max(meetings, ROOM * votes.count())).bit_length()))  # pairs that link fill slots too
 
         def tally(batches):
             yield from _tallied(matches(batches), slots)
