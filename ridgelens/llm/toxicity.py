@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     """
     third = F.crc32(F.col("id").cast("binary")) % 3
     known = labels.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    known = stage(known.where(third != 1), "labelled")  # several steps read it, each in a few tasks
     pick = None
     for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         part = known.where((F.col("y") == y) & (third == 0)).orderBy(F.xxhash64("id"), "id").limit(most)

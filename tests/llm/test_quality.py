@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ridgelens.llm import quality
+from ridgelens.llm import quality, toxicity
 from ridgelens.llm.words import Words, blocks
 from tests.llm.cases import DATA, empty, tricky
 
@@ -91,3 +91,18 @@ def test_repeated_words(rows):
 
 def test_bands():
     assert quality.outside(np.array([0.1, 0.5, 1.0, 0.1]), np.array([300, 300, 300, 100])).tolist() == [-1, 0, 1, 0]
+
+
+def test_labels_are_read_once(spark):
+    """Every step behind them starts from the distinct ids, not from the table of labels."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(k, f"word{k % 7} {'vile' if k % 3 == 0 else 'fine'} text", "en") for k in range(200)], "doc_id bigint, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic").mapInArrow(counted, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert read.value == 200 and 0 < model.threshold < 1
