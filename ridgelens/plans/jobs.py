@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ridgelens.functions.grid import landmark_pixel, viewer_pixel, window_range
 from ridgelens.operators import labels, raster, sight
+from ridgelens.sources import sinks
 from ridgelens.streaming import pose
 
 
@@ -60,7 +61,7 @@ def panorama_labels(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFra
 
 
 def seen_from(viewpoints: DataFrame, landmarks: DataFrame, blocks: DataFrame, *, size: int) -> DataFrame:
-    """Visible, ranked landmarks of viewpoints that stay where they are, for device_labels()."""
+    """Visible, ranked landmarks of viewpoints that stay where they are, for device_labels() and view_labels()."""
     pairs = sight.visible_landmarks(pairs_in_view(viewpoints, landmarks, size, "web", blocks), blocks)
     return labels.ranked(pairs, labels.prominence())
 
@@ -71,17 +72,59 @@ def device_labels(samples: DataFrame, seen: DataFrame, *, aspect: float = 4 / 3)
     seen: what seen_from() gives, with the device_id of each viewpoint.  (vp_id, device_id, ts, event_id, poi_id, text, nth,
     u, v, sx, sy, shown); each sample is a view of its own.
     """
-    keys = ("vp_id", "device_id", "ts", "event_id")
-    turned = samples.select("device_id", "ts", "event_id", *pose.ANGLES).join(seen, "device_id")
+    return _drawn(samples.select("device_id", "ts", "event_id", *pose.ANGLES).join(seen, "device_id"), ("vp_id", "device_id", "ts", "event_id"), aspect)
+
+
+def _drawn(turned: DataFrame, keys: tuple[str, ...], aspect: float) -> DataFrame:
+    """Labels of views, told apart by keys, whose landmarks have the view's angles."""
     out = labels.on_screen(labels.thin(labels.project(turned), keys=keys), F.lit(aspect))
     return out.select(*keys, "poi_id", labels.label_text(F.col("name"), F.col("elevation")).alias("text"), "nth", "u", "v", "sx", "sy", "shown")
 
 
+def with_view(samples: DataFrame, stand: Column) -> DataFrame:
+    """samples with the viewpoint (vp_id) where their device stands, and view: the viewpoint and the angles, told apart to the last bit.
+
+    Samples of one view have the same labels.
+    """
+    angles = [F.coalesce(F.col(a).cast("string"), F.lit("null")) for a in pose.ANGLES]
+    return samples.withColumn("vp_id", stand).withColumn("view", F.concat_ws(" ", F.col("vp_id").cast("string"), *angles))
+
+
+def view_labels(samples: DataFrame, seen: DataFrame, *, aspect: float = 4 / 3) -> DataFrame:
+    """Projected and thinned labels of each view of samples (view, vp_id, ANGLES), once however many samples have it.
+
+    seen: what seen_from() gives.  (view, poi_id, text, nth, u, v, sx, sy, shown); labels_of() brings them to the samples.
+    """
+    views = samples.where("vp_id is not null").groupBy("view", "vp_id").agg(*[F.first(a).alias(a) for a in pose.ANGLES])
+    return _drawn(views.join(seen, "vp_id"), ("view",), aspect)
+
+
+def labels_of(samples: DataFrame, found: DataFrame) -> DataFrame:
+    """(event_id, poi_id, text, nth, u, v, sx, sy, shown): the labels of each sample (event_id, view), from those of its view in its batch."""
+    return samples.select("event_id", "view", sinks.BATCH).join(found, [sinks.BATCH, "view"]).select("event_id", "poi_id", "text", "nth", "u", "v", "sx", "sy", "shown")
+
+
 def relabel(samples: DataFrame, seen: DataFrame, sink: Callable[[DataFrame, int], None], *, aspect: float = 4 / 3) -> DataStreamWriter:
     """A stream writer that hands sink the device_labels() of each sample of a stream that changes its device's pose."""
     return pose.changes_stream(samples).writeStream.foreachBatch(lambda changed, n: sink(device_labels(changed, seen, aspect=aspect), n))
 
 
+def relabel_views(samples: DataFrame, seen: DataFrame, stand: Column, looks: str, found: str, *, aspect: float = 4 / 3) -> DataStreamWriter:
+    """relabel() where labels are kept once for each view of a batch: what is written grows with samples and views, not with the labels of each sample.
+
+    stand: the vp_id where a sample's device stands.  Batches of samples that change their device's pose go below looks,
+    as with_view() gives them, the labels of their views below found; labels_of() puts both together.
+    """
+
+    def sink(changed: DataFrame, n: int) -> None:
+        posed = with_view(changed, stand)
+        sinks.write_batch(posed, looks, n)
+        held = sinks.read_batches(posed.sparkSession, looks, pose.ORIENTATION + ", vp_id bigint, view string", n)  # else the state's work is done again
+        sinks.write_labels(view_labels(held, seen, aspect=aspect), found, n)
+
+    return pose.changes_stream(samples).writeStream.foreachBatch(sink)
+
+
 def relief_map(viewpoints: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """(vp_id, px, py, grey): each viewpoint's window, shaded and drawn at half size, py counted from the south.
 

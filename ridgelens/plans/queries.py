@@ -333,20 +333,20 @@ def pose_stream(fx):
 def labels_stream(fx):
     """Orientation files as a stream: labels of each sample that changes its device's pose, written batch by batch and read again.
 
-    A device stands at the viewpoint of its id modulo VIEWERS; a sample is a view of its own.
+    A device stands at the viewpoint of its id modulo VIEWERS.  Samples are written with their view, a viewpoint and a
+    pose; its labels are written once for each batch, and meet its samples when they are read.
     """
     samples = fx("orientation").withColumn("ts", F.col("ts").cast("timestamp"))
     spark = samples.sparkSession
-    source, views, out = scratch(spark, "samples"), scratch(spark, "visible"), scratch(spark, "labels")
+    source, views, looks, found = (scratch(spark, name) for name in ("samples", "visible", "looks", "labels"))
     samples.write.parquet(source)
-    at = samples.select("device_id").distinct().withColumn("vp_id", F.col("device_id") % VIEWERS)
-    seen = jobs.seen_from(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=VIEW).join(at, "vp_id")
+    seen = jobs.seen_from(fx("vp"), jobs.clean_landmarks(fx("poi")), blocks(fx), size=VIEW)
     sinks.write_visible(seen, views)  # once, for all batches
     seen = sinks.read_batches(spark, views, _schema(seen))
-    stream = jobs.relabel(pose.read_stream(spark, source), seen, lambda rows, n: sinks.write_labels(rows, out, n), aspect=ASPECT)
+    stream = jobs.relabel_views(pose.read_stream(spark, source), seen, F.col("device_id") % VIEWERS, looks, found, aspect=ASPECT)
     stream.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    held = sinks.read_batches(spark, out, "event_id bigint, poi_id bigint, text string, nth int, u double, v double, sx double, sy double, shown boolean")
-    return _rounded(held, "u", "v", "sx", "sy")
+    held = sinks.read_batches(spark, found, "view string, poi_id bigint, text string, nth int, u double, v double, sx double, sy double, shown boolean", numbered=True)
+    return jobs.labels_of(sinks.read_batches(spark, looks, "event_id bigint, view string", numbered=True), _rounded(held, "u", "v", "sx", "sy"))
 
 
 @query

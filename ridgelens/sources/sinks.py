@@ -35,9 +35,13 @@ def batch_sink(path: str, by: tuple[str, ...] = ()) -> Callable[[DataFrame, int]
     return sink
 
 
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What batches have written, without the batch's number; schema: of the rows, so that no file is opened to learn it."""
-    return spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path).drop(BATCH)
+def read_batches(spark: SparkSession, path: str, schema: str, batch: int | None = None, *, numbered: bool = False) -> DataFrame:
+    """What batches have written; schema: of the rows, so that no file is opened to learn it.
+
+    batch: that one alone; else all.  numbered: with the batch's number.
+    """
+    rows = spark.read.schema(f"{schema}, {BATCH} bigint").option("basePath", path).parquet(path if batch is None else f"{path}/{BATCH}={batch}")
+    return rows if numbered else rows.drop(BATCH)
 
 
 def write_visible(pairs: DataFrame, path: str, batch: int = 0) -> None:

@@ -1,12 +1,14 @@
 """Streams give what the batch forms give."""
 
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ridgelens.operators import raster, sight
 from ridgelens.plans import jobs
 from ridgelens.plans.fixtures import fixture
+from ridgelens.plans.queries import QUERIES
 from ridgelens.sources import sinks
 from ridgelens.streaming import pose
 
@@ -142,3 +144,41 @@ def test_relabel(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda rows: sorted((r.event_id, r.poi_id, r.text, r.nth, round(r.u, 9), round(r.v, 9), r.shown) for r in rows)
     assert key(got) == key(jobs.device_labels(pose.changes(batch), seen).collect()) and got
+
+
+def views_again(spark, stream, seen, tmp_path):
+    """What relabel_views() leaves: samples with their views, labels of the views."""
+    looks, found = str(tmp_path / "looks"), str(tmp_path / "found")
+    q = jobs.relabel_views(stream, seen, F.col("device_id") % 7, looks, found).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    held = "view string, poi_id bigint, text string, nth int, u double, v double, sx double, sy double, shown boolean"
+    return sinks.read_batches(spark, looks, "event_id bigint, view string", numbered=True), sinks.read_batches(spark, found, held, numbered=True)
+
+
+def test_relabel_views(spark, tmp_path):
+    """Labels kept once for each view of a batch are those of each sample; views that differ in a sign or a null are two."""
+    batch, _ = samples(spark, tmp_path)
+    odd = spark.createDataFrame([(10**6 + i, 700 + i % 7, a, b, c, 0.0) for i in range(28) for a, b, c in [((0.0, 90.0, 0.0), (0.0, 90.0, None), (-0.0, 90.0, 0.0), (30.5, 75.0, -0.0))[i // 7]]], "event_id bigint, device_id bigint, alpha double, beta double, gamma double, screen double")
+    odd.withColumn("ts", F.timestamp_seconds(F.lit(2 * 10**9) + F.col("event_id"))).select(*batch.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+    stream, batch = pose.read_stream(spark, str(tmp_path / "o"), maxFilesPerTrigger="1"), spark.read.schema(pose.ORIENTATION).parquet(str(tmp_path / "o"))
+    blocks, poi = raster.to_blocks(fixture(spark, DATA, "fx_dem")), jobs.clean_landmarks(fixture(spark, DATA, "fx_poi"))
+    seen = jobs.seen_from(fixture(spark, DATA, "fx_vp").where("vp_id < 4"), poi, blocks, size=64).cache()
+    each, found = views_again(spark, stream, seen, tmp_path)
+    key = lambda rows: sorted((r.event_id, r.poi_id, r.text, r.nth, repr(r.u), repr(r.v), repr(r.sx), repr(r.sy), r.shown) for r in rows)
+    at = batch.select("device_id").distinct().withColumn("vp_id", F.col("device_id") % 7)
+    changed = each.join(batch, "event_id")
+    assert each.count() == pose.changes(batch).count() and each.select(sinks.BATCH).distinct().count() > 1
+    want = jobs.device_labels(changed, seen.join(at, "vp_id")).collect()
+    assert key(jobs.labels_of(each, found).collect()) == key(want) and want
+    assert found.count() == found.select(sinks.BATCH, "view", "poi_id").distinct().count() < len(want) / 2
+    views = [r.view for r in each.where("event_id >= 1000000").select("view").distinct().collect()]
+    assert len(views) == 28  # four poses at each of seven places
+
+
+def test_labels_of_a_stream_are_not_written_for_each_sample(spark):
+    """What labels_stream leaves on disk are samples and labels of views, fewer rows than it returns."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*"))
+    rows = QUERIES["labels_stream"](spark, DATA).count()
+    kept = [spark.read.parquet(str(p)).count() for p in set(shared.glob("*")) - before if not p.name.startswith("stream-")]
+    assert rows and kept and sum(kept) < rows / 2
