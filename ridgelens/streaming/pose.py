@@ -45,6 +45,8 @@ def changes(samples: DataFrame) -> DataFrame:
 #: Where state of transformWithState is kept.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LAST = "at bigint, event_id bigint, " + ", ".join(f"{a} double" for a in ANGLES)
+#: A sample's time goes to a processor in microseconds, as a frame of times is slow to make for each device; a null time as NEVER.
+TIMED, NEVER = ORIENTATION.replace("ts timestamp", "at bigint"), -(2**63)
 
 
 def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, idle: int | None, initial: DataFrame | None) -> DataFrame:
@@ -68,20 +70,23 @@ class _Changes(StatefulProcessor):
         self.last.update((int(r.ts.value // 1000), int(r.event_id), *(None if pd.isna(r[a]) else float(r[a]) for a in ANGLES)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        r = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        at = r.ts.to_numpy("datetime64[us]").astype(np.int64)
+        parts = list(rows)
+        r = parts[0] if len(parts) == 1 else pd.concat(parts)
+        at, ids = r["at"].to_numpy(), r["event_id"].to_numpy()
+        order = np.lexsort((ids, at, at == NEVER))
+        at, ids = at[order], ids[order]
         before = self.last.get() if self.last.exists() else None
         if before is not None:  # what is not newer than the last sample is late
-            new = (at > before[0]) | ((at == before[0]) & (r.event_id.to_numpy() > before[1]))
-            r, at = r[new], at[new]
-        if not len(r):
+            new = (at > before[0]) | ((at == before[0]) & (ids > before[1]))
+            order, at, ids = order[new], at[new], ids[new]
+        if not len(order):
             return
-        now = r[ANGLES].to_numpy(float)
+        now = r[ANGLES].to_numpy(float)[order]
         was = np.vstack([np.full((1, len(ANGLES)), np.nan) if before is None else np.array([before[2:]], float), now[:-1]])
         differs = ((now != was) & ~(np.isnan(now) & np.isnan(was))).any(1)
         differs[0] |= before is None
-        self.last.update((int(at[-1]), int(r.event_id.iloc[-1]), *(None if np.isnan(x) else float(x) for x in now[-1])))
-        yield r[differs]
+        self.last.update((int(at[-1]), int(ids[-1]), *(None if np.isnan(x) else float(x) for x in now[-1])))
+        yield r.iloc[order[differs]]
 
     def close(self) -> None:
         pass
@@ -94,8 +99,10 @@ def changes_stream(samples: DataFrame, *, idle: int | None = None, initial: Data
     such a stream looks for what is idle in batch after batch, so it does not end by itself when its input does.
     initial: a table of samples (event_id, device_id, ts, ANGLES) to start from, the last of each device counts; these are not emitted.
     """
-    columns = ["event_id", "device_id", "ts", *ANGLES]
-    return _stateful(samples.select(*columns), _Changes(idle), ORIENTATION, idle, initial.select(*columns) if initial is not None else None)
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at")
+    first = initial.select("event_id", "device_id", "ts", *ANGLES) if initial is not None else None
+    changed = _stateful(samples.select("event_id", "device_id", at, *ANGLES), _Changes(idle), TIMED, idle, first)
+    return changed.select("event_id", "device_id", F.when(F.col("at") != NEVER, F.timestamp_micros("at")).alias("ts"), *ANGLES)
 
 
 POSES = "device_id bigint, seq bigint, alpha double, beta double"
