@@ -76,9 +76,10 @@ def device_labels(samples: DataFrame, seen: DataFrame, *, aspect: float = 4 / 3)
 
 
 def _drawn(turned: DataFrame, keys: tuple[str, ...], aspect: float) -> DataFrame:
-    """Labels of views, told apart by keys, whose landmarks have the view's angles."""
-    out = labels.on_screen(labels.thin(labels.project(turned), keys=keys), F.lit(aspect))
-    return out.select(*keys, "poi_id", labels.label_text(F.col("name"), F.col("elevation")).alias("text"), "nth", "u", "v", "sx", "sy", "shown")
+    """Labels of views, told apart by keys, whose landmarks have the view's angles; only what is returned goes through the thinning."""
+    text = labels.label_text(F.col("name"), F.col("elevation")).alias("text")
+    placed = labels.project(turned).select(*keys, "poi_id", text, "nth", "u", "v", "inclination")
+    return labels.on_screen(labels.thin(placed, keys=keys), F.lit(aspect)).select(*keys, "poi_id", "text", "nth", "u", "v", "sx", "sy", "shown")
 
 
 def with_view(samples: DataFrame, stand: Column) -> DataFrame:

@@ -157,9 +157,12 @@ def views_again(spark, stream, seen, tmp_path):
 
 def test_relabel_views(spark, tmp_path):
     """Labels kept once for each view of a batch are those of each sample; views that differ in a sign or a null are two."""
-    batch, _ = samples(spark, tmp_path)
+    batch = fixture(spark, DATA, "fx_orientation").withColumn("ts", F.col("ts").cast("timestamp"))
     odd = spark.createDataFrame([(10**6 + i, 700 + i % 7, a, b, c, 0.0) for i in range(28) for a, b, c in [((0.0, 90.0, 0.0), (0.0, 90.0, None), (-0.0, 90.0, 0.0), (30.5, 75.0, -0.0))[i // 7]]], "event_id bigint, device_id bigint, alpha double, beta double, gamma double, screen double")
-    odd.withColumn("ts", F.timestamp_seconds(F.lit(2 * 10**9) + F.col("event_id"))).select(*batch.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+    odd = odd.withColumn("ts", F.timestamp_seconds(F.lit(2 * 10**9) + F.col("event_id"))).select(*batch.columns)
+    middle = batch.selectExpr("timestamp_micros(bigint(avg(unix_micros(ts))))").first()[0]
+    for part in (batch.where(F.col("ts") < middle), batch.where(F.col("ts") >= middle), odd):  # one after the other, as a stream takes files by age
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
     stream, batch = pose.read_stream(spark, str(tmp_path / "o"), maxFilesPerTrigger="1"), spark.read.schema(pose.ORIENTATION).parquet(str(tmp_path / "o"))
     blocks, poi = raster.to_blocks(fixture(spark, DATA, "fx_dem")), jobs.clean_landmarks(fixture(spark, DATA, "fx_poi"))
     seen = jobs.seen_from(fixture(spark, DATA, "fx_vp").where("vp_id < 4"), poi, blocks, size=64).cache()
